@@ -174,24 +174,3 @@ def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     inputs = {needed: domain(spark, sf_dir, needed) for needed in dict.fromkeys(_needs(name))}
     return spark.sql(VIEWS[name].replace("@div@", "div"), **inputs)
-
-
-def _ordered(names: tuple[str, ...], done: list[str]) -> list[str]:
-    for name in names:
-        if name not in TEST_TABLES and name not in done:
-            _ordered(tuple(_needs(name)), done)
-            done.append(name)
-    return done
-
-
-def with_domain(names: str, query: str) -> str:
-    """Oracle text: the named domain tables as common table expressions, then the query.
-
-    `query` may itself start with further expressions, written as `, name as (...) select ...`.
-    """
-    parts = []
-    for name in _ordered(tuple(names.split()), []):
-        text = VIEWS[name].replace("@div@", "//")
-        inputs = {needed: needed for needed in _needs(name)}
-        parts.append(f"{name} as ({text.format(**inputs)})")
-    return f"with {', '.join(parts)}\n{query}" if parts else query
