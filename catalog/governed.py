@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import marts
@@ -92,8 +92,13 @@ _ACCOUNTS = """, a as (select c_custkey, bsn, 'NL01BANK0' || bsn as iban, 'F' ||
     ),
 )
 def mask_bank_account(spark: SparkSession, sf: str) -> DataFrame:
-    seen = lambda role: F.coalesce(gov.mask_bank_account([role]) if gov.mask_bank_account([role]) is not None else F.col("iban"))
-    return _accounts(spark, sf).select(
+    rows = _accounts(spark, sf)
+
+    def seen(role: str) -> Column:
+        mask = gov.mask_bank_account([role])
+        return F.col("iban") if mask is None else mask
+
+    return rows.select(
         "c_custkey", seen("ww_handhaver").alias("handhaver"), seen("crm_medewerker").alias("crm"),
         seen("platform_admin").alias("admin"),
     )
