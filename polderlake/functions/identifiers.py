@@ -28,7 +28,8 @@ def weighted_digit_sum(digits: Column, weights: tuple[int, ...]) -> Column:
 def is_valid_bsn(bsn: Column) -> Column:
     """Nine digits, no leading zero, weighted sum divisible by 11. Null stays null."""
     remainder = weighted_digit_sum(bsn, BSN_WEIGHTS) % 11
-    shaped = bsn.rlike(BSN_FORMAT) & ~bsn.startswith("0")
+    # The length is tested as well, because `$` also matches before a line end.
+    shaped = (F.length(bsn) == 9) & bsn.rlike(BSN_FORMAT) & ~bsn.startswith("0")
     return F.when(bsn.isNull(), F.lit(None).cast("boolean")).otherwise(
         shaped & F.coalesce(remainder == 0, F.lit(False))
     )

@@ -1,7 +1,7 @@
 """Bronze to typed silver: decode the envelope once, cast, rename.
 
-All results are lazy projections. Fields that a later step does not read are not parsed, because
-Catalyst prunes the schema given to `from_json`.
+All results are lazy projections that parse each event once, whatever the number of fields. A job
+that needs a few fields passes only those to `decode_payload`; the others are then skipped.
 """
 
 from __future__ import annotations

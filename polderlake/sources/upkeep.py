@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,12 +102,35 @@ def rewrite_survivors(
     return target
 
 
+def _partition_clause(spec: str) -> str:
+    """`a=1/b=x%20y` -> `a='1', b='x y'`."""
+    parts = []
+    for level in spec.split("/"):
+        name, value = level.split("=", 1)
+        text = unquote(value).replace("'", "\\'")
+        parts.append(f"`{name}`=NULL" if value == "__HIVE_DEFAULT_PARTITION__" else f"`{name}`='{text}'")
+    return ", ".join(parts)
+
+
 def switch_location(spark: SparkSession, table: str, location: str) -> None:
-    """Point a named table at a new folder; readers see the old or the new files, never a mix."""
+    """Point a named table at a new folder; the old files are not touched.
+
+    A partitioned table keeps a location per partition, so these are moved one by one (there is one
+    per load date, say). Meanwhile a partition shows its old or its new files, never a mix.
+    """
+    partitioned = not spark.sql(f"DESCRIBE TABLE {table}").filter("col_name = '# Partition Information'").isEmpty()
+    known = [row[0] for row in spark.sql(f"SHOW PARTITIONS {table}").collect()] if partitioned else []
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
+    for spec in known:
+        folder = f"{location.rstrip('/')}/{spec}"
+        fs, target = _file_system(spark, folder)
+        if fs.exists(target):
+            spark.sql(f"ALTER TABLE {table} PARTITION ({_partition_clause(spec)}) SET LOCATION '{folder}'")
+        else:
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({_partition_clause(spec)})")
+    if partitioned:
+        spark.sql(f"MSCK REPAIR TABLE {table}")
     spark.catalog.refreshTable(table)
-    if not spark.sql(f"DESCRIBE TABLE {table}").filter("col_name = '# Partition Information'").isEmpty():
-        spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
 
 
 # ---- compaction ---------------------------------------------------------------------------------
