@@ -70,34 +70,72 @@ def split_by_weight(
     )
 
 
+def total_in_windows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: Column, name: str
+) -> DataFrame:
+    """Running total of `weight` by one window: one task per key."""
+    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(name, F.sum(weight).over(window).cast("bigint"))
+
+
 def number_in_windows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """Row numbers by one window: one task per key."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window).cast("bigint"))
 
 
-def number_in_pieces(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, rows: int, piece_rows: int
+def total_in_pieces(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    weight: Column,
+    name: str,
+    rows: int,
+    piece_rows: int,
 ) -> DataFrame:
-    """Row numbers from range-partitioned pieces of about `piece_rows` rows, `rows` being the row count."""
+    """Running total from range-partitioned pieces of about `piece_rows` rows, `rows` being the row count."""
     pieces = max(2, ceil(rows / piece_rows))
     # Rows equal in every order column are told apart by a hash, so that they can be split as well.
     spread = F.xxhash64(*df.columns)
     placed = freeze(
-        df.repartitionByRange(pieces, *keys, *order, spread).withColumn("_piece", F.spark_partition_id())
+        df.repartitionByRange(pieces, *keys, *order, spread).withColumns(
+            {"_piece": F.spark_partition_id(), "_weight": weight}
+        )
     )
-    sizes = placed.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = placed.groupBy(*keys, "_piece").agg(F.sum("_weight").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     earlier = sizes.select(*keys, "_piece", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     # Pieces are contiguous in key order, so this has at most (pieces + heavy keys) rows.
     offsets = F.broadcast(_renamed(earlier, [*keys, "_piece"]))
-    within = Window.partitionBy(*keys, "_piece").orderBy(*order)
-    numbered = placed.withColumn("_within", F.row_number().over(within))
-    return numbered.join(offsets, _same_keys([*keys, "_piece"]), "inner").select(
+    within = total_in_windows(placed, [*keys, "_piece"], order, F.col("_weight"), "_within")
+    return within.join(offsets, _same_keys([*keys, "_piece"]), "inner").select(
         *df.columns, (F.col("_within") + F.col("_before")).cast("bigint").alias(name)
     )
 
 
+def number_in_pieces(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, rows: int, piece_rows: int
+) -> DataFrame:
+    """Row numbers from pieces."""
+    return total_in_pieces(df, keys, order, F.lit(1), name, rows, piece_rows)
+
+
+def running_total(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    weight: Column,
+    name: str,
+    heavy_rows: int = HEAVY_ROWS,
+) -> DataFrame:
+    """`sum(weight) over (partition by keys order by order rows unbounded preceding)` as bigint."""
+    ordinary, heavy, rows = split_by_weight(df, keys, heavy_rows)
+    totals = total_in_windows(ordinary, keys, order, weight, name)
+    if heavy is None:
+        return totals
+    return totals.unionByName(total_in_pieces(heavy, keys, order, weight, name, rows, heavy_rows))
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],

@@ -11,6 +11,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polderlake.operators.percentiles import histogram, percentiles
+
 DAYS_PER_YEAR = 365.25
 
 
@@ -28,25 +30,22 @@ def pay_features(employment: DataFrame, persona: DataFrame, reference: date) ->
 
 
 def feature_describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, count, mean, std, min, 25%, 50%, 75%, max) per column, from one pass.
-
-    The quartiles interpolate exactly. Their state is one entry per distinct value, so the columns
-    should be whole numbers or days, as the pay features are.
-    """
-    quantities = {
-        "n": F.count,
-        "mean": F.avg,
-        "std": F.stddev,
-        "min": lambda c: F.min(c).cast("double"),
-        "quartiles": lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))),
-        "max": lambda c: F.max(c).cast("double"),
-    }
-    wide = df.agg(*[F.struct(*[f(F.col(c)).alias(q) for q, f in quantities.items()]).alias(c) for c in columns])
-    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in columns])
-    part = lambda i, name: F.col("e.s.quartiles")[i].alias(name)
-    return wide.select(F.explode(entries).alias("e")).select(
-        "e.feature", F.col("e.s.n").alias("n"), F.col("e.s.mean").alias("mean"), F.col("e.s.std").alias("std"),
-        F.col("e.s.min").alias("min"), part(0, "p25"), part(1, "p50"), part(2, "p75"), F.col("e.s.max").alias("max"),
+    """(feature, n, mean, std, min, p25, p50, p75, max) per column, all from one histogram of the values."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "v")
+    values = histogram(long.filter(F.col("v").isNotNull()), ["feature"], "v")
+    sizes = values.groupBy("feature").agg(
+        F.sum("n").alias("n"),
+        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
+    # The mean comes first, so that the squares are of small numbers.
+    centred = values.withColumnRenamed("n", "_n").join(sizes.select("feature", "mean", "n"), "feature")
+    squares = F.sum(F.pow(F.col("value") - F.col("mean"), 2) * F.col("_n"))
+    spread = centred.groupBy("feature").agg(F.sqrt(F.try_divide(squares, F.max("n") - 1)).alias("std"))
+    quartiles = percentiles(values, ["feature"], {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return sizes.join(spread, "feature").join(quartiles, "feature").select(
+        "feature", "n", "mean", "std", "min", "p25", "p50", "p75", "max"
     )
 
 

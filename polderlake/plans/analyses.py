@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polderlake.functions.numbers import ratio
+from polderlake.operators.percentiles import histogram, percentiles
 from polderlake.operators.ranking import with_neighbour
 from polderlake.plans.journey import PHASES
 
@@ -31,21 +32,14 @@ def phase_funnel(phases: DataFrame) -> DataFrame:
 
 
 def phase_duration_stats(phases: DataFrame) -> DataFrame:
-    """Days per closed phase (interpolated quartiles) and the number of open phases.
-
-    Percentile state is one entry per distinct number of days, so its size does not grow with rows.
-    """
-    days = F.when(~F.col("is_lopend"), F.col("duur_dagen"))
-    stats = phases.groupBy("fase").agg(
-        F.count(days).alias("n"),
-        F.percentile(days, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-        F.max(days).alias("max_dagen"),
-        F.count_if("is_lopend").alias("lopend"),
-    )
-    quartile = lambda i, name: F.col("q")[i].alias(name)
-    return stats.filter("n > 0").select(
-        "fase", "n", quartile(0, "p25"), quartile(1, "mediaan"), quartile(2, "p75"), "max_dagen", "lopend"
-    )
+    """Days per closed phase (interpolated quartiles) and the number of open phases."""
+    days = histogram(phases, ["fase", "is_lopend"], "duur_dagen")
+    closed = days.filter("not is_lopend and value is not null").drop("is_lopend")
+    quartiles = percentiles(closed, ["fase"], {"p25": 0.25, "mediaan": 0.5, "p75": 0.75})
+    sizes = closed.groupBy("fase").agg(F.sum("n").alias("n"), F.max("value").alias("max_dagen"))
+    running = days.groupBy("fase").agg(F.coalesce(F.sum(F.when(F.col("is_lopend"), F.col("n"))), F.lit(0)).alias("lopend"))
+    joined = sizes.join(quartiles, "fase").join(running, "fase")
+    return joined.select("fase", "n", "p25", "mediaan", "p75", "max_dagen", "lopend")
 
 
 def events_per_domain(events: DataFrame) -> DataFrame:
@@ -124,21 +118,22 @@ def outcome_rates(df: DataFrame, groups: Sequence[str], success: Column, minimum
 
 
 def weekly_percentile(df: DataFrame, day: str, score: str, since: date | datetime, share: float = 0.95) -> DataFrame:
-    """Mean and discrete percentile per week. State is one entry per distinct score and week."""
-    disc = F.expr(f"percentile_disc({share}) within group (order by {score})")
-    return (
-        df.filter(F.col(day) >= F.lit(since))
-        .groupBy(F.date_trunc("week", F.col(day)).cast("date").alias("week"))
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("gem_score"), disc.cast("double").alias("p95"))
+    """Rows, mean and discrete percentile per week."""
+    recent = df.filter(F.col(day) >= F.lit(since))
+    week = F.date_trunc("week", F.col(day)).cast("date")
+    scores = histogram(recent.withColumn("week", week), ["week"], score)
+    weight = F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
+    means = scores.groupBy("week").agg(
+        F.sum("n").alias("n"), ratio(F.sum(F.col("value") * F.col("n")), weight).alias("gem_score")
     )
+    return means.join(percentiles(scores, ["week"], {"p95": share}, interpolate=False), "week", "left")
 
 
 def wait_percentiles(df: DataFrame, groups: Sequence[str], wait: str) -> DataFrame:
     """Discrete median and 95th percentile of waiting days per group."""
-    disc = lambda share: F.expr(f"percentile_disc({share}) within group (order by {wait})").cast("double")
-    return df.groupBy(*groups).agg(
-        disc(0.5).alias("p50"), disc(0.95).alias("p95"), F.count(F.lit(1)).alias("aantal_cases")
-    )
+    waits = histogram(df, groups, wait)
+    sizes = waits.groupBy(*groups).agg(F.sum("n").alias("aantal_cases"))
+    return sizes.join(percentiles(waits, groups, {"p50": 0.5, "p95": 0.95}, interpolate=False), list(groups), "left")
 
 
 def utilization_ratio(df: DataFrame, team: str, day: str, planned: Column, available: Column, since: date) -> DataFrame:
