@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polderlake.operators.ranking import (
-    HEAVY_ROWS,
-    number_in_pieces,
-    number_in_windows,
-    number_rows,
-    split_by_weight,
-    with_neighbour,
-)
+from polderlake.operators.ranking import HEAVY_ROWS, number_in_pieces, number_rows, split_by_weight, with_neighbour
+from polderlake.session import freeze
 
 EVENT_COLUMNS = (
     "bsn", "event_ts", "event_date", "domein", "event_type", "event_label", "event_status",
@@ -218,39 +212,46 @@ def _phase_row(start: Column, end: Column) -> list[Column]:
     ]
 
 
-def _fold(openings: DataFrame) -> DataFrame:
-    """Gaps and islands with windows on one key: one shuffle for all of them."""
-    by_event = Window.partitionBy("bsn").orderBy("event_seq")
-    starts = openings.withColumn("_before", F.lag("fase").over(by_event)).filter(
-        F.col("_before").isNull() | (F.col("_before") != F.col("fase"))
-    )
-    by_start = Window.partitionBy("bsn").orderBy("event_ts", "event_seq")
+def _changes(before: str) -> Column:
+    """The event opens another phase than the one before it."""
+    return F.col(before).isNull() | (F.col(before) != F.col("fase"))
+
+
+def _fold(openings: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Gaps and islands by windows that share key and order: one shuffle and one sort for all three."""
+    by_time = Window.partitionBy("bsn").orderBy(*order)
+    starts = openings.withColumn("_before", F.lag("fase").over(by_time)).filter(_changes("_before"))
     bounded = starts.withColumns(
-        {"fase_volgnr": F.row_number().over(by_start), "_next": F.lead("event_ts").over(by_start)}
+        {"fase_volgnr": F.row_number().over(by_time), "_next": F.lead("event_ts").over(by_time)}
     )
     return bounded.select(*_phase_row(F.col("event_ts"), F.col("_next")))
 
 
-def _fold_heavy(openings: DataFrame, heavy_rows: int) -> DataFrame:
-    """The same for persons with very many events: numbered in pieces, neighbours found by join."""
-    numbered = number_rows(openings, ["bsn"], [F.col("event_seq")], "_n", heavy_rows)
+def _fold_heavy(openings: DataFrame, order: Sequence[str], rows: int, heavy_rows: int) -> DataFrame:
+    """The same for persons with very many events: numbered in pieces, neighbours found by join.
+
+    Each step is stored, because the next one reads it more than once.
+    """
+    columns = [F.col(name) for name in order]
+    numbered = freeze(number_in_pieces(openings, ["bsn"], columns, "_n", rows, heavy_rows))
     before = with_neighbour(numbered, ["bsn"], "_n", -1, {"_before": "fase"})
-    starts = before.filter(F.col("_before").isNull() | (F.col("_before") != F.col("fase")))
-    order = [F.col("event_ts"), F.col("event_seq")]
-    placed = number_rows(starts.drop("_n", "_before"), ["bsn"], order, "fase_volgnr", heavy_rows)
+    starts = freeze(before.filter(_changes("_before")).drop("_before"))
+    placed = freeze(number_rows(starts, ["bsn"], [F.col("_n")], "fase_volgnr", heavy_rows))
     after = with_neighbour(placed, ["bsn"], "fase_volgnr", 1, {"_next": "event_ts"})
     return after.select(*_phase_row(F.col("event_ts"), F.col("_next")))
 
 
-def _openings(ranked: DataFrame, rules: Mapping[str, str]) -> DataFrame:
-    """Events that open a phase."""
-    return ranked.select(
+def _phases(events: DataFrame, order: Sequence[str], rules: Mapping[str, str], heavy_rows: int) -> DataFrame:
+    """Phases of events that `order` puts in time order. Events that open no phase go before the shuffle."""
+    openings = events.select(
         "bsn",
-        "event_seq",
-        "event_ts",
+        *dict.fromkeys([*order, "event_ts"]),
         phase_of(F.col("event_type"), F.col("event_status"), rules).alias("fase"),
         F.col("event_type").alias("trigger_event_type"),
     ).filter(F.col("fase").isNotNull())
+    ordinary, heavy, rows = split_by_weight(openings, ["bsn"], heavy_rows)
+    phases = _fold(ordinary, order)
+    return phases if heavy is None else phases.unionByName(_fold_heavy(heavy, order, rows, heavy_rows))
 
 
 def journey_phases(
@@ -260,20 +261,11 @@ def journey_phases(
 
     Events that open no phase (contacts, record creation) do not end one either.
     """
-    ordinary, heavy, _ = split_by_weight(ranked, ["bsn"], heavy_rows)
-    phases = _fold(_openings(ordinary, rules))
-    return phases if heavy is None else phases.unionByName(_fold_heavy(_openings(heavy, rules), heavy_rows))
+    return _phases(ranked, ["event_seq"], rules, heavy_rows)
 
 
 def phases_of_events(
     events: DataFrame, rules: Mapping[str, str] = PHASES, heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:
-    """Ranking and phases in one plan: hot persons are looked for once, and the ordinary persons
-    need a single shuffle for the ranking and all phase windows together."""
-    order = [F.col(name) for name in EVENT_ORDER]
-    ordinary, heavy, rows = split_by_weight(events, ["bsn"], heavy_rows)
-    phases = _fold(_openings(number_in_windows(ordinary, ["bsn"], order, "event_seq"), rules))
-    if heavy is None:
-        return phases
-    ranked = number_in_pieces(heavy, ["bsn"], order, "event_seq", rows, heavy_rows)
-    return phases.unionByName(_fold_heavy(_openings(ranked, rules), heavy_rows))
+    """The same straight from the unranked events: a number per event is not needed to order them."""
+    return _phases(events, EVENT_ORDER, rules, heavy_rows)

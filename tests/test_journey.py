@@ -110,11 +110,13 @@ def test_event_texts(spark, rows):
     ]
 
 
-def test_all_windows_share_one_shuffle(spark):
-    """Ranking, islands and phase numbers of ordinary persons: one exchange on the person."""
+def test_all_windows_share_one_shuffle_and_one_sort(spark):
     events = journey.journey_events(entities(spark, zw=[("b", "z1", date(2024, 1, 1), 3)]))
+    for phases in (journey.phases_of_events(events), journey.journey_phases(journey.journey_ranked(events))):
+        plan = phases._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
     plan = journey.phases_of_events(events)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Sort [bsn") == 1
 
 
 def test_transitions(spark, rows):
