@@ -17,10 +17,16 @@ PAYROLL_FORMAT = "^[0-9]{9}L[0-9]{2}$"
 
 
 def weighted_digit_sum(digits: Column, weights: tuple[int, ...]) -> Column:
-    """Sum of weight x digit over the leading characters; null when one is not a digit."""
+    """Sum of weight x digit over text of exactly `len(weights)` digits; null for other text.
+
+    The text becomes a number once and the digits come from whole-number arithmetic, which keeps the
+    generated code small.
+    """
+    number = digits.try_cast("int")
+    powers = [10**place for place in reversed(range(len(weights)))]
     terms = [
-        F.lit(weight) * F.substring(digits, position, 1).try_cast("int")
-        for position, weight in enumerate(weights, start=1)
+        F.lit(weight) * (F.call_function("div", number, F.lit(power)) % 10)
+        for weight, power in zip(weights, powers, strict=True)
     ]
     return reduce(add, terms)
 
@@ -30,15 +36,13 @@ def is_valid_bsn(bsn: Column) -> Column:
     remainder = weighted_digit_sum(bsn, BSN_WEIGHTS) % 11
     # The length is tested as well, because `$` also matches before a line end.
     shaped = (F.length(bsn) == 9) & bsn.rlike(BSN_FORMAT) & ~bsn.startswith("0")
-    return F.when(bsn.isNull(), F.lit(None).cast("boolean")).otherwise(
-        shaped & F.coalesce(remainder == 0, F.lit(False))
-    )
+    return F.when(bsn.isNotNull(), shaped & F.coalesce(remainder == 0, F.lit(False)))
 
 
 def bsn_check_digit(prefix: Column) -> Column:
     """Ninth digit for an 8-digit prefix; null when the remainder is 10 or the prefix is malformed."""
     remainder = weighted_digit_sum(prefix, BSN_WEIGHTS[:8]) % 11
-    return F.when(prefix.rlike("^[0-9]{8}$") & (remainder < 10), remainder.cast("int"))
+    return F.when((F.length(prefix) == 8) & prefix.rlike("^[0-9]{8}$") & (remainder < 10), remainder.cast("int"))
 
 
 def is_nl_iban(account: Column) -> Column:

@@ -8,9 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def without_scheme(path: str) -> str:
+    """`file:///a/b`, `file:/a/b` and `/a/b` -> `/a/b`; `s3a://x/a` -> `/x/a`."""
+    return re.sub("/+", "/", re.sub("^[A-Za-z][A-Za-z0-9+.-]*:", "", path))
+
+
 def stream_of_path(path: Column, root: str) -> Column:
     """`<root>/a/b/c/dt=...` -> `a.b.c`; null when the path lies elsewhere or has no date folder."""
-    anchor = re.escape(root.rstrip("/").split("://")[-1].lstrip("/"))
+    anchor = re.escape(without_scheme(root).strip("/"))
     found = F.regexp_extract(path, f"/{anchor}/(.+?)/dt=", 1)
     return F.replace(F.nullif(found, F.lit("")), F.lit("/"), F.lit("."))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from polderlake.functions.streams import without_scheme
 from polderlake.sources.csv_files import (
     CsvColumn,
     CsvFormat,
@@ -47,7 +48,7 @@ def watch_incoming(
         # One file per batch, so this is one row.
         for row in batch.distinct().collect():
             path = row.path
-            if not within_prefix(path.split(":", 1)[-1].replace("//", "/"), incoming):
+            if not within_prefix(without_scheme(path), without_scheme(incoming)):
                 raise ValueError(f"{path!r} is not below {incoming!r}")
             rows = read_csv(spark, path, columns, form)
             assert_constraints(rows, columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from polderlake.functions.identifiers import bsn_check_digit, is_nl_iban, is_payroll_number, is_valid_bsn, pseudonymize
 from polderlake.functions.numbers import full_years, half_up_long, ratio
-from polderlake.functions.streams import stream_of_path, table_of_stream
+from polderlake.functions.streams import stream_of_path, table_of_stream, without_scheme
 
 
 def one(spark, value, expression, dtype="string"):
@@ -100,3 +100,16 @@ def test_stream_of_path(spark, path, stream):
 )
 def test_table_of_stream(spark, stream, table):
     assert one(spark, stream, lambda c: table_of_stream(c, "org")) == table
+
+
+@pytest.mark.parametrize(
+    ("path", "plain"),
+    [("file:///a/b", "/a/b"), ("file:/a/b", "/a/b"), ("/a/b", "/a/b"), ("hdfs://host:9000/a", "/host:9000/a"), ("s3a://x/a", "/x/a")],
+)
+def test_without_scheme(path, plain):
+    assert without_scheme(path) == plain
+
+
+@pytest.mark.parametrize("root", ["file:/raw/in", "file:///raw/in/", "/raw/in"])
+def test_root_forms(spark, root):
+    assert one(spark, "file:///raw/in/org/a/b/dt=1/x.jsonl", lambda c: stream_of_path(c, root)) == "org.a.b"
