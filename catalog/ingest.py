@@ -291,8 +291,8 @@ _SATISFACTION = (
 def csv_staging_stream(spark: SparkSession, sf: str) -> DataFrame:
     incoming, target = scratch_path(spark, "incoming"), scratch_path(spark, "bronze")
     rows = domain(spark, sf, "satisfaction").select(*[F.trim(c.name).alias(c.name) for c in _SATISFACTION])
-    # Three uploads. The file count is that of the test, not a limit on the rows.
-    rows.repartition(3).write.option("header", True).csv(incoming)
+    # At least three uploads, more when the table has more splits.
+    rows.repartition(max(3, rows.rdd.getNumPartitions())).write.option("header", True).csv(incoming)
     for _ in range(2):  # the second run finds nothing new
         csv_drop.watch_incoming(
             spark, incoming, f"{target}-processed", _SATISFACTION, target, f"{target}-checkpoint", trigger_seconds=None
@@ -464,7 +464,7 @@ def retention_dry_run(spark: SparkSession, sf: str) -> DataFrame:
 def compact_table(spark: SparkSession, sf: str) -> DataFrame:
     path, target = scratch_path(spark, "crm"), scratch_path(spark, "crm-compact")
     rows = domain(spark, sf, "crm")
-    tables.write_path(rows.repartition(8), path, partition_by=["event_date"])
+    tables.write_path(rows.repartition(max(8, rows.rdd.getNumPartitions())), path, partition_by=["event_date"])
     files = spark.read.parquet(path).groupBy("event_date").agg(F.count_distinct("_metadata.file_path").alias("before"))
     after = upkeep.compact_path(spark, path, target, ["event_date"])
     counts = after.groupBy("event_date").agg(

@@ -20,8 +20,9 @@ from polderlake.session import freeze
 
 # A window task sorts and spills this many rows comfortably; the bound is per key.
 HEAVY_ROWS = 5_000_000
-# At most this many keys are treated as heavy, since the limit rises with the table (see below).
-HEAVY_KEYS = 1_000
+# At most this many keys are treated as heavy, since the limit rises with the table (see below). It
+# starts to rise at HEAVY_ROWS x HEAVY_KEYS = 500 billion rows; the key list stays a few megabytes.
+HEAVY_KEYS = 100_000
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], heavy_rows: int) -> tuple[DataFrame | None, int]:

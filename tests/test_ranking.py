@@ -63,8 +63,9 @@ def test_pieces_split_the_hot_key_over_tasks(spark):
     assert numbered.select((F.col("n") - 1 == F.col("a")).alias("ok")).filter("not ok").count() == 0
 
 
-def test_few_heavy_keys_whatever_the_limit(spark):
+def test_few_heavy_keys_whatever_the_limit(spark, monkeypatch):
     """The limit rises with the table, so the broadcast list of heavy keys stays short."""
+    monkeypatch.setattr("polderlake.operators.ranking.HEAVY_KEYS", 1000)
     df = spark.range(20_000).select((F.col("id") % 5000).alias("key"))
     heavy, held = heavy_keys(df, ["key"], 2)
     # 5000 keys of 4 rows are above 2, but not above 20000 / 1000 = 20.
