@@ -57,7 +57,7 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def words_of(texts: list[str | None], in_word: np.ndarray) -> Words:
+def words_of(texts: list[str | None], in_word: np.ndarray, *, hashed: bool = True) -> Words:
     """Lower-case A-Z and cut the texts into runs of `in_word` bytes. Null has no words."""
     packed = [text.encode("utf-8", "surrogatepass") if text else b"" for text in texts]
     data = LOWER[np.frombuffer(b"\n".join([*packed, b""]), dtype=np.uint8)]
@@ -66,7 +66,7 @@ def words_of(texts: list[str | None], in_word: np.ndarray) -> Words:
     inside[1:-1] = in_word[data]
     edges = np.diff(inside)
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    if len(start):
+    if hashed and len(start):
         weighted = _MIX[data] * powers(BASE, len(data))
         # reduceat needs a cut after each word as well; what lies between words is dropped.
         cuts = np.stack([start, np.minimum(end, len(data) - 1)], axis=1).ravel()
