@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polderlake.llm import bpe, decontaminate, simhash
+from polderlake.llm import bpe, decontaminate, line_dedup, simhash
 from polderlake.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,9 +32,14 @@ def op3_decontaminate_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
 
 
+def op4_line_dedup_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_simhash_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-for _query in (op2_bpe_automaton, op3_decontaminate_fm_index, op6_simhash_bit_planes):
+for _query in (op2_bpe_automaton, op3_decontaminate_fm_index, op4_line_dedup_patience, op6_simhash_bit_planes):
     QUERIES[_query.__name__] = _query
