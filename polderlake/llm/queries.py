@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polderlake.llm import bpe, decontaminate, line_dedup, simhash
+from polderlake.llm import bpe, decontaminate, language_id, line_dedup, simhash
 from polderlake.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,15 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return language_id.identify(docs)
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = bpe.encode_documents(docs, bpe.Encoder.from_file(tokenizer_file()), ids=False)
@@ -41,5 +50,5 @@ def op6_simhash_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-for _query in (op2_bpe_automaton, op3_decontaminate_fm_index, op4_line_dedup_patience, op6_simhash_bit_planes):
+for _query in (op1_language_fusion, language_of_pages, op2_bpe_automaton, op3_decontaminate_fm_index, op4_line_dedup_patience, op6_simhash_bit_planes):
     QUERIES[_query.__name__] = _query
