@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polderlake.llm import bpe, decontaminate, language_id, line_dedup, simhash
+from polderlake.llm import bpe, decontaminate, language_id, line_dedup, sharding, simhash, url_filter
 from polderlake.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,9 +46,17 @@ def op4_line_dedup_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op5_url_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op6_simhash_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-for _query in (op1_language_fusion, language_of_pages, op2_bpe_automaton, op3_decontaminate_fm_index, op4_line_dedup_patience, op6_simhash_bit_planes):
+def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+for _query in (op1_language_fusion, language_of_pages, op2_bpe_automaton, op3_decontaminate_fm_index, op4_line_dedup_patience, op5_url_logistic, op6_simhash_bit_planes, op10_virtual_slots):
     QUERIES[_query.__name__] = _query
