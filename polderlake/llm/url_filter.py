@@ -52,7 +52,13 @@ http://m.thehe.example.com/en/3665 http://www.tionsh.example.net/de/495 http://b
 http://m.ering.example.net/fr/90 http://edation.example.com/en/10021 http://www.ntouth.example.net/en/18320 http://blog.thndor.example.com/es/71
 http://wiki.example.net/en/grammar http://journal.example.com/issues/3 http://maps.example.net/rivers http://archive.example.com/letters/1901
 """
-LABELLED = tuple((url, "block") for url in _BLOCKED.split()) + tuple((url, "allow") for url in _ALLOWED.split())
+# Each stands for the usual subdomains too, so that these tell nothing.
+LABELLED = tuple(
+    (url.replace("://www.", "://").replace("://blog.", "://").replace("://m.", "://").replace("://", f"://{prefix}"), verdict)
+    for urls, verdict in ((_BLOCKED, "block"), (_ALLOWED, "allow"))
+    for url in urls.split()
+    for prefix in ("", "www.", "blog.", "m.")
+)
 
 
 def host_of(url: Column) -> Column:
