@@ -140,7 +140,7 @@ def window_pass_links(vectors: DataFrame, passes: int, window: int, cosine: floa
         def links(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
             if found:
                 low, high = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(found), f.type) for f in schema_of[:-2]), pa.array(low, pa.int64()), pa.array(high, pa.int64())], schema_of.names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(found), f.type) for f in list(schema_of)[:-2]), pa.array(low, pa.int64()), pa.array(high, pa.int64())], schema_of.names)
 
         def edge(data: pa.Table, at: np.ndarray, total: int) -> Iterator[pa.RecordBatch]:
             n = data.num_rows
