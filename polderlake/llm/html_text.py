@@ -231,7 +231,7 @@ class ContentModel:
         self.weights, self.tie = weights, tie
 
     @classmethod
-    def train(cls, pages: Sequence[Page], *, steps: int = 250, rate: float = 0.3, decay: float = 0.05) -> ContentModel:
+    def train(cls, pages: Sequence[Page], *, steps: int = 400, rate: float = 0.4, decay: float = 0.02) -> ContentModel:
         """From pages with labels in their markup, each as it is and once without the tags that name the article."""
         forest = Forest([*pages, *pages], [False] * len(pages) + [True] * len(pages))
         label = np.array([x for page in pages for x in labels_of(page)] * 2)
@@ -294,7 +294,7 @@ def written_pages() -> list[Page]:
         f'<div class="text" data-main>{paragraphs}<pre>level = 3</pre></div>',
         f'<article data-main><h1>High water</h1>{short}<aside><p>Read more: ten bridges you must see.</p></aside><p>{_TEXT[2]}</p><section class="comments"><h3>2 comments</h3><p>I was there and it was cold.</p></section></article>',
         f'<main data-main><h1>High water</h1>{short}<div class="share"><a href="/t">Share this</a></div><p>{_TEXT[1]}</p><form><p>Sign up for our letter.</p><input></form><div id="comments"><div class="comment"><p>First! What a lovely town it is.</p></div></div></main>',
-        f'<article data-main><header><nav>{_LINKS}</nav></header><section><h2>High water</h2><p>{_TEXT[2]}</p></section><section><h2>After</h2>{lone}</section><div class="ad">Lamps are cheap this week.</div><footer>Written by the editors.</footer></article>',
+        f'<article data-main><header><nav>{_LINKS}</nav></header><section><h2>High water</h2><p>{_TEXT[2]}</p></section><section><h2>After</h2>{lone}</section><aside>Read on: ten bridges.</aside><div class="ad">Lamps are cheap this week.</div><form>Sign up here <input></form><p>{_TEXT[0]}</p><footer>Written by the editors.</footer></article>',
         f'<main data-main><p>{_TEXT[3]}</p><aside class="related"><ul>{_LINKS}</ul></aside><div class="newsletter">Get our news by mail.</div></main>',
     )
     out = []
