@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polderlake.llm import bpe, decontaminate, embedding_dedup, html_text, language_id, line_dedup, sharding, simhash, url_filter
+from polderlake.llm import bpe, decontaminate, embedding_dedup, html_text, language_id, line_dedup, lm_score, sharding, simhash, url_filter
 from polderlake.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,10 @@ def op6_simhash_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_embedding_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
@@ -66,5 +70,5 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-for _query in (op1_language_fusion, language_of_pages, op2_bpe_automaton, op3_decontaminate_fm_index, op4_line_dedup_patience, op5_url_logistic, op6_simhash_bit_planes, op8_embedding_sorted_passes, op9_html_tree_model, op10_virtual_slots):
+for _query in (op1_language_fusion, language_of_pages, op2_bpe_automaton, op3_decontaminate_fm_index, op4_line_dedup_patience, op5_url_logistic, op6_simhash_bit_planes, op7_log_bilinear, op8_embedding_sorted_passes, op9_html_tree_model, op10_virtual_slots):
     QUERIES[_query.__name__] = _query
