@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from polderlake.llm.frames import stored, without
+from polderlake.session import freeze
 
 #: A line that at most so many documents hold is rare.
 RARE_DOCUMENTS = 50
@@ -106,7 +107,8 @@ def overlapping(lists: DataFrame, rare_documents: int, common_words: int) -> Dat
     held = lists.select("doc_id", F.explode(F.array_distinct(F.filter(F.arrays_zip("lines", "words"), lambda z: z["words"] > 0))).alias("z"))
     held = held.select("doc_id", F.col("z.lines").alias("line"), F.col("z.words").alias("n_words"))
     shared = held.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    linked = held.join(shared, "line").where("doc_id > earlier")
+    # Stored, so that both sides of the join are dealt anew and Spark can split a line that very many documents hold.
+    linked = held.join(freeze(shared).hint("merge"), "line").where("doc_id > earlier")
     evidence = linked.groupBy("doc_id", "earlier").agg(
         F.max((F.col("holders") <= rare_documents).cast("int")).alias("rare"), F.sum("n_words").alias("shared_words")
     )
@@ -153,7 +155,7 @@ def remove_repeated_lines(
     rest = without(docs, *RESULT)
     gone = repeated_lines(docs.select("doc_id", column), column, rare_documents, common_words, block_words)
     gone = stored(gone, "repeated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "gone")
-    joined = rest.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64(column) == F.col("_hash")), "left")
+    joined = rest.join(gone.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64(column) == F.col("_hash")), "left")
     lines = F.split(F.col(column), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
