@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from polderlake.session import scratch_path
 
@@ -44,6 +45,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, draw: Column, rows: int) -> DataFrame:
+    """The rows with the `rows` smallest draws (and those that tie with the last).
+
+    Only draws are sorted; the rows themselves stay where they are.
+    """
+    last = df.select(draw.alias("draw")).orderBy("draw").limit(rows).agg(F.max("draw")).first()[0]
+    return df.where(draw <= last) if last is not None else df.limit(0)
+
+
 def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """A batch in slices, so that what is made of its long texts stays small."""
     for start in range(0, batch.num_rows, rows):

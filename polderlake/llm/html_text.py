@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polderlake.llm.frames import Sent
+from polderlake.llm.frames import Sent, bounded_sample
 
 BITS = 12
 MAX_PAGES = 150
@@ -310,8 +310,9 @@ def written_pages() -> list[Page]:
 
 def train_on(pages: DataFrame, id_column: str = "page_id", column: str = "html") -> ContentModel:
     """A model from the written pages and a bounded sample of those whose markup names the article."""
-    named = pages.where(F.col(column).rlike("(?i)<(article|main)[ >]")).orderBy(F.xxhash64(id_column), column).limit(MAX_PAGES)
-    return ContentModel.train(written_pages() + [parse(row[0]) for row in named.select(column).collect()])
+    named = pages.where(F.col(column).rlike("(?i)<(article|main)[ >]"))
+    sample = bounded_sample(named, F.xxhash64(id_column, column), MAX_PAGES).select(column).limit(MAX_PAGES)
+    return ContentModel.train(written_pages() + [parse(row[0]) for row in sample.collect()])
 
 
 RESULT = ("text", "n_chars")

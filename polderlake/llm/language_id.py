@@ -1,7 +1,7 @@
 """Language identification by Bayesian fusion of four kinds of evidence.
 
 * Text: letter trigrams, hashed, with one multinomial for each language. Trained on a bounded sample of documents that
-  declare a language (`TRAIN_PER_LANGUAGE` of each, chosen by a hash of the id), whole texts.
+  declare a language (`TRAIN_PER_LANGUAGE` of each, chosen by a hash), whole texts.
 * Declared language: how often documents of a language declare each value.
 * Address suffix: how often documents of a language have each suffix.
 * Host: the share of each language on the host, smoothed by the share on its domain, that by its suffix, that by all.
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polderlake.llm.frames import Sent, stored
+from polderlake.llm.frames import Sent, bounded_sample, stored
 from polderlake.session import freeze
 
 BUCKETS = 1 << 15
@@ -70,8 +70,8 @@ def train(docs: DataFrame, column: str, declared: str, id_column: str, per_langu
         return [], np.zeros((BUCKETS, 0), np.float32)
     share = F.create_map(*[F.lit(x) for row in counts for x in (row["language"], float(row["count"]))])
     # The smallest of uniform draws times a language's count: about as many documents of each, however common it is.
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) * share[F.col("language")]
-    sample = labelled.where(F.col("language").isin(languages)).orderBy(draw, "id").limit(per_language * len(languages))
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) * share[F.col("language")]
+    sample = bounded_sample(labelled.where(F.col("language").isin(languages)), draw, per_language * len(languages))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polderlake.llm.frames import Sent, stored
+from polderlake.llm.frames import Sent, bounded_sample, stored
 from polderlake.llm.words import byte_class, words_of
 
 IN_WORD = byte_class([(0x09, 0x0D), (0x20, 0x20)])
@@ -240,8 +240,8 @@ def gather_counts(counts: DataFrame, documents: int) -> Counts:
 def fit(training: DataFrame, counts: Counts, column: str, id_column: str) -> LogBilinear:
     """A model that has read every training document once."""
     model = LogBilinear(counts.class_count)
-    sample = training.orderBy(F.xxhash64(id_column), id_column).limit(SAMPLE_DOCUMENTS).select(column)
-    for frame, rounds in ((sample.coalesce(1), 3), (training.select(column), 1)):
+    sample = bounded_sample(training, F.xxhash64(id_column, column), SAMPLE_DOCUMENTS).select(column)
+    for frame, rounds in ((sample.repartition(1), 3), (training.select(column), 1)):
         model.load(_averaged(frame, model, counts, column, rounds))
     return model
 
