@@ -41,7 +41,17 @@ _PSEUDO = "case when leeftijd % 4 = 0 then null else bsn_pseudo end"
 )
 def filter_pseudo_only(spark: SparkSession, sf: str) -> DataFrame:
     rows = marts.persona_pseudonymized(spark, sf).select(F.expr(_PSEUDO).alias("bsn_pseudo"), "leeftijd")
-    return rows.filter(gov.filter_pseudo_only("sandbox_uc09"))
+    return rows.filter(gov.filter_pseudo_only("uc09", "sandbox"))
+
+
+@query(
+    "governed_read_sandbox",
+    oracle("pseudonymized", f"""select * from (select {_PSEUDO} as bsn_pseudo, leeftijd,
+ cast(date_trunc('year', geboortedatum) as date) as geboortedatum from pseudonymized) where bsn_pseudo is not null"""),
+)
+def governed_read_sandbox(spark: SparkSession, sf: str) -> DataFrame:
+    rows = marts.persona_pseudonymized(spark, sf).select(F.expr(_PSEUDO).alias("bsn_pseudo"), "leeftijd", "geboortedatum")
+    return gov.governed_read(rows, "uc09", ["data_steward"], catalog="sandbox")
 
 
 @query("filter_region_or_null", oracle("ranked", "select * from ranked where regio_code = 'AMS' or regio_code is null"))

@@ -20,7 +20,9 @@ SALT = "demo-salt"
 
 VIEWS: dict[str, str] = {
     "persona_base": """
-select *, concat('9', lpad(cast(c_custkey as varchar(20)),7,'0')) as f8
+select *, lpad(cast(case when c_custkey between 0 and 99999999 then (90000000+c_custkey)%100000000
+  else cast(concat('no number left for customer ',cast(c_custkey as varchar(20))) as bigint) end as varchar(20)),8,'0')
+  as f8
 from {customer} join {nation} on c_nationkey=n_nationkey""",
     "persona": """
 select concat(f8, cast(((9*cast(substr(f8,1,1) as int)+8*cast(substr(f8,2,1) as int)
@@ -40,7 +42,9 @@ from {persona_base}""",
     "ikv": """
 select concat('IKV-',cast(o_orderkey as varchar(20))) as ikv_id, bsn,
  case when o_orderkey%97=0 then cast(o_orderkey as varchar(20))
-  else concat(lpad(cast(o_orderkey as varchar(20)),9,'0'),'L',lpad(cast(o_orderkey%99+1 as varchar(2)),2,'0'))
+  when o_orderkey between 0 and 98999999999
+   then concat(lpad(cast(o_orderkey%1000000000 as varchar(20)),9,'0'),'L',lpad(cast(o_orderkey%99+1 as varchar(2)),2,'0'))
+  else cast(cast(concat('no number left for order ',cast(o_orderkey as varchar(20))) as bigint) as varchar(20))
   end as lh_nummer,
  case when o_orderkey%83=0 then null else o_orderpriority end as werkgever_naam,
  cast(o_orderdate as date) as aanvang_dienstverband,
@@ -55,15 +59,16 @@ select concat('WW-',cast(o_orderkey as varchar(20))) as aanvraag_id, bsn,
  cast(o_orderdate as date) as aanvraag_datum, cast(o_orderdate as date) - 14 as laatste_werkdag,
  case o_orderkey%4 when 0 then 'ontslag_werkgever' when 1 then 'einde_contract'
   when 2 then 'wederzijds_goedvinden' else 'eigen_initiatief' end as reden_einde_dienstverband,
- case (o_orderkey @div@ 10)%4 when 0 then 'INGEDIEND' when 1 then 'IN_BEHANDELING' when 2 then 'TOEGEKEND'
-  else 'AFGEWEZEN' end as status
-from {orders} join {persona} on o_custkey=c_custkey where o_orderkey%10=1""",
+ case (o_orderkey @div@ 10)%4 when 0 then 'INGEDIEND'
+  when 1 then case when o_orderkey%10=9 then 'in behandeling' else 'IN_BEHANDELING' end when 2 then 'TOEGEKEND'
+  else case when o_orderkey%10=9 then 'afgewezen' else 'AFGEWEZEN' end end as status
+from {orders} join {persona} on o_custkey=c_custkey where o_orderkey%10 in (1,9)""",
     "wia": """
 select concat('WIA-',cast(o_orderkey as varchar(20))) as aanvraag_id, bsn,
  cast(o_orderdate as date) as aanvraag_datum, cast(o_orderdate as date) - 700 as eerste_ziektedag, regio_code,
  case when o_orderkey%3=0 then 'IVA' else 'WGA' end as onderdeel,
- case (o_orderkey @div@ 10)%5 when 0 then 'INGEDIEND' when 1 then 'IN_BEHANDELING' when 2 then 'TOEGEKEND_WGA'
-  when 3 then 'TOEGEKEND_IVA' else 'AFGEWEZEN' end as status,
+ case (o_orderkey @div@ 10)%6 when 0 then 'INGEDIEND' when 1 then 'IN_BEHANDELING' when 2 then 'TOEGEKEND_WGA'
+  when 3 then 'TOEGEKEND_IVA' when 4 then 'TOEGEKEND' else 'AFGEWEZEN' end as status,
  case when o_orderkey%7=0 then null else cast(o_orderkey%101 as int) end as arbeidsongeschikt_pct
 from {orders} join {persona} on o_custkey=c_custkey where o_orderkey%10=3""",
     "zw": """
@@ -76,7 +81,7 @@ select concat('WAJ-',cast(o_orderkey as varchar(20))) as dossier_id, bsn,
  case o_orderkey%4 when 0 then null when 1 then 'volledig' when 2 then 'gedeeltelijk' else 'duurzaam_geen' end
   as arbeidsvermogen,
  case when o_orderkey%40=7 then null else cast(o_orderdate as date) end as ingangsdatum
-from {orders} join {persona} on o_custkey=c_custkey where o_orderkey%20=7""",
+from {orders} join {persona} on o_custkey=c_custkey where o_orderkey%10=7""",
     "crm": """
 select concat('CC-',cast(event_id as varchar(20))) as contact_id, bsn,
  case event_type when 'view' then 'telefoon' when 'click' then 'mail' when 'signup' then 'balie'
@@ -169,8 +174,6 @@ def _needs(name: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", text)
 
 
-# Tables that feed a costly projection (49 billing columns), with the columns that tell their rows apart.
-SPREAD_BY = {"lineitem": ("l_orderkey", "l_linenumber")}
 _SEEN: dict[tuple, DataFrame] = {}
 
 
@@ -182,17 +185,6 @@ def _stamp(sf_dir: str) -> tuple | None:
     return tuple((os.stat(file).st_mtime_ns, os.stat(file).st_size) for file in files)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. One that feeds a costly projection and arrives in fewer splits than there are cores
-    (here: one file with one row group) is spread first, or a single task would run the projection.
-    A table of many files is left as it is."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_BY and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, *SPREAD_BY[name])
-    return df
-
-
 def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table as a lazy DataFrame. Only the plan is kept for the next call, never rows."""
     return _domain(spark, sf_dir, name, _stamp(sf_dir))
@@ -203,7 +195,7 @@ def _domain(spark: SparkSession, sf_dir: str, name: str, stamp: tuple | None) ->
     if stamp is not None and key in _SEEN:
         return _SEEN[key]
     if name in TEST_TABLES:
-        df = _table(spark, sf_dir, name)
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     else:
         inputs = {needed: _domain(spark, sf_dir, needed, stamp) for needed in dict.fromkeys(_needs(name))}
         df = spark.sql(VIEWS[name].replace("@div@", "div"), **inputs)

@@ -9,6 +9,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from polderlake.functions.numbers import first_of_year
 from polderlake.plans.clients import WIA_GRANTED
@@ -18,7 +19,7 @@ from polderlake.sources.lookups import ROLES
 REGION_SCHEMAS = ("wia", "uc01_wia_funnel")
 OPT_OUT_SCHEMA = "uc04_tw_eligibility"
 JOURNEY_SCHEMA = "uc11_klantreis"
-SANDBOX_PREFIX = "sandbox"
+SANDBOX = "sandbox"
 
 
 def capable(roles: Iterable[str], capability: str) -> bool:
@@ -46,8 +47,9 @@ def filter_opt_out(schema: str) -> Column | None:
     return ~F.col("opt_out") if schema == OPT_OUT_SCHEMA else None
 
 
-def filter_pseudo_only(schema: str) -> Column | None:
-    return F.col("bsn_pseudo").isNotNull() if schema.startswith(SANDBOX_PREFIX) else None
+def filter_pseudo_only(schema: str, catalog: str | None = None) -> Column | None:
+    """In the sandbox, by catalog or by the prefix of the schema, only rows with a pseudonym."""
+    return F.col("bsn_pseudo").isNotNull() if catalog == SANDBOX or schema.startswith(SANDBOX) else None
 
 
 def filter_region_or_null(schema: str, roles: Sequence[str], region: str | None) -> Column | None:
@@ -64,11 +66,13 @@ def filter_medical_events(schema: str, roles: Sequence[str]) -> Column | None:
     return None
 
 
-def row_filters(schema: str, roles: Sequence[str], region: str | None = None) -> list[Column]:
+def row_filters(
+    schema: str, roles: Sequence[str], region: str | None = None, catalog: str | None = None
+) -> list[Column]:
     candidates = [
         filter_region(schema, roles, region),
         filter_opt_out(schema),
-        filter_pseudo_only(schema),
+        filter_pseudo_only(schema, catalog),
         filter_region_or_null(schema, roles, region),
         filter_medical_events(schema, roles),
     ]
@@ -93,10 +97,11 @@ def mask_bank_account(roles: Sequence[str]) -> Column | None:
     return F.lit("NLxx XXXX XXXX XXXX")
 
 
-def mask_medical(roles: Sequence[str]) -> Column | None:
+def mask_medical(roles: Sequence[str], data_type: str | DataType = "string") -> Column | None:
+    """Null of the column's own type."""
     if capable(roles, "can_see_medical") or capable(roles, "break_glass"):
         return None
-    return F.lit(None).cast("string")
+    return F.lit(None).cast(data_type)
 
 
 def mask_birth_year(roles: Sequence[str]) -> Column | None:
@@ -115,15 +120,17 @@ def mask_source_ref(schema: str, roles: Sequence[str]) -> Column | None:
     return F.lit("***") if schema.lower() == JOURNEY_SCHEMA and hidden else None
 
 
-def column_mask(schema: str, column: str, roles: Sequence[str]) -> Column | None:
-    """The mask for one column, or None for clear text."""
+def column_mask(
+    schema: str, column: str, roles: Sequence[str], data_type: str | DataType = "string"
+) -> Column | None:
+    """The mask for one column of the given type, or None for clear text."""
     name = column.lower()
     if name == "bsn":
         return mask_bsn(roles)
     if name in ("iban", "bankrekening"):
         return mask_bank_account(roles)
     if name in ("diagnose", "icd10"):
-        return mask_medical(roles)
+        return mask_medical(roles, data_type)
     if name == "geboortedatum":
         return mask_birth_year(roles)
     if name == "event_label":
@@ -133,16 +140,18 @@ def column_mask(schema: str, column: str, roles: Sequence[str]) -> Column | None
     return None
 
 
-def governed_read(df: DataFrame, schema: str, roles: Sequence[str], region: str | None = None) -> DataFrame:
+def governed_read(
+    df: DataFrame, schema: str, roles: Sequence[str], region: str | None = None, catalog: str | None = None
+) -> DataFrame:
     """All row filters (joined by AND) and all masks, as one filter and one projection.
 
     The filters see clear values. Both steps are narrow, so they reach the scan like any filter.
     """
-    conditions = row_filters(schema, roles, region)
+    conditions = row_filters(schema, roles, region, catalog)
     visible = df.filter(reduce(and_, conditions)) if conditions else df
     masked = []
     for name in df.columns:
-        mask = column_mask(schema, name, roles)
+        mask = column_mask(schema, name, roles, df.schema[name].dataType)
         masked.append(F.col(name) if mask is None else mask.alias(name))
     return visible.select(*masked)
 

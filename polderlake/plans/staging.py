@@ -6,6 +6,8 @@ that needs a few fields passes only those to `decode_payload`; the others are th
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -210,8 +212,16 @@ def stg_billing(bronze: DataFrame) -> DataFrame:
 def inferred_payload_schema(bronze: DataFrame) -> str:
     """Schema of all payloads, merged over every row by one aggregate (only its text reaches the driver)."""
     payload = F.try_parse_json(F.get_json_object("payload", "$.payload"))
-    merged = bronze.agg(F.schema_of_variant_agg(payload).alias("s")).first().s
-    return merged.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    return typed_schema(bronze.agg(F.schema_of_variant_agg(payload).alias("s")).first().s)
+
+
+def typed_schema(merged: str) -> str:
+    """A variant schema as the schema of a struct: objects are structs, and what is always null is text.
+
+    Only types are replaced: field names that contain the same letters, and quoted names, stay.
+    """
+    words = r"`(?:[^`]|``)*`|(?<![\w`])OBJECT<|(?<![\w`])VOID(?=[,>]|$)"
+    return re.sub(words, lambda found: {"OBJECT<": "STRUCT<", "VOID": "STRING"}.get(found[0], found[0]), merged)
 
 
 def explode_payload(bronze: DataFrame, schema: str | None = None) -> DataFrame:
