@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polderlake.functions.streams import without_scheme
 from polderlake.sources.tables import write_path
 
 # Texts read as null, timestamp patterns in the order they are tried, boolean texts.
@@ -24,6 +27,7 @@ TRUE_TEXTS = ("1", "true", "True", "TRUE")
 FALSE_TEXTS = ("0", "false", "False", "FALSE")
 SPARK_TYPES = {"varchar": "string", "integer": "bigint", "double": "double", "boolean": "boolean", "date": "date"}
 NUMERIC_TYPES = ("integer", "double", "decimal")
+_FILE = "_file"
 
 
 @dataclass(frozen=True)
@@ -96,10 +100,30 @@ def typed_columns(raw: DataFrame, columns: Sequence[CsvColumn], strict: bool = T
     return raw.select(*result)
 
 
+def files_by_header(spark: SparkSession, path: str | Sequence[str]) -> list[list[str]]:
+    """The files of `path`, those with the same header line together. Files without a line are left out.
+
+    Only the header lines and the files' names reach the driver.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    headers = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
+    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("files").collect()
+    return [[unquote(file) for file in row.files] for row in groups]
+
+
 def read_csv(
-    spark: SparkSession, path: str, columns: Sequence[CsvColumn], form: CsvFormat = CsvFormat(), strict: bool = True
+    spark: SparkSession,
+    path: str | Sequence[str],
+    columns: Sequence[CsvColumn],
+    form: CsvFormat = CsvFormat(),
+    strict: bool = True,
+    file_column: str | None = None,
 ) -> DataFrame:
-    """A CSV file (or folder) by its declared columns."""
+    """CSV files (or folders) by their declared columns.
+
+    Columns are found by the header of their own file: files whose headers differ in order or in extra columns are read
+    apart. `file_column` names a further column with the file's path.
+    """
     reader = (
         spark.read.option("sep", form.delimiter)
         .option("encoding", form.encoding)
@@ -107,15 +131,24 @@ def read_csv(
         .option("multiLine", False)
         .option("escape", '"')
     )
-    if form.has_header:
-        raw = reader.csv(path)
-    else:
-        raw = reader.schema(", ".join(f"`{column.name}` string" for column in columns)).csv(path)
-    return typed_columns(raw, columns, strict)
+    paths = [path] if isinstance(path, str) else list(path)
 
+    def typed(raw: DataFrame) -> DataFrame:
+        if file_column is None:
+            return typed_columns(raw, columns, strict)
+        named = raw.withColumn(_FILE, F.col("_metadata.file_path"))
+        own = typed_columns(named, [*columns, CsvColumn(_FILE, "varchar")], strict)
+        return own.withColumnRenamed(_FILE, file_column)
 
-def constraint_report(df: DataFrame, columns: Sequence[CsvColumn]) -> DataFrame:
-    """(rule, n_violations) for non-empty, required, min and max rules, from one aggregate."""
+    if not form.has_header:
+        return typed(reader.schema(", ".join(f"`{column.name}` string" for column in columns)).csv(paths))
+    groups = files_by_header(spark, paths)
+    if len(groups) <= 1:
+        return typed(reader.csv(paths))
+    return reduce(DataFrame.unionByName, [typed(reader.csv(files)) for files in groups])
+
+
+def _rule_counts(columns: Sequence[CsvColumn]) -> dict[str, Column]:
     counts = {"non_empty": F.when(F.count(F.lit(1)) == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")}
     for column in columns:
         value = F.col(f"`{column.name}`")
@@ -125,6 +158,12 @@ def constraint_report(df: DataFrame, columns: Sequence[CsvColumn]) -> DataFrame:
             counts[f"min:{column.name}"] = F.count_if(value < column.min)
         if column.type in NUMERIC_TYPES and column.max is not None:
             counts[f"max:{column.name}"] = F.count_if(value > column.max)
+    return counts
+
+
+def constraint_report(df: DataFrame, columns: Sequence[CsvColumn]) -> DataFrame:
+    """(rule, n_violations) for non-empty, required, min and max rules, from one aggregate."""
+    counts = _rule_counts(columns)
     one_row = df.agg(*[count.alias(rule) for rule, count in counts.items()])
     return one_row.unpivot([], list(counts), "rule", "n_violations")
 
@@ -136,6 +175,18 @@ def assert_constraints(df: DataFrame, columns: Sequence[CsvColumn]) -> None:
         raise ValueError("; ".join(f"{row.rule}: {row.n_violations}" for row in broken))
 
 
+def assert_file_constraints(df: DataFrame, columns: Sequence[CsvColumn], file_column: str, paths: Sequence[str]) -> None:
+    """Raise with the rules that single files break. One aggregate over all files; a file without rows is empty."""
+    counts = _rule_counts(columns)
+    by_file = df.groupBy(file_column).agg(*[count.alias(rule) for rule, count in counts.items()])
+    rows = by_file.unpivot(file_column, list(counts), "rule", "n_violations").collect()
+    seen = {without_scheme(unquote(row[file_column])) for row in rows}
+    broken = [f"{unquote(row[file_column])}: {row.rule}: {row.n_violations}" for row in rows if row.n_violations > 0]
+    broken += [f"{path}: non_empty: 1" for path in paths if without_scheme(path) not in seen]
+    if broken:
+        raise ValueError("; ".join(sorted(broken)))
+
+
 def add_audit_columns(
     df: DataFrame, source_file: str | Column, partition_column: str = "event_date", now: datetime | None = None
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from polderlake.functions.streams import stream_of_path, table_of_stream
+from polderlake.streaming.publish import publish_batch, query_identity
 
 
 def raw_jsonl_stream(spark: SparkSession, root: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -33,24 +34,16 @@ def bronze_enrich(lines: DataFrame, root: str) -> DataFrame:
     )
 
 
-def route_batch(batch: DataFrame, batch_id: int, base: str, prefix: str) -> None:
+def route_batch(batch: DataFrame, batch_id: int, base: str, prefix: str, query_id: str = "batch") -> None:
     """Append a micro-batch to its tables with one write; rows of unknown streams are left out.
 
-    The batch number is the last partition level and the write replaces exactly its partitions, so a
-    batch that is repeated after a failure leaves no duplicates.
+    A batch that is repeated after a failure leaves no duplicates; see `publish_batch`.
     """
     if batch.isEmpty():
         return
     named = batch.withColumn("table_name", table_of_stream(F.col("stream"), prefix))
-    (
-        named.filter(F.col("table_name").isNotNull())
-        .drop("stream")
-        .withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("table_name", "event_date", "batch_id")
-        .parquet(base)
-    )
+    known = named.filter(F.col("table_name").isNotNull()).drop("stream")
+    publish_batch(known, base, ["table_name", "event_date"], query_id, batch_id)
 
 
 def route_streams(
@@ -67,7 +60,8 @@ def route_streams(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        route_batch(batch, batch_id, base, prefix)
+        query_id = query_identity(batch.sparkSession, checkpoint)
+        route_batch(batch, batch_id, base, prefix, query_id)
         if report is not None:
             report(batch_id, batch.groupBy("stream").count())
 
@@ -80,4 +74,4 @@ def route_streams(
 def bronze_table(spark: SparkSession, base: str, table: str) -> DataFrame:
     """One bronze table; only its own folder is listed."""
     folder = f"{base.rstrip('/')}/table_name={table}"
-    return spark.read.option("basePath", folder).parquet(folder).drop("batch_id")
+    return spark.read.option("basePath", folder).parquet(folder)

@@ -1,8 +1,9 @@
-"""CSV uploads dropped into a folder, taken one at a time, oldest first."""
+"""CSV uploads dropped into a folder, each taken once."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,19 @@ from polderlake.sources.csv_files import (
     CsvColumn,
     CsvFormat,
     add_audit_columns,
-    assert_constraints,
+    assert_file_constraints,
     read_csv,
     within_prefix,
 )
+from polderlake.streaming.publish import publish_batch, query_identity
+
+
+def files_without_content(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files directly in `folder` that have no byte; hidden ones don't count."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [file.getPath().getName() for file in found if file.isFile() and file.getLen() == 0]
+    return sorted(name for name in names if not name.startswith(("_", ".")))
 
 
 def watch_incoming(
@@ -29,37 +39,40 @@ def watch_incoming(
     form: CsvFormat = CsvFormat(),
     partition_column: str = "event_date",
     trigger_seconds: int | None = 120,
+    files_per_trigger: int = 1000,
 ) -> StreamingQuery:
     """Ingest each file of `incoming` once and move finished files to `processed`.
 
-    The checkpoint remembers every file taken, so a restart skips it. A file that breaks a constraint
-    stops the stream and stays where it is. The archive step runs when the following batch starts.
+    The checkpoint remembers every file taken, so a restart skips it. The files of a batch are read together and
+    checked one by one. An empty file, or one that breaks a constraint, stops the stream; the files of its batch stay
+    where they are. The archive step runs when the following batch starts.
     """
+    # One row per file; the content is not read here.
     arrivals = (
-        spark.readStream.format("text")
-        .option("maxFilesPerTrigger", 1)
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .option("maxFilesPerTrigger", files_per_trigger)
         .option("cleanSource", "archive")
         .option("sourceArchiveDir", processed)
         .load(incoming)
-        .select(F.col("_metadata.file_path").alias("path"))
+        .select("path")
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # One file per batch, so this is one row.
-        for row in batch.distinct().collect():
-            path = row.path
+        # At most `files_per_trigger` rows. Spark passes over files without a byte, so these are looked for.
+        empty = files_without_content(spark, incoming)
+        if empty:
+            raise ValueError(f"non_empty: no content in {empty}")
+        paths = [unquote(row.path) for row in batch.collect()]
+        for path in paths:
             if not within_prefix(without_scheme(path), without_scheme(incoming)):
                 raise ValueError(f"{path!r} is not below {incoming!r}")
-            rows = read_csv(spark, path, columns, form)
-            assert_constraints(rows, columns)
-            (
-                add_audit_columns(rows, path, partition_column)
-                .withColumn("batch_id", F.lit(batch_id))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(partition_column, "batch_id")
-                .parquet(bronze_path)
-            )
+        if not paths:
+            return
+        rows = read_csv(spark, paths, columns, form, file_column="source_file")
+        assert_file_constraints(rows, columns, "source_file", paths)
+        audited = add_audit_columns(rows, F.col("source_file"), partition_column)
+        publish_batch(audited, bronze_path, [partition_column], query_identity(spark, checkpoint), batch_id)
 
     writer = arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if trigger_seconds is None:

@@ -58,6 +58,17 @@ def test_repeated_batch_leaves_no_duplicates(spark, tmp_path):
     assert bronze.bronze_table(spark, base, "a_b").count() == 4
 
 
+def test_a_fresh_checkpoint_or_a_second_query_adds_rows(spark, tmp_path):
+    base = str(tmp_path / "bronze")
+    for n, root in enumerate(("raw", "raw", "other")):
+        put(str(tmp_path / root), "org.persona.created", f"f{n}.jsonl", {"n": n})
+        drain(spark, str(tmp_path / root), base, str(tmp_path / f"checkpoint{n}"))
+    table = bronze.bronze_table(spark, base, "persona_created")
+    numbers = sorted(int(r[0]) for r in table.select(F.get_json_object("payload", "$.payload.n")).collect())
+    assert numbers == [0, 0, 1, 2], "the second checkpoint reads both files of the first folder again"
+    assert not list(Path(base).rglob("batch_id=*"))
+
+
 def test_empty_batch_writes_nothing(spark, tmp_path):
     bronze.route_batch(spark.createDataFrame([], "payload string, stream string, event_date date"), 0, str(tmp_path / "b"), "org")
     assert not (tmp_path / "b").exists()
@@ -95,6 +106,39 @@ def test_broken_upload_stops_the_stream(spark, tmp_path):
     assert (tmp_path / "incoming" / "bad.csv").exists() and not (tmp_path / "bronze").exists()
 
 
+def test_empty_upload_stops_the_stream(spark, tmp_path):
+    (tmp_path / "incoming").mkdir()
+    (tmp_path / "incoming" / "empty.csv").write_text("")
+    with pytest.raises(Exception, match="non_empty"):
+        watch(spark, tmp_path)
+    assert (tmp_path / "incoming" / "empty.csv").exists()
+
+
+def test_upload_with_a_header_alone_is_empty(spark, tmp_path):
+    (tmp_path / "incoming").mkdir()
+    (tmp_path / "incoming" / "head.csv").write_text("id,kind\n")
+    (tmp_path / "incoming" / "good.csv").write_text("id,kind\n1,a\n")
+    with pytest.raises(Exception, match="head.csv: non_empty"):
+        watch(spark, tmp_path)
+
+
+def test_a_thousand_uploads_with_two_headers(spark, tmp_path):
+    (tmp_path / "incoming").mkdir()
+    for i in range(1000):
+        text = f"id,kind\n{i + 1},k{i}\n" if i % 2 else f"kind,id\nk{i},{i + 1}\n"
+        (tmp_path / "incoming" / f"u {i}.csv").write_text(text)
+    watch(spark, tmp_path)
+    df = spark.read.parquet(str(tmp_path / "bronze"))
+    assert sorted((r.id, r.kind) for r in df.collect()) == [(i + 1, f"k{i}") for i in range(1000)]
+    (tmp_path / "incoming" / "more.csv").write_text("id,kind\n5000,z\n")
+    csv_drop.watch_incoming(
+        spark, str(tmp_path / "incoming"), str(tmp_path / "done"), COLUMNS, str(tmp_path / "bronze"),
+        str(tmp_path / "fresh"), trigger_seconds=None,
+    ).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "bronze")).where("id = 5000").count() == 1
+    assert spark.read.parquet(str(tmp_path / "bronze")).where("id <= 1000").count() >= 1000
+
+
 # ---- alerts -----------------------------------------------------------------------------------------
 
 LINES = "ts timestamp, namespace string, container string, message string"
