@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog.oracle import oracle
 from catalog.registry import query, rounded
-from fixtures.domain import AS_OF_DATE, AS_OF_TS, SALT, domain
+from fixtures.domain import AS_OF_DATE, AS_OF_TS, SALT, domain, row_count
 from polderlake.plans import billing, clients, finance, journey, quality, staging
 from polderlake.sources import lookups
 from polderlake.sources.envelopes import envelope
@@ -119,6 +119,17 @@ def stg_billing(spark: SparkSession, sf: str) -> DataFrame:
     return _billing(spark, sf)
 
 
+@query(
+    "payload_explode_odd_names",
+    oracle("wia", "select aanvraag_id, cast(null as varchar) as VOIDED_AT, status as IS_VOID from wia"),
+)
+def payload_explode_odd_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields whose names hold the name of a type, one of them always null; the schema is inferred."""
+    payload = F.to_json(F.struct("aanvraag_id", F.lit(None).cast("string").alias("VOIDED_AT"), F.col("status").alias("IS_VOID")), {"ignoreNullFields": "false"})
+    bronze = domain(spark, sf, "wia").select(F.concat(F.lit('{"payload":'), payload, F.lit("}")).alias("payload"))
+    return staging.explode_payload(bronze).select("aanvraag_id", "VOIDED_AT", "IS_VOID")
+
+
 @query(
     "payload_explode",
     oracle(
@@ -141,8 +152,13 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return journey.journey_events({entity: domain(spark, sf, view) for entity, view in ENTITIES.items()})
 
 
+def most_events(spark: SparkSession, sf: str) -> int:
+    """A bound on the events: one for a customer or a contact, and two for an order."""
+    return sum(weight * row_count(spark, sf, name) for name, weight in (("customer", 1), ("orders", 2), ("events", 1)))
+
+
 def phases(spark: SparkSession, sf: str) -> DataFrame:
-    return journey.phases_of_events(events(spark, sf))
+    return journey.phases_of_events(events(spark, sf), at_most=most_events(spark, sf))
 
 
 query("journey_events", oracle("events_all", "select * from events_all"))(events)
@@ -150,7 +166,7 @@ query("journey_events", oracle("events_all", "select * from events_all"))(events
 
 @query("journey_ranked", oracle("ranked", "select * from ranked"))
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return journey.journey_ranked(events(spark, sf))
+    return journey.journey_ranked(events(spark, sf), at_most=most_events(spark, sf))
 
 
 query("journey_phases", oracle("phases", "select * from phases"))(phases)
@@ -158,7 +174,7 @@ query("journey_phases", oracle("phases", "select * from phases"))(phases)
 
 @query("journey_phases_hosted", oracle("phases_hosted", "select * from phases_hosted"))
 def phases_hosted(spark: SparkSession, sf: str) -> DataFrame:
-    return journey.phases_of_events(events(spark, sf), journey.PHASES_HOSTED)
+    return journey.phases_of_events(events(spark, sf), journey.PHASES_HOSTED, at_most=most_events(spark, sf))
 
 
 # ---- persons --------------------------------------------------------------------------------------
@@ -282,7 +298,7 @@ def savings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("top_resources", _money_sql("top_resources", "effective_cost", "billed_cost", "usage_quantity"))
 def top_resources(spark: SparkSession, sf: str) -> DataFrame:
-    return _money(billing.top_resources(_billing(spark, sf)))
+    return _money(billing.top_resources(_billing(spark, sf), at_most=row_count(spark, sf, "lineitem")))
 
 
 def satisfaction(spark: SparkSession, sf: str) -> DataFrame:
@@ -337,5 +353,5 @@ def raw_billing_marts(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "breakdown": billing.service_breakdown(rows),
         "commitment": billing.commitment_utilization(rows),
         "savings": billing.savings(rows),
-        "top_resources": billing.top_resources(rows),
+        "top_resources": billing.top_resources(rows, at_most=row_count(spark, sf, "lineitem")),
     }

@@ -13,7 +13,7 @@ from catalog.registry import query, rounded
 from fixtures.domain import AS_OF_DATE, domain
 from polderlake.operators import matching, regression
 from polderlake.operators.charts import Chart, Filter, Metric, chart_query
-from polderlake.plans import analyses, dashboards
+from polderlake.plans import analyses, dashboards, journey
 from polderlake.session import freeze
 
 REFERENCE = date.fromisoformat(AS_OF_DATE)
@@ -75,8 +75,7 @@ def top_event_types(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def phase_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    # Both sides of the neighbour join read the phases, so they are stored first.
-    return analyses.phase_transitions(freeze(marts.phases(spark, sf)))
+    return analyses.phase_transitions(journey.phase_steps(marts.events(spark, sf), at_most=marts.most_events(spark, sf)))
 
 
 @query(
@@ -115,7 +114,7 @@ def journey_measures(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def journey_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    return analyses.journey_timeline(marts.ranked(spark, sf))
+    return analyses.journey_timeline(marts.events(spark, sf))
 
 
 @query(
@@ -128,7 +127,7 @@ def journey_timeline(spark: SparkSession, sf: str) -> DataFrame:
 )
 def journey_person_phases(spark: SparkSession, sf: str) -> DataFrame:
     first = domain(spark, sf, "ww").agg(F.min("bsn").alias("bsn")).scalar()
-    return analyses.person_phases(marts.phases(spark, sf), first)
+    return analyses.person_phases(marts.events(spark, sf), first, marts.most_events(spark, sf))
 
 
 # ---- regressions and comparisons ------------------------------------------------------------------

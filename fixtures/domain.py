@@ -202,3 +202,15 @@ def _domain(spark: SparkSession, sf_dir: str, name: str, stamp: tuple | None) ->
     if stamp is not None:
         _SEEN[key] = df
     return df
+
+
+_ROWS: dict[tuple, int] = {}
+
+
+def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Rows of a test table, from its file footers; kept until the table changes."""
+    stamp = _stamp(sf_dir)
+    key = (sf_dir, name, stamp)
+    if stamp is None or key not in _ROWS:
+        _ROWS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
+    return _ROWS[key]

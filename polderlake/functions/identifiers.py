@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -19,24 +20,35 @@ PAYROLL_FORMAT = "^[0-9]{9}L[0-9]{2}$"
 def weighted_digit_sum(digits: Column, weights: tuple[int, ...]) -> Column:
     """Sum of weight x digit over text of exactly `len(weights)` digits; null for other text.
 
-    The text becomes a number once and the digits come from whole-number arithmetic, which keeps the
-    generated code small.
+    The text becomes a number once and the digits come from whole-number arithmetic.
     """
-    number = digits.try_cast("int")
     powers = [10**place for place in reversed(range(len(weights)))]
-    terms = [
-        F.lit(weight) * (F.call_function("div", number, F.lit(power)) % 10)
-        for weight, power in zip(weights, powers, strict=True)
-    ]
-    return reduce(add, terms)
+
+    def total(number: Column) -> Column:
+        terms = [
+            F.lit(weight) * (F.call_function("div", number, F.lit(power)) % 10)
+            for weight, power in zip(weights, powers, strict=True)
+        ]
+        return reduce(add, terms)
+
+    return _with(digits.try_cast("int"), total)
+
+
+def _with(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """`rule(value)` with `value` worked out once, however often the rule names it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
 
 
 def is_valid_bsn(bsn: Column) -> Column:
     """Nine digits, no leading zero, weighted sum divisible by 11. Null stays null."""
-    remainder = weighted_digit_sum(bsn, BSN_WEIGHTS) % 11
-    # The length is tested as well, because `$` also matches before a line end.
-    shaped = (F.length(bsn) == 9) & bsn.rlike(BSN_FORMAT) & ~bsn.startswith("0")
-    return F.when(bsn.isNotNull(), shaped & F.coalesce(remainder == 0, F.lit(False)))
+
+    def valid(text: Column) -> Column:
+        remainder = weighted_digit_sum(text, BSN_WEIGHTS) % 11
+        # The length is tested as well, because `$` also matches before a line end.
+        shaped = (F.length(text) == 9) & text.rlike(BSN_FORMAT) & ~text.startswith("0")
+        return F.when(text.isNotNull(), shaped & F.coalesce(remainder == 0, F.lit(False)))
+
+    return _with(bsn, valid)
 
 
 def bsn_check_digit(prefix: Column) -> Column:

@@ -16,28 +16,19 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polderlake.session import freeze
+from polderlake.session import freeze, stored
 
 # A window task sorts and spills this many rows comfortably; the bound is per key.
 HEAVY_ROWS = 5_000_000
-# At most this many keys are treated as heavy, since the limit rises with the table (see below). It
-# starts to rise at HEAVY_ROWS x HEAVY_KEYS = 500 billion rows; the key list stays a few megabytes.
-HEAVY_KEYS = 100_000
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], heavy_rows: int) -> tuple[DataFrame | None, int]:
     """Keys above the limit (or None) and the number of rows they hold.
 
-    The count is combined map-side, so a hot key travels as one partial count per task. The limit is
-    never below total / HEAVY_KEYS, so no more than HEAVY_KEYS keys can exceed it: the returned
-    frame is small whatever the table size.
+    The count is combined map-side, so a hot key travels as one partial count per task.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    seen = counts.agg(F.sum("_rows").alias("total"), F.max("_rows").alias("largest")).first()
-    if seen.largest is None or seen.largest <= heavy_rows:
-        return None, 0
-    limit = max(heavy_rows, seen.total // HEAVY_KEYS)
-    above = freeze(counts.filter(F.col("_rows") > limit))
+    above = freeze(counts.filter(F.col("_rows") > heavy_rows))
     held = above.agg(F.sum("_rows").alias("n")).first().n
     return (above.drop("_rows"), held) if held else (None, 0)
 
@@ -53,17 +44,28 @@ def _same_keys(keys: Sequence[str]) -> Column:
 
 
 def split_by_weight(
-    df: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS, counted: DataFrame | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    heavy_rows: int = HEAVY_ROWS,
+    counted: DataFrame | None = None,
+    at_most: int | None = None,
 ) -> tuple[DataFrame, DataFrame | None, int]:
     """(ordinary rows, rows of heavy keys or None, number of heavy rows).
 
     `counted` may name a frame that is cheaper to count and has at least as many rows per key, such
-    as the input of the aggregate that made `df`.
+    as the input of the aggregate that made `df`. `at_most` may give a bound on all rows that is known without
+    reading them: below the limit no key can be heavy, and nothing is counted. Without `counted` the rows are stored
+    first, so that they are made once, however often they are read.
     """
+    if at_most is not None and at_most <= heavy_rows:
+        return df, None, 0
+    if counted is None:
+        df = stored(df)
     heavy, held = heavy_keys(df if counted is None else counted, keys, heavy_rows)
     if heavy is None:
         return df, None, 0
-    marked = F.broadcast(_renamed(heavy, keys))  # at most HEAVY_KEYS rows
+    # Spark broadcasts the keys if they are few enough, and splits skewed partitions if not.
+    marked = _renamed(heavy, keys)
     return (
         df.join(marked, _same_keys(keys), "left_anti"),
         df.join(marked, _same_keys(keys), "left_semi"),
@@ -107,7 +109,7 @@ def total_in_pieces(
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     earlier = sizes.select(*keys, "_piece", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     # Pieces are contiguous in key order, so this has at most (pieces + heavy keys) rows.
-    offsets = F.broadcast(_renamed(earlier, [*keys, "_piece"]))
+    offsets = _renamed(earlier, [*keys, "_piece"])
     within = total_in_windows(placed, [*keys, "_piece"], order, F.col("_weight"), "_within")
     return within.join(offsets, _same_keys([*keys, "_piece"]), "inner").select(
         *df.columns, (F.col("_within") + F.col("_before")).cast("bigint").alias(name)
@@ -128,9 +130,10 @@ def running_total(
     weight: Column,
     name: str,
     heavy_rows: int = HEAVY_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """`sum(weight) over (partition by keys order by order rows unbounded preceding)` as bigint."""
-    ordinary, heavy, rows = split_by_weight(df, keys, heavy_rows)
+    ordinary, heavy, rows = split_by_weight(df, keys, heavy_rows, at_most=at_most)
     totals = total_in_windows(ordinary, keys, order, weight, name)
     if heavy is None:
         return totals
@@ -144,9 +147,10 @@ def number_rows(
     name: str,
     heavy_rows: int = HEAVY_ROWS,
     counted: DataFrame | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """`row_number() over (partition by keys order by order)` as bigint column `name`."""
-    ordinary, heavy, rows = split_by_weight(df, keys, heavy_rows, counted)
+    ordinary, heavy, rows = split_by_weight(df, keys, heavy_rows, counted, at_most)
     numbered = number_in_windows(ordinary, keys, order, name)
     if heavy is None:
         return numbered

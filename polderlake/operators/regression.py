@@ -30,23 +30,17 @@ def pay_features(employment: DataFrame, persona: DataFrame, reference: date) ->
 
 
 def feature_describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, n, mean, std, min, p25, p50, p75, max) per column, all from one histogram of the values."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "v")
-    values = histogram(long.filter(F.col("v").isNotNull()), ["feature"], "v")
-    sizes = values.groupBy("feature").agg(
-        F.sum("n").alias("n"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    # The mean comes first, so that the squares are of small numbers.
-    centred = values.withColumnRenamed("n", "_n").join(sizes.select("feature", "mean", "n"), "feature")
-    squares = F.sum(F.pow(F.col("value") - F.col("mean"), 2) * F.col("_n"))
-    spread = centred.groupBy("feature").agg(F.sqrt(F.try_divide(squares, F.max("n") - 1)).alias("std"))
+    """(feature, n, mean, std, min, p25, p50, p75, max) per column.
+
+    All but the quartiles come from one aggregate of the columns; the quartiles from a histogram of the values.
+    """
+    measures = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    one_row = wide.agg(*[F.struct(F.lit(c).alias("feature"), *[f(c).alias(name) for name, f in measures.items()]).alias(c) for c in columns])
+    described = one_row.select(F.inline(F.array(*columns)))
+    values = histogram(wide.unpivot([], list(columns), "feature", "v").filter(F.col("v").isNotNull()), ["feature"], "v")
     quartiles = percentiles(values, ["feature"], {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return sizes.join(spread, "feature").join(quartiles, "feature").select(
-        "feature", "n", "mean", "std", "min", "p25", "p50", "p75", "max"
-    )
+    return described.join(quartiles, "feature").select("feature", "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def regression_simple(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -83,17 +77,13 @@ def regression_two_features(df: DataFrame, y: str, x1: str, x2: str) -> DataFram
 
 
 def logistic_effect(
-    df: DataFrame, outcome: str, numeric: Sequence[str], categorical: Sequence[str], max_levels: int = 1000
+    df: DataFrame, outcome: str, numeric: Sequence[str], categorical: Sequence[str]
 ) -> DataFrame:
     """Logit model of a yes/no outcome: (feature, coefficient, std_error, z, p).
 
     Each category gets indicator columns but for its alphabetically first level. Fitting is Spark
     ML's reweighted least squares: every round is one aggregate over the partitions.
     """
-    levels = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first() if categorical else None
-    for name in categorical:
-        if levels[name] > max_levels:
-            raise ValueError(f"{name} has about {levels[name]} levels; a model takes at most {max_levels}")
     # The encoder leaves out the last level, so the order is reversed.
     indexers = [
         StringIndexer(inputCol=c, outputCol=f"{c}_index", stringOrderType="alphabetDesc") for c in categorical

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from polderlake.functions.numbers import ratio
 from polderlake.operators.percentiles import histogram, percentiles
 from polderlake.operators.ranking import with_neighbour
-from polderlake.plans.journey import PHASES
+from polderlake.plans.journey import EVENT_ORDER, PHASES, phases_of_events
 
 # ---- journeys -----------------------------------------------------------------------------------
 
@@ -54,11 +54,14 @@ def top_event_types(events: DataFrame, limit: int = 15) -> DataFrame:
 def phase_transitions(phases: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Matrix of phase -> next phase counts, zero where a transition never happens.
 
-    The next phase is found by a join on (person, number), which a busy person does not skew.
+    `journey.phase_steps` has the next phase already; in plain phases it is found by a join on (person, number),
+    which a busy person does not skew.
     """
     columns = sorted(set(PHASES.values())) if names is None else list(names)
-    nxt = with_neighbour(phases.select("bsn", "fase_volgnr", "fase"), ["bsn"], "fase_volgnr", 1, {"next_fase": "fase"})
-    pairs = nxt.filter(F.col("next_fase").isNotNull())
+    if "next_fase" not in phases.columns:
+        phases = phases.select("bsn", "fase_volgnr", "fase")
+        phases = with_neighbour(phases, ["bsn"], "fase_volgnr", 1, {"next_fase": "fase"})
+    pairs = phases.filter(F.col("next_fase").isNotNull())
     return pairs.groupBy("fase").pivot("next_fase", columns).count().na.fill(0, columns)
 
 
@@ -84,16 +87,17 @@ def journey_measures(events: DataFrame, phases: DataFrame) -> DataFrame:
 
 
 def journey_timeline(events: DataFrame, limit: int = 20) -> DataFrame:
-    """The first events by person and time."""
-    return events.orderBy("bsn", "event_ts", "event_seq").limit(limit).select(
+    """The first events by person, time and order of events; they need no numbers for that."""
+    return events.orderBy("bsn", *EVENT_ORDER).limit(limit).select(
         "bsn", "event_ts", "domein", "event_type", "event_label", "regio_code"
     )
 
 
-def person_phases(phases: DataFrame, bsn: str | Column) -> DataFrame:
-    """One person's phases in order."""
+def person_phases(events: DataFrame, bsn: str | Column, at_most: int | None = None) -> DataFrame:
+    """One person's phases in order, from that person's events alone."""
     chosen = bsn if isinstance(bsn, Column) else F.lit(bsn)
-    return phases.filter(F.col("bsn") == chosen).orderBy("fase_volgnr").select(
+    phases = phases_of_events(events.filter(F.col("bsn") == chosen), at_most=at_most)
+    return phases.orderBy("fase_volgnr").select(
         "bsn", "fase_volgnr", "fase", "fase_start_ts", "fase_eind_ts", "duur_dagen", "is_lopend"
     )
 

@@ -101,7 +101,7 @@ def savings(billing: DataFrame) -> DataFrame:
     return sums.withColumn("savings_pct", share)
 
 
-def top_resources(billing: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def top_resources(billing: DataFrame, heavy_rows: int = HEAVY_ROWS, at_most: int | None = None) -> DataFrame:
     """Cost per resource and month, ranked by cost within month and provider (ties by resource id)."""
     resource = F.coalesce(F.col("resource_id"), F.concat(F.lit("account-level:"), F.col("sub_account_id")))
     attributes = {
@@ -130,7 +130,7 @@ def top_resources(billing: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame
     order = [F.desc("effective_cost"), F.asc("resource_id"), F.asc("billing_currency")]
     ranked_by = ["billing_month", "provider"]
     # A charge belongs to one resource, so charges per month and provider bound the rows to rank.
-    return number_rows(per_resource, ranked_by, order, "rank_in_month", heavy_rows, counted=_usage(billing))
+    return number_rows(per_resource, ranked_by, order, "rank_in_month", heavy_rows, counted=_usage(billing), at_most=at_most)
 
 
 def satisfaction_monthly(satisfaction: DataFrame) -> DataFrame:

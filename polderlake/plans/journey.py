@@ -158,10 +158,13 @@ def _in_order(df: DataFrame) -> DataFrame:
     return df.select("bsn", "event_seq", *EVENT_COLUMNS[1:])
 
 
-def journey_ranked(events: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """`event_seq` numbers a person's events by time, domain, type (then source id, to settle ties)."""
+def journey_ranked(events: DataFrame, heavy_rows: int = HEAVY_ROWS, at_most: int | None = None) -> DataFrame:
+    """`event_seq` numbers a person's events by time, domain, type (then source id, to settle ties).
+
+    `at_most`: a bound on the number of events, if one is known.
+    """
     order = [F.col(name) for name in EVENT_ORDER]
-    return _in_order(number_rows(events, ["bsn"], order, "event_seq", heavy_rows))
+    return _in_order(number_rows(events, ["bsn"], order, "event_seq", heavy_rows, at_most=at_most))
 
 
 # Which event opens which phase. A key ending in `.` matches by prefix and needs one of
@@ -209,6 +212,7 @@ def _phase_row(start: Column, end: Column) -> list[Column]:
         end.alias("fase_eind_ts"),
         F.date_diff(end.cast("date"), start.cast("date")).alias("duur_dagen"),
         end.isNull().alias("is_lopend"),
+        "next_fase",
     ]
 
 
@@ -222,7 +226,11 @@ def _fold(openings: DataFrame, order: Sequence[str]) -> DataFrame:
     by_time = Window.partitionBy("bsn").orderBy(*order)
     starts = openings.withColumn("_before", F.lag("fase").over(by_time)).filter(_changes("_before"))
     bounded = starts.withColumns(
-        {"fase_volgnr": F.row_number().over(by_time), "_next": F.lead("event_ts").over(by_time)}
+        {
+            "fase_volgnr": F.row_number().over(by_time),
+            "_next": F.lead("event_ts").over(by_time),
+            "next_fase": F.lead("fase").over(by_time),
+        }
     )
     return bounded.select(*_phase_row(F.col("event_ts"), F.col("_next")))
 
@@ -237,35 +245,44 @@ def _fold_heavy(openings: DataFrame, order: Sequence[str], rows: int, heavy_rows
     before = with_neighbour(numbered, ["bsn"], "_n", -1, {"_before": "fase"})
     starts = freeze(before.filter(_changes("_before")).drop("_before"))
     placed = freeze(number_rows(starts, ["bsn"], [F.col("_n")], "fase_volgnr", heavy_rows))
-    after = with_neighbour(placed, ["bsn"], "fase_volgnr", 1, {"_next": "event_ts"})
+    after = with_neighbour(placed, ["bsn"], "fase_volgnr", 1, {"_next": "event_ts", "next_fase": "fase"})
     return after.select(*_phase_row(F.col("event_ts"), F.col("_next")))
 
 
-def _phases(events: DataFrame, order: Sequence[str], rules: Mapping[str, str], heavy_rows: int) -> DataFrame:
-    """Phases of events that `order` puts in time order. Events that open no phase go before the shuffle."""
+def phase_steps(
+    events: DataFrame,
+    order: Sequence[str] = EVENT_ORDER,
+    rules: Mapping[str, str] = PHASES,
+    heavy_rows: int = HEAVY_ROWS,
+    at_most: int | None = None,
+) -> DataFrame:
+    """Phases with the phase that follows each, from events that `order` puts in time order.
+
+    Events that open no phase go before the shuffle.
+    """
     openings = events.select(
         "bsn",
         *dict.fromkeys([*order, "event_ts"]),
         phase_of(F.col("event_type"), F.col("event_status"), rules).alias("fase"),
         F.col("event_type").alias("trigger_event_type"),
     ).filter(F.col("fase").isNotNull())
-    ordinary, heavy, rows = split_by_weight(openings, ["bsn"], heavy_rows)
+    ordinary, heavy, rows = split_by_weight(openings, ["bsn"], heavy_rows, at_most=at_most)
     phases = _fold(ordinary, order)
     return phases if heavy is None else phases.unionByName(_fold_heavy(heavy, order, rows, heavy_rows))
 
 
 def journey_phases(
-    ranked: DataFrame, rules: Mapping[str, str] = PHASES, heavy_rows: int = HEAVY_ROWS
+    ranked: DataFrame, rules: Mapping[str, str] = PHASES, heavy_rows: int = HEAVY_ROWS, at_most: int | None = None
 ) -> DataFrame:
     """Consecutive events of the same phase become one row per person, phase and period.
 
     Events that open no phase (contacts, record creation) do not end one either.
     """
-    return _phases(ranked, ["event_seq"], rules, heavy_rows)
+    return phase_steps(ranked, ["event_seq"], rules, heavy_rows, at_most).drop("next_fase")
 
 
 def phases_of_events(
-    events: DataFrame, rules: Mapping[str, str] = PHASES, heavy_rows: int = HEAVY_ROWS
+    events: DataFrame, rules: Mapping[str, str] = PHASES, heavy_rows: int = HEAVY_ROWS, at_most: int | None = None
 ) -> DataFrame:
     """The same straight from the unranked events: a number per event is not needed to order them."""
-    return _phases(events, EVENT_ORDER, rules, heavy_rows)
+    return phase_steps(events, EVENT_ORDER, rules, heavy_rows, at_most).drop("next_fase")

@@ -63,3 +63,10 @@ def freeze(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: a lost executor rereads it, never recomputes it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as Parquet below the shared folder: made once, and read column by column."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -63,13 +63,17 @@ def test_pieces_split_the_hot_key_over_tasks(spark):
     assert numbered.select((F.col("n") - 1 == F.col("a")).alias("ok")).filter("not ok").count() == 0
 
 
-def test_few_heavy_keys_whatever_the_limit(spark, monkeypatch):
-    """The limit rises with the table, so the broadcast list of heavy keys stays short."""
-    monkeypatch.setattr("polderlake.operators.ranking.HEAVY_KEYS", 1000)
+def test_every_key_above_the_limit_is_heavy(spark):
     df = spark.range(20_000).select((F.col("id") % 5000).alias("key"))
     heavy, held = heavy_keys(df, ["key"], 2)
-    # 5000 keys of 4 rows are above 2, but not above 20000 / 1000 = 20.
-    assert heavy is None and held == 0
+    assert heavy.count() == 5000 and held == 20_000
+
+
+def test_a_known_bound_saves_the_count(spark):
+    df = skewed(spark)
+    ordinary, heavy, rows = split_by_weight(df, ["key"], 10**6, at_most=10**6)
+    assert ordinary is df and heavy is None and rows == 0
+    assert split_by_weight(df, ["key"], 50, at_most=51)[1] is not None
 
 
 def test_counted_frame_decides(spark):
