@@ -19,6 +19,7 @@ from catalog.validation import alert_sql, sensitive
 from fixtures.domain import domain
 from polderlake.functions.streams import stream_of_path, table_of_stream
 from polderlake.operators.alerts import RATE_RULES
+from polderlake.plans import billing, staging
 from polderlake.plans.staging import PAYLOADS
 from polderlake.session import scratch_path
 from polderlake.sources import csv_files, envelopes, lookups, tables, upkeep
@@ -434,6 +435,61 @@ def retention_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(upkeep.rewrite_survivors(spark, path, target, "eerste_ziektedag", 7, RETAIN_AT))
 
 
+@query(
+    "retention_enforced",
+    oracle(
+        "crm fez zw persona",
+        """, f as (select make_date(jaar, maand, 1) as d from fez)
+select 'crm' as table_name, 'delete' as action, count(*) filter (where event_date < date '2024-01-20') as n_deleted,
+ count(*) filter (where event_date >= date '2024-01-20') as n_left from crm
+union all select 'fez', 'dry_run', count(*) filter (where d < date '2016-01-20'), count(*) from f
+union all select 'zw', 'delete', count(*) filter (where eerste_ziektedag < date '1998-01-20'),
+ count(*) filter (where eerste_ziektedag >= date '1998-01-20' or eerste_ziektedag is null) from zw
+union all select 'persona', 'manual', null, count(*) from persona""",
+    ),
+)
+def retention_enforced(spark: SparkSession, sf: str) -> DataFrame:
+    """One rule of each kind on stored tables: by folder, by rewriting, a dry run, and one left to a person."""
+    rows = {
+        "crm": domain(spark, sf, "crm").select("contact_id", "event_date"),
+        "fez": domain(spark, sf, "fez").select("wet", F.make_date("jaar", "maand", F.lit(1)).alias("event_date")),
+        "zw": domain(spark, sf, "zw").select("melding_id", "eerste_ziektedag"),
+        "persona": domain(spark, sf, "persona").select("bsn"),
+    }
+    rules = [
+        upkeep.RetentionRule("crm", "event_date", 2),
+        upkeep.RetentionRule("fez", "event_date", 10, dry_run=True),
+        upkeep.RetentionRule("zw", "eerste_ziektedag", 28),
+        upkeep.RetentionRule("persona", None, 7),
+    ]
+    paths = {name: scratch_path(spark, name) for name in rows}
+    for name, df in rows.items():
+        tables.write_path(df, paths[name], partition_by=["event_date"] if name == "crm" else [])
+    report, now = upkeep.enforce_retention(spark, paths, rules, date(2026, 1, 20))
+    left = None
+    for name, path in now.items():
+        one = spark.read.schema(rows[name].schema).parquet(path).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_left"))
+        left = one if left is None else left.unionByName(one)
+    return report.join(left, "table_name").select("table_name", "action", "n_deleted", "n_left")
+
+
+@query(
+    "billing_upload_to_spend",
+    marts._money_sql("spend_monthly", *marts._MONEY),
+)
+def billing_upload_to_spend(spark: SparkSession, sf: str) -> DataFrame:
+    """The billing upload by its declared columns: CSV, checks, bronze, staging, mart."""
+    upload, bronze_path = scratch_path(spark, "billing-csv"), scratch_path(spark, "billing")
+    rows = domain(spark, sf, "billing")
+    # The fixture has no period ends, which an upload must have.
+    ends = {"BillingPeriodEnd": F.add_months("BillingPeriodStart", 1).cast("timestamp"), "ChargePeriodEnd": F.date_add("ChargePeriodStart", 1).cast("timestamp")}
+    columns = csv_files.BILLING_CSV
+    text = rows.withColumns(ends).select(*[csv_files.as_text(c).alias(c.name) for c in columns])
+    text.write.option("header", True).option("emptyValue", "").option("escape", '"').csv(upload)
+    csv_files.ingest_csv(spark, f"{upload}/", upload, columns, bronze_path, load_date=date(2024, 1, 31))
+    return marts._money(billing.spend_monthly(staging.stg_billing(spark.read.parquet(bronze_path))))
+
+
 @query(
     "retention_dry_run",
     oracle(

@@ -197,6 +197,26 @@ def logistic_effect(spark: SparkSession, sf: str) -> DataFrame:
     return regression.logistic_effect(panel, "ooit_ww_toegekend", ["leeftijd", "n_wia_aanvragen"], ["geslacht"])
 
 
+@query(
+    "logistic_effect_binary",
+    oracle(
+        "effect_panel",
+        """, t as (select geslacht = 'M' as x, ooit_ww_toegekend as y, count(*) as n from effect_panel
+ where geslacht in ('M', 'V') and ooit_ww_toegekend is not null group by all), c as (select
+ cast(sum(n) filter (where x and y) as double) as a, cast(sum(n) filter (where x and not y) as double) as b,
+ cast(sum(n) filter (where not x and y) as double) as c, cast(sum(n) filter (where not x and not y) as double) as d from t)
+select 'man' as feature, round(ln(a*d/(b*c)), 4) as coefficient, round(sqrt(1/a + 1/b + 1/c + 1/d), 4) as std_error from c
+union all select 'const', round(ln(c/d), 4), round(sqrt(1/c + 1/d), 4) from c""",
+    ),
+)
+def logistic_effect_binary(spark: SparkSession, sf: str) -> DataFrame:
+    """With one yes/no feature the fit has a closed form: the log of the odds ratio and its standard error."""
+    panel = marts.effect_panel(spark, sf).where("geslacht in ('M', 'V')")
+    panel = panel.select("ooit_ww_toegekend", (F.col("geslacht") == "M").cast("double").alias("man"))
+    fitted = regression.logistic_effect(panel, "ooit_ww_toegekend", ["man"], [])
+    return rounded(fitted.select("feature", "coefficient", "std_error"), 4, "coefficient", "std_error")
+
+
 _PANEL = """, m as (select e.leeftijd, e.geslacht, e.huidige_status, p.regio_code from effect_panel e
  join (select upper(sha256(concat(bsn,'demo-salt'))) as bsn_pseudo, regio_code from persona) p using (bsn_pseudo))"""
 

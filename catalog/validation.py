@@ -195,27 +195,31 @@ def bsn_valid_share(spark: SparkSession, sf: str) -> DataFrame:
 _PROFILED = ("bsn", "kanaal", "duur_seconden", "event_date")
 
 
-@query(
-    "column_profile",
-    oracle(
+def _profile_sql(rows: str) -> str:
+    return oracle(
         "crm",
         " union all ".join(
             f"""select '{c}' as column_name, count(*) as n_records, count(*) filter (where {c} is null) as n_null,
  round(cast(count(*) filter (where {c} is null) as double) / count(*), 6) as null_fraction,
  count(distinct {c}) as n_distinct, cast(min({c}) as varchar) as min_value, cast(max({c}) as varchar) as max_value
- from crm"""
+ from {rows}"""
             for c in _PROFILED
         ),
-    ),
-)
+    )
+
+
+@query("column_profile", _profile_sql("crm"))
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(profiling.column_profile(domain(spark, sf, "crm"), _PROFILED), 6, "null_fraction")
 
 
-@query("column_profile_sampled")
+@query(
+    "column_profile_sampled",
+    _profile_sql("(select * from crm where cast('0x' || substr(md5(contact_id), 1, 8) as bigint) % 100 < 5)"),
+)
 def column_profile_sampled(spark: SparkSession, sf: str) -> DataFrame:
     sample = profiling.sample_by_key(domain(spark, sf, "crm"), "contact_id", 5)
-    return profiling.column_profile(sample, _PROFILED, exact=False)
+    return rounded(profiling.column_profile(sample, _PROFILED), 6, "null_fraction")
 
 
 @query(

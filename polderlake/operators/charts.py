@@ -50,13 +50,23 @@ class Filter:
         return COMPARISONS[name](target, F.lit(self.value))
 
 
+@dataclass(frozen=True)
+class SqlFilter:
+    """A free-form condition in SQL over the table's columns. Spark parses it; it can name no other table."""
+
+    text: str
+
+    def condition(self) -> Column:
+        return F.expr(self.text)
+
+
 @dataclass(frozen=True)
 class Chart:
     metrics: Sequence[Metric]
     group_by: Sequence[str] = ()
     time_column: str | None = None
     time_grain: str = "P1D"
-    filters: Sequence[Filter] = field(default_factory=tuple)
+    filters: Sequence[Filter | SqlFilter] = field(default_factory=tuple)
     row_limit: int = 1000
 
 

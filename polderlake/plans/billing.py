@@ -22,15 +22,18 @@ def _or_unknown(name: str) -> Column:
 
 
 def spend_monthly(billing: DataFrame) -> DataFrame:
-    return billing.groupBy(
-        "billing_month", "provider", "service_category", "charge_category", "billing_currency"
-    ).agg(
-        F.sum("billed_cost").alias("billed_cost"),
-        F.sum("effective_cost").alias("effective_cost"),
-        F.sum(_list_cost()).alias("list_cost"),
-        F.sum("savings_amount").alias("savings_amount"),
-        F.sum("usage_quantity").alias("usage_quantity"),
-        F.count(F.lit(1)).alias("n_charges"),
+    """Sums per month, and how many resources and accounts they come from.
+
+    Rows are summed per resource and account first, so the distinct counts see one row for each, not one per charge.
+    """
+    keys = ["billing_month", "provider", "service_category", "charge_category", "billing_currency"]
+    sums = {"billed_cost": F.col("billed_cost"), "effective_cost": F.col("effective_cost"), "list_cost": _list_cost(),
+            "savings_amount": F.col("savings_amount"), "usage_quantity": F.col("usage_quantity")}
+    each = billing.groupBy(*keys, "resource_id", "sub_account_id").agg(
+        *[F.sum(value).alias(name) for name, value in sums.items()], F.count(F.lit(1)).alias("n_charges")
+    )
+    return each.groupBy(*keys).agg(
+        *[F.sum(name).alias(name) for name in [*sums, "n_charges"]],
         F.count_distinct("resource_id").alias("n_resources"),
         F.count_distinct("sub_account_id").alias("n_sub_accounts"),
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polderlake.functions.streams import without_scheme
+from polderlake.plans.staging import BILLING_COLUMNS
 from polderlake.sources.tables import write_path
 
 # Texts read as null, timestamp patterns in the order they are tried, boolean texts.
@@ -58,6 +59,24 @@ class CsvFormat:
     encoding: str = "utf-8"
 
 
+def declared(name: str, spark_type: str, required: bool) -> CsvColumn:
+    """A column from a Spark type, such as `decimal(18,6)`."""
+    if spark_type.startswith("decimal"):
+        precision, scale = (int(n) for n in spark_type[8:-1].split(","))
+        return CsvColumn(name, "decimal", required, precision=precision, scale=scale)
+    return CsvColumn(name, {"string": "varchar", "bigint": "integer"}.get(spark_type, spark_type), required)
+
+
+def as_text(column: CsvColumn) -> Column:
+    """How an upload writes a value of the column."""
+    value = F.col(f"`{column.name}`")
+    return F.date_format(value, TIMESTAMP_PATTERNS[3]) if column.type == "timestamp" else value.cast("string")
+
+
+# The billing upload, by the columns that its staging declares.
+BILLING_CSV = tuple(declared(*column) for column in BILLING_COLUMNS)
+
+
 def _text(column: CsvColumn) -> Column:
     raw = F.col(f"`{column.name}`")
     return F.when(~raw.isin(*NULL_TEXTS), raw)

@@ -102,6 +102,35 @@ def rewrite_survivors(
     return target
 
 
+def enforce_retention(
+    spark: SparkSession, paths: Mapping[str, str], rules: Sequence[RetentionRule], as_of: date
+) -> tuple[DataFrame, dict[str, str]]:
+    """Apply the rules to stored tables: (table_name, action, n_deleted) per rule, and each table's path afterwards.
+
+    Without a date column a table is only flagged as manual, and a dry run only counts. Where the date is the first
+    partition level, folders go as a whole; else the survivors are written beside the table, verified, and their
+    path is returned. The caller switches to that path (`switch_location`) and drops the old one.
+    """
+    done, now = [], dict(paths)
+    for rule in rules:
+        path = paths[rule.table]
+        if rule.date_column is None:
+            done.append((rule.table, "manual", None))
+            continue
+        df = spark.read.format(DEFAULT_FORMAT).load(path)
+        old = df.filter(F.col(rule.date_column) < retention_cutoff(as_of, rule.years)).count()
+        if rule.dry_run or old == 0:
+            done.append((rule.table, "dry_run" if rule.dry_run else "delete", old))
+            continue
+        if partition_folders(spark, path, rule.date_column):
+            drop_expired_partitions(spark, path, rule.date_column, rule.years, as_of)
+        else:
+            target = f"{path.rstrip('/')}-kept-{as_of:%Y%m%d}"
+            now[rule.table] = rewrite_survivors(spark, path, target, rule.date_column, rule.years, as_of)
+        done.append((rule.table, "delete", old))
+    return spark.createDataFrame(done, "table_name string, action string, n_deleted bigint"), now
+
+
 def _partition_clause(spec: str) -> str:
     """`a=1/b=x%20y` -> `a='1', b='x y'`."""
     parts = []
