@@ -10,6 +10,7 @@ labelled pages: the small written ones below, and at most `MAX_PAGES` of the tab
 from __future__ import annotations
 
 import html
+import random
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -169,7 +170,7 @@ def features(page: Page, blind: bool = False) -> tuple[list[int], list[int]]:
     for i, tag in enumerate(tags):
         link = 4 * linked[i] // words[i] if words[i] else -1
         above = tags[page.parent[i]] if i else ""
-        told = ["bias", f"tag {tag}", f"above {above}", f"own {_level(page.words[i])}", f"all {_level(words[i])}", f"link {link}", f"stops {_level(page.stops[i])}", f"{tag} {_level(page.words[i])} {link}"]
+        told = ["bias", f"tag {tag}", f"above {above}", f"own {_level(page.words[i])}", f"all {_level(words[i])}", f"link {link}", f"stops {_level(page.stops[i])}", f"{tag} {_level(page.words[i])} {link}", f"{above} {tag}"]
         told += [f"name {name}" for name in page.names[i]]
         slots += [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in told]
         rows += [i] * len(told)
@@ -231,7 +232,7 @@ class ContentModel:
         self.weights, self.tie = weights, tie
 
     @classmethod
-    def train(cls, pages: Sequence[Page], *, steps: int = 400, rate: float = 0.4, decay: float = 0.02) -> ContentModel:
+    def train(cls, pages: Sequence[Page], *, steps: int = 250, rate: float = 0.4, decay: float = 0.02) -> ContentModel:
         """From pages with labels in their markup, each as it is and once without the tags that name the article."""
         forest = Forest([*pages, *pages], [False] * len(pages) + [True] * len(pages))
         label = np.array([x for page in pages for x in labels_of(page)] * 2)
@@ -261,50 +262,88 @@ _TEXT = (
     "The river rose for three days and the town watched it. Nobody had seen the water so high since the old bridge fell, and the council met twice.",
     "In the morning the engineers measured the walls again. They found no cracks, and the road to the harbour was opened before noon.",
     "She wrote about it in a letter to her brother, who had moved inland long ago. He answered that the hills were dry and the wells were low.",
-    "A second report will follow in the spring. Until then the gates stay shut at night, said the warden, and the boats stay in the basin.",
+    "A second report will follow in the spring.",
+    "It rained. The end.",
+    "Until then the gates stay shut at night, said the warden, and the boats stay in the basin",
 )
-_LINKS = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("Home", "News", "Sport", "About us", "Contact"))
-
-
-def written_pages() -> list[Page]:
-    """Labelled pages in common layouts: `data-main` marks the content, the rest is what surrounds it."""
-    paragraphs = "".join(f"<p>{x}</p>" for x in _TEXT)
-    short = f"<p>{_TEXT[0]}</p>"
-    lone = "<p>It rained. The end.</p>"
-    table = "<table><tr><td>Depth</td><td>3 m</td></tr><tr><td>Width</td><td>40 m</td></tr></table>"
-    tops = (
-        f'<nav><ul>{_LINKS}</ul></nav>',
-        f'<div class="menu"><ul>{_LINKS}</ul></div><div class="ad">Buy two lamps, get one free.</div>',
-        f'<header><h1><a href="/">The Daily Page</a></h1><div id="nav">{_LINKS}</div></header><div class="cookie-notice"><p>We use cookies to improve this site. By going on you agree.</p></div>',
-        '<div id="header"><h2>My site</h2><form action="/find"><input name="q"><label>Search this site</label></form></div>',
-    )
-    ends = (
-        "<footer>&copy; 2020 The Daily Page. All rights reserved.</footer>",
-        f'<div class="sidebar"><h3>Most read</h3><ul>{_LINKS}</ul></div><div id="footer"><p>Imprint. Terms of use.</p></div>',
-        '<section class="comments"><h3>Comments</h3><div class="comment"><p>Great story, I was there too. The water was up to my knees that day.</p></div><div class="comment"><p>Thanks for writing this.</p></div></section><footer><p>Contact us.</p></footer>',
-        '<aside><h4>Related stories</h4><p>Ten bridges you must see before they fall.</p></aside><form><p>Subscribe to our newsletter. We never share your address.</p></form>',
-    )
-    bodies = (
-        f"<article data-main><h1>High water</h1>{paragraphs}</article>",
-        f'<div id="content" data-main><h1>High water</h1>{short}<h2>Measures</h2>{table}<ul><li>Shut the gates at night.</li><li>Keep the boats in the basin.</li></ul></div>',
-        f'<main><div class="post" data-main><h1>High water</h1>{short}<blockquote><p>{_TEXT[3]}</p></blockquote>{lone}</div></main>',
-        f'<table><tr><td data-main>{_TEXT[1]}<br>{_TEXT[2]}</td></tr></table>',
-        f"<article data-main><h1>Short note</h1>{lone}</article>",
-        "<article data-main><h1>The gates.</h1><p><b>The gates.<br></article>",
-        f'<div class="text" data-main>{paragraphs}<pre>level = 3</pre></div>',
-        f'<article data-main><h1>High water</h1>{short}<aside><p>Read more: ten bridges you must see.</p></aside><p>{_TEXT[2]}</p><section class="comments"><h3>2 comments</h3><p>I was there and it was cold.</p></section></article>',
-        f'<main data-main><h1>High water</h1>{short}<div class="share"><a href="/t">Share this</a></div><p>{_TEXT[1]}</p><form><p>Sign up for our letter.</p><input></form><div id="comments"><div class="comment"><p>First! What a lovely town it is.</p></div></div></main>',
-        f'<article data-main><header><nav>{_LINKS}</nav></header><section><h2>High water</h2><p>{_TEXT[2]}</p></section><section><h2>After</h2>{lone}</section><aside>Read on: ten bridges.</aside><div class="ad">Lamps are cheap this week.</div><form>Sign up here <input></form><p>{_TEXT[0]}</p><footer>Written by the editors.</footer></article>',
-        f'<main data-main><p>{_TEXT[3]}</p><aside class="related"><ul>{_LINKS}</ul></aside><div class="newsletter">Get our news by mail.</div></main>',
-    )
+# What stands around the content, before and after it, and what may stand inside it without being part of it.
+_LINKS = '<a href="/a">Home</a> <a href="/b">News</a> <a href="/c">About us</a>'
+_ITEMS = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">Contact</a></li></ul>'
+_BEFORE = (
+    f"<nav>{_LINKS}</nav>", f"<nav>{_ITEMS}</nav>", f'<div class="menu">{_ITEMS}</div>', f'<div id="nav">{_LINKS}</div>',
+    f'<div class="topbar">{_LINKS}</div>', f'<div id="navigation">{_ITEMS}</div>', f'<div class="navbar">{_LINKS}</div>',
+    f"<header><h1>The Daily Page</h1>{_LINKS}</header>", f"<header><p>News since 1901.</p><nav>{_ITEMS}</nav></header>",
+    '<div id="header"><h2>My site</h2></div>', '<div class="masthead"><h1><a href="/">The Page</a></h1></div>',
+    '<div class="cookie-banner"><p>We use cookies to improve this site. <button>OK</button></p></div>',
+    '<div id="consent">By going on you agree to our cookies. <a href="/p">More</a></div>',
+    '<div class="cookie-notice"><p>This site stores cookies.</p></div>', '<div class="notice">The site moves on Monday.</div>',
+    '<div class="alert"><p>Our office is closed today. Please call again.</p></div>',
+    '<form action="/s"><label>Search</label><input name="q"><button>Go</button></form>',
+    '<div class="ad">Buy two lamps, get one free.</div>', '<div class="advert"><p>Lamps are cheap this week.</p></div>',
+    '<div class="banner">Order now!</div>', '<div class="promo"><p>Half price on all lamps today only, so be quick and order.</p></div>',
+    f'<div class="breadcrumb">{_LINKS}</div>',
+)
+_AFTER = (
+    "<footer>&copy; 2020 The Daily Page. All rights reserved.</footer>", "<footer><p>Imprint. Terms of use.</p></footer>",
+    f"<footer>{_ITEMS}</footer>", '<div class="footer">The Daily Page 2020. Contact.</div>', '<div id="footer"><p>Terms of use.</p></div>',
+    "<aside><h3>Most read</h3><p>Ten bridges you must see before they fall.</p></aside>", f"<aside>{_ITEMS}</aside>",
+    f'<div class="sidebar"><h3>More</h3>{_ITEMS}</div>', '<div id="sidebar"><p>Our reporters write from the whole country. Send them a note.</p></div>',
+    '<section id="comments"><h2>Comments</h2><div class="comment"><p>Great story, I was there too. The water was up to my knees that day.</p></div><div class="comment"><p>Thanks for writing this.</p></div></section>',
+    '<div class="comments"><p><b>Ann:</b> I saw the bridge fall. It was loud!</p></div>',
+    '<section class="comments"><h3>2 comments</h3><ul><li>I was there and it was cold.</li><li>So was I.</li></ul></section>',
+    '<ol class="comment-list"><li>What a lovely town it is.</li><li>It is!</li></ol>',
+    '<div id="comments"><p>First! My uncle built that bridge in his youth, and he told us of it often.</p></div>',
+    f'<div class="related"><h4>See also</h4>{_LINKS}</div>', '<div class="newsletter"><form><p>Subscribe to our letter.</p><input></form></div>',
+    '<form><p>Sign up. We never share your address.</p><button>Send</button></form>', f'<div class="share">{_LINKS}</div>',
+    '<div class="ad">Lamps are cheap this week.</div>', f'<div class="pager">{_LINKS}</div>',
+)
+_INSIDE = (
+    "<aside><p>Read more: ten bridges you must see.</p></aside>", "<aside>Read on: the bridge.</aside>", '<div class="ad">Buy lamps now.</div>',
+    "<form>Sign up here <input><button>Send</button></form>", '<div class="comments"><p>I was there and it was cold.</p></div>',
+    "<footer>Written by the editors.</footer>", f'<div class="share">{_LINKS}</div>', f"<nav>{_LINKS}</nav>",
+    '<div class="related"><p>Ten more bridges.</p></div>', '<section id="comments"><p>First! What a town.</p></section>',
+    '<div class="newsletter">Get our news by mail.</div>', '<div class="promo"><p>Order a lamp today.</p></div>',
+)
+_PARTS = (
+    "<h2>Measures</h2>", "<ul><li>Shut the gates.</li><li>Keep the boats in.</li></ul>", "<blockquote>The walls will hold.</blockquote>",
+    "<blockquote><p>The walls will hold, said the warden.</p></blockquote>", "<table><tr><td>Depth</td><td>3 m</td></tr></table>",
+    "<pre>level = 3</pre>", "<header><h1>High water</h1></header>", f"<section><h3>After</h3><p>{_TEXT[2]}</p></section>",
+    "<figure><img src=x><figcaption>The bridge in spring.</figcaption></figure>", f"<div><p>{_TEXT[1]}</p></div>",
+)
+#: Around the content; `{}` is where it stands.
+_HOLDERS = (
+    "<article data-main>{}</article>", "<article data-main>{}</article>", "<main data-main>{}</main>", "<main><article data-main>{}</article></main>",
+    '<div id="content" data-main>{}</div>', '<div class="content" data-main>{}</div>', '<div class="article-body" data-main>{}</div>',
+    '<div class="post" data-main>{}</div>', '<div class="entry-content" data-main>{}</div>', '<div class="story" data-main>{}</div>',
+    '<div class="text" data-main>{}</div>', '<div role="main" data-main>{}</div>', "<section data-main>{}</section>",
+    '<div class="wrap"><div class="main-text" data-main>{}</div></div>', "<div data-main>{}</div>", "<div data-main>{}</div>",
+)
+
+
+def written_pages(pages: int = 320, seed: int = 9) -> list[Page]:
+    """Labelled pages put together from the parts above: `data-main` marks the content, and asides in it are none."""
+    draw = random.Random(seed)
     out = []
-    bare = (paragraphs, short, f"<h1>High water</h1>{lone}", _TEXT[0], "Only a few words.", f"<div><p>{_TEXT[1]}</p></div>")
-    for text in bare:
-        out += [parse(f"<html><head><title>High water</title></head><body data-main>{text}</body></html>"), parse(text)]
+    for number in range(pages):
+        parts = [f"<p>{text}</p>" for text in draw.sample(_TEXT, draw.choice((1, 2, 3, 4)))]
+        parts += draw.sample(_PARTS, draw.choice((0, 0, 1, 2)))
+        draw.shuffle(parts)
+        if draw.random() < 0.5:
+            parts.insert(0, "<h1>High water</h1>")
+        bare = number % 16 == 0
+        if bare:
+            body = "".join(re.sub(r"^<(\w+)", r"<\1 data-main", part) for part in parts)
+        else:
+            for extra in draw.sample(_INSIDE, draw.choice((0, 0, 1, 2))):
+                parts.insert(draw.randrange(len(parts) + 1), extra)
+            body = draw.choice(_HOLDERS).format("".join(parts))
+        before = "".join(draw.sample(_BEFORE, draw.choice((0, 1, 1, 2, 3))))
+        after = "".join(draw.sample(_AFTER, draw.choice((0, 1, 1, 2, 3))))
+        out.append(parse(f"<html><head><title>High water</title></head><body>{before}{body}{after}</body></html>"))
+    for text in _TEXT:
+        out.append(parse(text))
         out[-1].marked[0] = "main"
-    for i, body in enumerate(bodies):
-        for j in range(len(tops)):
-            out.append(parse(f"<html><head><title>High water</title></head><body>{tops[j]}{body}{ends[(i + j) % len(ends)]}</body></html>"))
+        out += [parse(f"<p data-main>{text}"), parse(f"<div data-main><p>{text}</p></div>"), parse(f"<html><body><article data-main><h1>{text}</h1><p><b>{text}<br></article></body></html>")]
     return out
 
 
