@@ -39,7 +39,7 @@ RATE = 0.08
 SAMPLE_DOCUMENTS = 1000
 HEAD_SHARE = 1_000_000
 SMOOTH = 0.1
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 600_000
 _PIECE = 2048
 CLASSES = 1 + SHORTLIST + BUCKETS
 INPUTS = 1 + INPUT_WORDS + INPUT_BUCKETS
@@ -207,7 +207,7 @@ def count_words(training: DataFrame, column: str) -> DataFrame:
     """(word, bucket, c): hash, bucket and count of every training token but the ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, column, 3 * CHUNK_BYTES):
+        for batch in chunks(batches, column, 2 * CHUNK_BYTES):
             tokens = tokens_of(batch.column(column).to_pylist())
             word = tokens.hash != END
             found, first, n = np.unique(tokens.hash[word], return_index=True, return_counts=True)
