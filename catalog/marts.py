@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog.oracle import oracle
 from catalog.registry import query, rounded
-from fixtures.domain import AS_OF_DATE, AS_OF_TS, SALT, domain, row_count
+from fixtures.domain import AS_OF_DATE, AS_OF_TS, SALT, domain, row_count, stored_inputs
 from polderlake.plans import billing, clients, finance, journey, quality, staging
 from polderlake.sources import lookups
 from polderlake.sources.envelopes import envelope
@@ -327,17 +327,19 @@ def dq_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("dq_violations", oracle("dq_violations", "select * from dq_violations"))
 def dq_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.dq_violations(
-        {
-            "uc01": wia_funnel(spark, sf),
-            "uc04": tw_eligibility(spark, sf),
-            "uc05": client_360(spark, sf),
-            "uc06": projection(spark, sf),
-            "uc07": dq_daily(spark, sf),
-            "uc09": effect_panel(spark, sf),
-            "uc_klant_tev": satisfaction(spark, sf),
-        }
-    )
+    # The marts share these tables; each is made once.
+    with stored_inputs(spark, sf, ("persona", "ikv", "ww", "wia")):
+        return quality.dq_violations(
+            {
+                "uc01": wia_funnel(spark, sf),
+                "uc04": tw_eligibility(spark, sf),
+                "uc05": client_360(spark, sf),
+                "uc06": projection(spark, sf),
+                "uc07": dq_daily(spark, sf),
+                "uc09": effect_panel(spark, sf),
+                "uc_klant_tev": satisfaction(spark, sf),
+            }
+        )
 
 
 @query("dq_overview", oracle("dq_overview", "select * from dq_overview"))

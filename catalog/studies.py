@@ -14,7 +14,7 @@ from fixtures.domain import AS_OF_DATE, domain
 from polderlake.operators import matching, regression
 from polderlake.operators.charts import Chart, Filter, Metric, chart_query
 from polderlake.plans import analyses, dashboards, journey
-from polderlake.session import freeze
+from polderlake.session import freeze, stored
 
 REFERENCE = date.fromisoformat(AS_OF_DATE)
 PHASE_NAMES = sorted(set(marts.journey.PHASES.values()))
@@ -533,8 +533,11 @@ def _dashboard(name: str):
             used = {mart for mart, _ in dashboards.DASHBOARDS[name].values()}
             sources = {mart: _MARTS[mart](spark, sf) for mart in used}
         # Charts read stored marts: each mart is computed once, then read by all its charts.
-        stored = {mart: freeze(df) for mart, df in sources.items()}
-        return rounded(dashboards.dashboard(name, stored), 4, "value")
+        # Only the columns that they name are stored.
+        charts = dashboards.DASHBOARDS[name].values()
+        columns = {mart: set().union(*(chart.columns() for of, chart in charts if of == mart)) for mart in sources}
+        kept = {mart: stored(df.select(*[c for c in df.columns if c in columns[mart]])) for mart, df in sources.items() if columns[mart]}
+        return rounded(dashboards.dashboard(name, kept), 4, "value")
 
     return run
 

@@ -69,6 +69,12 @@ class Chart:
     filters: Sequence[Filter | SqlFilter] = field(default_factory=tuple)
     row_limit: int = 1000
 
+    def columns(self) -> set[str]:
+        """The columns that metrics, groups, time and plain filters name."""
+        named = {metric.column for metric in self.metrics} | set(self.group_by)
+        named |= {one.column for one in self.filters if isinstance(one, Filter)}
+        return named | ({self.time_column} if self.time_column else set())
+
 
 def chart_query(df: DataFrame, chart: Chart) -> DataFrame:
     """Rows of a chart, largest first metric first (ties by the group columns), up to the row limit.

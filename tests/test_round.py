@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,13 @@ def test_declared_checks_find_planted_faults(spark):
         "aanvraag_id_not_null": 1, "aanvraag_id_unique": 1, "bsn_not_null": 1, "bsn_bsn_valid": 1, "aanvraag_datum_not_null": 1,
         "onderdeel_accepted_values": 1, "regio_code_accepted_values": 1, "status_accepted_values": 1, "arbeidsongeschikt_pct_accepted_range": 1,
     }
+
+
+def test_scratch_is_cleared(spark):
+    from polderlake.session import clear_scratch, stored
+
+    clear_scratch(spark)
+    kept = stored(spark.range(3))
+    path = kept.inputFiles()[0].removeprefix("file://")
+    assert kept.count() == 3 and Path(path).exists()
+    assert clear_scratch(spark) == 1 and not Path(path).exists()
