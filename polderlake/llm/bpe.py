@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from polderlake.llm.frames import Sent, pieces, without
+from polderlake.llm.frames import Sent, chunks, without
 
 WORD_END = "</w>"
 #: Stands for the word end in the transition table; no byte has it as its symbol.
@@ -47,6 +47,7 @@ KEPT_WORDS = 300_000
 #: Looked-up transitions that a task keeps.
 KEPT_PAIRS = 500_000
 NEVER = 1 << 60
+CHUNK_BYTES = 1_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -242,21 +243,20 @@ def encode_documents(docs: DataFrame, encoder: Encoder, column: str = "text", *,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = sent.get()
-        for batch in batches:
-            for part in pieces(batch):
-                tokens, sizes, hashes, decoded = [], [], [], []
-                for text in part.column(column).to_pylist():
-                    packed, labels = coder.encode(text)
-                    sizes.append(len(packed) // 4)
-                    hashes.append(hashlib.sha256(packed).hexdigest())
-                    decoded.append(hashlib.sha256(labels.encode()).hexdigest())
-                    if ids:
-                        tokens.append(packed)
-                arrays = [*part.columns]
+        for part in chunks(batches, column, CHUNK_BYTES):
+            tokens, sizes, hashes, decoded = [], [], [], []
+            for text in part.column(column).to_pylist():
+                packed, labels = coder.encode(text)
+                sizes.append(len(packed) // 4)
+                hashes.append(hashlib.sha256(packed).hexdigest())
+                decoded.append(hashlib.sha256(labels.encode()).hexdigest())
                 if ids:
-                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("i4")
-                    arrays.append(pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(tokens), "<i4")))
-                arrays += [pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, schema.names)
+                    tokens.append(packed)
+            arrays = [*part.columns]
+            if ids:
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("i4")
+                arrays.append(pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(tokens), "<i4")))
+            arrays += [pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     return docs_in.mapInArrow(run, schema)

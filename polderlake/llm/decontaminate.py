@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polderlake.llm.frames import Sent, stored, without
+from polderlake.llm.frames import Sent, chunks, stored, without
 from polderlake.llm.words import byte_class, words_of
 
 IN_WORD = byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
@@ -304,14 +304,12 @@ def _searcher(sent, column: str, names: list[str], first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                piece = batch.slice(start, 256)
-                held.append(piece)
-                size += piece.column(column).nbytes
-                if size >= SHARD_BYTES:
-                    yield from shard(held)
-                    held, size = [], 0
+        for piece in chunks(batches, column, SHARD_BYTES // 8):
+            held.append(piece)
+            size += piece.column(column).nbytes
+            if size >= SHARD_BYTES:
+                yield from shard(held)
+                held, size = [], 0
         if held:
             yield from shard(held)
 

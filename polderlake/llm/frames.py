@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,17 @@ def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
+def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about `size` bytes of text; a longer text is a batch of its own."""
+    for batch in batches:
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+        piece = (np.cumsum(lengths) - lengths) // size
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(piece)) + 1, [batch.num_rows]])
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 def starts_of_groups(data: pa.Table, keys: list[str]) -> np.ndarray:
     """First row of every group in a table sorted by integer `keys`, and the row count at the end."""
     changed = np.zeros(data.num_rows + 1, dtype=bool)

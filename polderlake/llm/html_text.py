@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polderlake.llm.frames import Sent, bounded_sample
+from polderlake.llm.frames import Sent, bounded_sample, chunks
 
 BITS = 12
 MAX_PAGES = 150
+CHUNK_BYTES = 1_000_000
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -373,10 +374,8 @@ def extract(pages: DataFrame, model: ContentModel | None = None, *, id_column: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = sent.get()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = content.texts(part.column(column).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(name) for name in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
+        for part in chunks(batches, column, CHUNK_BYTES):
+            texts = content.texts(part.column(column).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(part.column(name) for name in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
     return source.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polderlake.llm.frames import Sent, bounded_sample, stored
+from polderlake.llm.frames import Sent, bounded_sample, chunks, stored
 from polderlake.session import freeze
 
 BUCKETS = 1 << 15
@@ -34,6 +34,7 @@ ALPHA = 0.5
 MIN_POSTERIOR = 0.5
 #: A text this much (natural log, in all) less likely than even odds for every trigram is in none of the languages.
 FOREIGN = -30.0
+CHUNK_BYTES = 400_000
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +75,7 @@ def train(docs: DataFrame, column: str, declared: str, id_column: str, per_langu
     sample = bounded_sample(labelled.where(F.col("language").isin(languages)), draw, per_language * len(languages))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "text", CHUNK_BYTES):
             names = np.array(batch.column("language").to_pylist(), dtype=object)
             buckets, first = trigrams(batch.column("text").to_pylist())
             owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
@@ -142,12 +143,10 @@ def _scored(source: DataFrame, sent: Sent, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.get()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
-                letters, scores = score_texts(part.column("text").to_pylist(), table)
-                suggested = _softmax(scores * _scale(letters)[:, None])
-                yield pa.RecordBatch.from_arrays([*(part.column(name) for name in kept), pa.array(letters, pa.int64()), _vectors(scores), _vectors(suggested)], schema.names)
+        for part in chunks(batches, "text", CHUNK_BYTES):
+            letters, scores = score_texts(part.column("text").to_pylist(), table)
+            suggested = _softmax(scores * _scale(letters)[:, None])
+            yield pa.RecordBatch.from_arrays([*(part.column(name) for name in kept), pa.array(letters, pa.int64()), _vectors(scores), _vectors(suggested)], schema.names)
 
     return source.mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polderlake.llm.frames import stored, without
+from polderlake.llm.frames import pieces, stored, without
 from polderlake.session import freeze
 
 #: A line that at most so many documents hold is rare.
@@ -124,8 +124,7 @@ def repeated_lines(docs: DataFrame, column: str, rare_documents: int, common_wor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in pieces(batch, 128):
                 gone = [
                     blocks_to_delete(patience(a, b), words, block_words)
                     for a, b, words in zip(*(part.column(name).to_pylist() for name in ("earlier_lines", "lines", "words")), strict=True)

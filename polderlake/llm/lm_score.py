@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polderlake.llm.frames import Sent, bounded_sample, stored
+from polderlake.llm.frames import Sent, bounded_sample, chunks, stored
 from polderlake.llm.words import byte_class, words_of
 
 IN_WORD = byte_class([(0x09, 0x0D), (0x20, 0x20)])
@@ -69,17 +69,6 @@ def tokens_of(texts: list[str | None]) -> Tokens:
     return Tokens(hashes, bucket, np.repeat(np.arange(len(texts)), words.counts + 1))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches of about `size` bytes of text; a longer text is a batch of its own."""
-    for batch in batches:
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
-        piece = (np.cumsum(lengths) - lengths) // size
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(piece)) + 1, [batch.num_rows]])
-        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if end > start:
-                yield batch.slice(start, end - start)
-
-
 @dataclass
 class Counts:
     """What the tasks know of the corpus: the head words with their counts, the shortlist, and sums by bucket."""
@@ -254,7 +243,7 @@ def _averaged(frame: DataFrame, model: LogBilinear, counts: Counts, column: str,
         own, known = sent.get()
         rng = np.random.default_rng(11)
         read = 0
-        for batch in chunks(batches, column):
+        for batch in chunks(batches, column, CHUNK_BYTES):
             tokens = tokens_of(batch.column(column).to_pylist())
             out, inner = known.classes(tokens)
             one, two = known.context(tokens, inner)
@@ -297,7 +286,7 @@ def _score(docs: DataFrame, model: LogBilinear, counts: Counts, column: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, after_one, after_two, norm = sent.get()
         divisor = known.bucket_divisor
-        for batch in chunks(batches, column):
+        for batch in chunks(batches, column, CHUNK_BYTES):
             tokens = tokens_of(batch.column(column).to_pylist())
             out, inner = known.classes(tokens)
             one, two = known.context(tokens, inner)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polderlake.llm.components import connected_components
-from polderlake.llm.frames import starts_of_groups, stored, without
+from polderlake.llm.frames import chunks, starts_of_groups, stored, without
 from polderlake.llm.words import byte_class, words_of
 from polderlake.session import freeze
 
@@ -33,6 +33,7 @@ KEY_ROWS = 2048
 BLOCK_ROWS = 4096
 _SEED = 42
 _COUNT_ROWS = 32_768
+CHUNK_BYTES = 400_000
 
 
 def fingerprints(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
@@ -133,12 +134,10 @@ def fingerprint_column(docs: DataFrame, column: str = "text", shingle: int = SHI
     schema = source.drop(column).schema.add("simhash", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                piece = batch.slice(start, 128)
-                made = fingerprints(piece.column(column).to_pylist(), shingle)
-                signed = np.ascontiguousarray(made).view(">i8").ravel().astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*(piece.column(name) for name in kept), pa.array(signed)], schema.names)
+        for piece in chunks(batches, column, CHUNK_BYTES):
+            made = fingerprints(piece.column(column).to_pylist(), shingle)
+            signed = np.ascontiguousarray(made).view(">i8").ravel().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(piece.column(name) for name in kept), pa.array(signed)], schema.names)
 
     return source.mapInArrow(run, schema)
 

@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Odd, so that its powers have inverses modulo 2**64.
+#: Words that are hashed at a time.
+_PART = 50_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -36,9 +37,6 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return out[:n]
 
 
-_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-
-
 @dataclass
 class Words:
     """The words of some texts: where each lies in `data`, its hash, and the first word of each text."""
@@ -66,14 +64,23 @@ def words_of(texts: list[str | None], in_word: np.ndarray, *, hashed: bool = Tru
     inside[1:-1] = in_word[data]
     edges = np.diff(inside)
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    if hashed and len(start):
-        weighted = _MIX[data] * powers(BASE, len(data))
-        # reduceat needs a cut after each word as well; what lies between words is dropped.
-        cuts = np.stack([start, np.minimum(end, len(data) - 1)], axis=1).ravel()
-        sums = np.add.reduceat(weighted, cuts)[::2]
-        del weighted
-        hashes = sums * powers(_INVERSE, len(data))[start]
-        hashes ^= hashes >> np.uint64(29)
-    else:
-        hashes = np.zeros(0, dtype=np.uint64)
+    hashes = _hashes(data, start, end) if hashed else np.zeros(0, dtype=np.uint64)
     return Words(data, start, end, hashes, np.searchsorted(start, begins).astype(np.int64))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each word, from a part of the words at a time."""
+    out = np.empty(len(start), dtype=np.uint64)
+    longest = int((end - start).max(initial=0))
+    power = powers(BASE, longest + 1)
+    for low in range(0, len(start), _PART):
+        first, last = start[low : low + _PART], end[low : low + _PART]
+        part = data[first[0] : last[-1] + 1]  # a byte follows every word: the texts end with a line feed
+        # Each byte's place in its word; what follows a word is weighed as well, but dropped.
+        place = np.arange(len(part)) - np.repeat(first - first[0], np.diff(np.append(first, last[-1] + 1)))
+        weighted = _MIX[part] * power[np.minimum(place, longest)]
+        # reduceat needs a cut after each word as well; what lies between words goes.
+        cuts = np.stack([first, last], axis=1).ravel() - first[0]
+        out[low : low + _PART] = np.add.reduceat(weighted, cuts)[::2]
+    out ^= out >> np.uint64(29)
+    return out
