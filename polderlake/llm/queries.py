@@ -38,7 +38,7 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontaminate_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op4_line_dedup_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +70,34 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# Words as the operator takes them; the windows of the items; the same windows of every document, and what they cover.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op3_decontaminate_fm_index"] = f"""
+with d as (select doc_id, {_WORDS} as w from documents), b as (select item_id, {_WORDS} as w from benchmark),
+phrases as (select distinct cast(item_id as varchar) as item, least(len(w), 13) as n,
+  array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as p
+ from (select *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from b where len(w) > 0)),
+windows as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as p
+ from (select *, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from phrases) where len(w) >= n)),
+hits as (select doc_id, i, n, item from windows join phrases using (n, p)),
+covered as (select doc_id, count(distinct spot) as n_hit from (select doc_id, unnest(range(i, i + n)) as spot from hits) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+ sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join covered using (doc_id) left join found using (doc_id)"""
+
+# All pairs; the operator's passes must find every component of them.
+ORACLES["op8_embedding_sorted_passes"] = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings
+ where label is not null and vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+ and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+ and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select x, y from links union select reach.x, links.y from reach join links on reach.y = links.x),
+least as (select x, min(y) as low from reach group by x), counted as (select x, count(*) as n from links group by x)
+select e.vec_id, coalesce(n, 0) as n_links, cast(least(e.vec_id, coalesce(low, e.vec_id)) as bigint) as component_id,
+ e.vec_id = least(e.vec_id, coalesce(low, e.vec_id)) as kept
+from embeddings e left join least l on e.vec_id = l.x left join counted c on e.vec_id = c.x"""
+
 for _query in (op1_language_fusion, language_of_pages, op2_bpe_automaton, op3_decontaminate_fm_index, op4_line_dedup_patience, op5_url_logistic, op6_simhash_bit_planes, op7_log_bilinear, op8_embedding_sorted_passes, op9_html_tree_model, op10_virtual_slots):
     QUERIES[_query.__name__] = _query
