@@ -42,6 +42,7 @@ def _total(name: str) -> Column:
     return F.coalesce(F.sum(name), F.lit(0))
 
 
+# Use cases, their titles, and the checks with their severities.
 def _rules() -> dict[str, tuple[str, Column, dict[str, tuple[str, Column]]]]:
     """Per mart: name of the use case, number of records, and check -> (severity, violations)."""
     rows = F.count(F.lit(1))
