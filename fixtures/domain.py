@@ -8,13 +8,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polderlake.session import stored
-
 TEST_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 # Clock values used wherever a rule needs "now".
@@ -212,22 +208,6 @@ def _domain(spark: SparkSession, sf_dir: str, name: str, stamp: tuple | None) ->
     return df
 
 
-@contextmanager
-def stored_inputs(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> Iterator[None]:
-    """In the block, what is built on the domain tables `names` reads stored copies: each is made once."""
-    stamp = _stamp(sf_dir)
-    before = dict(_SEEN)
-    _SEEN.clear()
-    try:
-        if stamp is not None:
-            for name in names:
-                _SEEN[_key(spark, sf_dir, name, stamp)] = stored(_domain(spark, sf_dir, name, stamp))
-        yield
-    finally:
-        _SEEN.clear()
-        _SEEN.update(before)
-
-
 _ROWS: dict[tuple, int] = {}
 
 
