@@ -1,9 +1,8 @@
 """Line dedup by pairwise alignment.
 
 Documents are lists of line hashes. Every line that several documents hold links its holders to its first holder: one
-link for each holder, however many there are. A pair of documents overlaps if it shares a rare line, or enough words
-in common ones; a pair that only shares a short, common line does not. The two lists of line hashes of an overlapping
-pair are aligned with patience diff: lines that occur once in each and keep their order are fixed points, and between
+link for each holder, however many there are. Linked documents overlap, however many hold the line; a caller may ask
+for rare lines or enough words in common ones. The two lists of line hashes of an overlapping pair are aligned with patience diff: lines that occur once in each and keep their order are fixed points, and between
 them the same is done again; where there is none, equal lines at both ends are matched. Aligned blocks of enough words
 are deleted from the later document.
 """
@@ -22,9 +21,7 @@ from pyspark.sql import types as T
 from polderlake.llm.frames import pieces, stored, without
 from polderlake.session import freeze
 
-#: A line that at most so many documents hold is rare.
-RARE_DOCUMENTS = 50
-#: Words in common lines that make a pair overlap without a rare line.
+#: If a caller limits rare lines: words in common lines that make a pair overlap without a rare line.
 COMMON_WORDS = 30
 #: Words of an aligned block that is deleted.
 BLOCK_WORDS = 8
@@ -102,20 +99,25 @@ def lists_of_lines(docs: DataFrame, column: str = "text") -> DataFrame:
     )
 
 
-def overlapping(lists: DataFrame, rare_documents: int, common_words: int) -> DataFrame:
-    """(doc_id, earlier): pairs of documents that share a rare line, or enough words in common lines."""
+def overlapping(lists: DataFrame, rare_documents: int | None, common_words: int) -> DataFrame:
+    """(doc_id, earlier): documents and the first holders of their lines.
+
+    With `rare_documents` only pairs that share a line of at most so many holders, or enough words in common lines.
+    """
     held = lists.select("doc_id", F.explode(F.array_distinct(F.filter(F.arrays_zip("lines", "words"), lambda z: z["words"] > 0))).alias("z"))
     held = held.select("doc_id", F.col("z.lines").alias("line"), F.col("z.words").alias("n_words"))
     shared = held.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
     # Stored, so that both sides of the join are dealt anew and Spark can split a line that very many documents hold.
     linked = held.join(freeze(shared).hint("merge"), "line").where("doc_id > earlier")
+    if rare_documents is None:
+        return linked.select("doc_id", "earlier").distinct()
     evidence = linked.groupBy("doc_id", "earlier").agg(
         F.max((F.col("holders") <= rare_documents).cast("int")).alias("rare"), F.sum("n_words").alias("shared_words")
     )
     return evidence.where((F.col("rare") == 1) | (F.col("shared_words") >= common_words)).select("doc_id", "earlier")
 
 
-def repeated_lines(docs: DataFrame, column: str, rare_documents: int, common_words: int, block_words: int) -> DataFrame:
+def repeated_lines(docs: DataFrame, column: str, rare_documents: int | None, common_words: int, block_words: int) -> DataFrame:
     """(doc_id, text_hash, gone): positions of the lines that an earlier document has in an aligned block."""
     lists = stored(lists_of_lines(docs, column).distinct(), "lines")
     pairs = overlapping(lists, rare_documents, common_words)
@@ -140,13 +142,14 @@ RESULT = ("n_lines", "n_removed")
 
 
 def remove_repeated_lines(
-    docs: DataFrame, column: str = "text", *, rare_documents: int = RARE_DOCUMENTS, common_words: int = COMMON_WORDS, block_words: int = BLOCK_WORDS
+    docs: DataFrame, column: str = "text", *, rare_documents: int | None = None, common_words: int = COMMON_WORDS, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """`docs` without the line blocks that an earlier document (one with a smaller doc_id) has as well.
 
     Adds `n_lines` (lines before) and `n_removed`, which replace columns of those names. Lines end at a line feed and are
     compared without the white space around them. A text that loses all lines becomes empty. Null and empty texts have
-    no lines and stay as they are, as do rows without a doc_id. Rows that share a doc_id are never compared with each
+    no lines and stay as they are, as do rows without a doc_id. What happens to a line doesn't depend on how many documents
+    hold it, unless `rare_documents` is given: lines with more holders then need `common_words` words in common. Rows that share a doc_id are never compared with each
     other; rows that repeat an id and a text get the same result.
 
     What is joined and shuffled for the comparison are hashes. The texts are shuffled once, to bring the deletions to them.

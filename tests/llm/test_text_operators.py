@@ -247,6 +247,12 @@ def test_copies_beyond_the_rare_limit_are_found(spark):
     assert line_dedup.remove_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_a_line_has_the_same_fate_however_many_hold_it(spark):
+    line = "all rights are reserved by the owners of this"
+    docs = spark.createDataFrame([(i, f"{line}\nthe body of document {i} is only its own text") for i in range(60)], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in line_dedup.remove_repeated_lines(docs).collect()) == [0] + [1] * 59
+
+
 SYLLABLES = {"en": "th er on an re he in ed nd ha", "fr": "le ai eu ou on que la é ch re", "de": "en ch ei sch un ge ü be ung er"}
 
 
