@@ -1,8 +1,9 @@
 """Line dedup by pairwise alignment.
 
-Documents are lists of line hashes. Every line that several documents hold links its holders to its first holder: one
-link for each holder, however many there are. Linked documents overlap, however many hold the line; a caller may ask
-for rare lines or enough words in common ones. The two lists of line hashes of an overlapping pair are aligned with patience diff: lines that occur once in each and keep their order are fixed points, and between
+Documents are lists of line hashes. Every run of adjacent lines that just reaches the words of a block links its holders
+to its first holder: one link for each holder, however many there are. So every block that two documents have in common
+has an earlier document to be compared with, also if its lines are short and begin in different documents. Linked
+documents overlap, however many hold the run; a caller may ask for rare runs or enough words in common ones. The two lists of line hashes of an overlapping pair are aligned with patience diff: lines that occur once in each and keep their order are fixed points, and between
 them the same is done again; where there is none, equal lines at both ends are matched. Aligned blocks of enough words
 are deleted from the later document.
 """
@@ -13,6 +14,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +23,11 @@ from pyspark.sql import types as T
 from polderlake.llm.frames import pieces, stored, without
 from polderlake.session import freeze
 
-#: If a caller limits rare lines: words in common lines that make a pair overlap without a rare line.
+#: If a caller limits rare runs: words in common runs that make a pair overlap without a rare run.
 COMMON_WORDS = 30
 #: Words of an aligned block that is deleted.
 BLOCK_WORDS = 8
+_FACTOR = 0x9E3779B97F4A7C15
 
 
 def patience(earlier: list[int], later: list[int]) -> list[tuple[int, int]]:
@@ -99,13 +102,47 @@ def lists_of_lines(docs: DataFrame, column: str = "text") -> DataFrame:
     )
 
 
-def overlapping(lists: DataFrame, rare_documents: int | None, common_words: int) -> DataFrame:
-    """(doc_id, earlier): documents and the first holders of their lines.
+def run_keys(lines: np.ndarray, words: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of adjacent lines that just reach `block_words` words, and the words each adds.
 
-    With `rare_documents` only pairs that share a line of at most so many holders, or enough words in common lines.
+    One run begins at every line that isn't blank and one ends there, as far as the text goes. They cover every block that
+    is long enough to be deleted. A run adds the words of its first line if it is the one that begins there.
     """
-    held = lists.select("doc_id", F.explode(F.array_distinct(F.filter(F.arrays_zip("lines", "words"), lambda z: z["words"] > 0))).alias("z"))
-    held = held.select("doc_id", F.col("z.lines").alias("line"), F.col("z.words").alias("n_words"))
+    block_words = max(block_words, 1)
+    factor = np.full(len(lines), _FACTOR, np.uint64)
+    # Sums of lines times powers of an odd number; the power of the first line is divided out, modulo 2 ** 64.
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lines.view(np.uint64) * np.multiply.accumulate(factor))])
+    back = np.multiply.accumulate(np.full(len(lines), pow(_FACTOR, -1, 1 << 64), np.uint64))
+    upto = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    filled = np.flatnonzero(words)
+    ends = np.searchsorted(upto, upto[filled] + block_words)
+    begins = np.searchsorted(upto, upto[filled + 1] - block_words, "right") - 1
+    ahead, behind = ends <= len(lines), begins >= 0
+    start = np.concatenate([filled[ahead], begins[behind]])
+    end = np.concatenate([ends[ahead], filled[behind] + 1])
+    adds = np.concatenate([words[filled[ahead]], np.zeros(behind.sum(), words.dtype)])
+    keys, first = np.unique(((sums[end] - sums[start]) * back[start]).view(np.int64), return_index=True)
+    return keys, adds[first]
+
+
+def overlapping(lists: DataFrame, rare_documents: int | None, common_words: int, block_words: int) -> DataFrame:
+    """(doc_id, earlier): documents and the first holders of their runs of `block_words` words.
+
+    With `rare_documents` only pairs that share a run of at most so many holders, or enough words in common runs.
+    """
+    schema = lists.select("doc_id").schema.add("line", "long").add("n_words", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 128):
+                lists_of = zip(part.column("lines"), part.column("words"), strict=True)
+                found = [run_keys(a.values.to_numpy(), b.values.to_numpy(), block_words) for a, b in lists_of]
+                owner = np.repeat(np.arange(len(found)), [len(keys) for keys, _ in found])
+                if len(owner):
+                    keys, adds = (np.concatenate(column) for column in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), pa.array(keys, pa.int64()), pa.array(adds, pa.int32())], schema.names)
+
+    held = lists.select("doc_id", "lines", "words").mapInArrow(run, schema)
     shared = held.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
     # Stored, so that both sides of the join are dealt anew and Spark can split a line that very many documents hold.
     linked = held.join(freeze(shared).hint("merge"), "line").where("doc_id > earlier")
@@ -120,7 +157,7 @@ def overlapping(lists: DataFrame, rare_documents: int | None, common_words: int)
 def repeated_lines(docs: DataFrame, column: str, rare_documents: int | None, common_words: int, block_words: int) -> DataFrame:
     """(doc_id, text_hash, gone): positions of the lines that an earlier document has in an aligned block."""
     lists = stored(lists_of_lines(docs, column).distinct(), "lines")
-    pairs = overlapping(lists, rare_documents, common_words)
+    pairs = overlapping(lists, rare_documents, common_words, block_words)
     earlier = lists.select(F.col("doc_id").alias("earlier"), F.col("lines").alias("earlier_lines"))
     both = pairs.join(lists, "doc_id").join(earlier, "earlier").select("doc_id", "text_hash", "lines", "words", "earlier_lines")
 
@@ -149,7 +186,7 @@ def remove_repeated_lines(
     Adds `n_lines` (lines before) and `n_removed`, which replace columns of those names. Lines end at a line feed and are
     compared without the white space around them. A text that loses all lines becomes empty. Null and empty texts have
     no lines and stay as they are, as do rows without a doc_id. What happens to a line doesn't depend on how many documents
-    hold it, unless `rare_documents` is given: lines with more holders then need `common_words` words in common. Rows that share a doc_id are never compared with each
+    hold it, unless `rare_documents` is given: runs with more holders then need `common_words` words in common. Rows that share a doc_id are never compared with each
     other; rows that repeat an id and a text get the same result.
 
     What is joined and shuffled for the comparison are hashes. The texts are shuffled once, to bring the deletions to them.

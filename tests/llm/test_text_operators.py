@@ -253,6 +253,26 @@ def test_a_line_has_the_same_fate_however_many_hold_it(spark):
     assert sorted(r["n_removed"] for r in line_dedup.remove_repeated_lines(docs).collect()) == [0] + [1] * 59
 
 
+def test_blocks_of_lines_that_began_in_different_documents(spark):
+    short, other = "five words in this line", "and five more in that"
+    texts = [f"{short}\na", f"{other}\nb", f"c\n{short}\n{other}\nd", f"e\n{short}\n{other}\nf"]
+    got = line_dedup.remove_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == dict(enumerate([*texts[:3], "e\nf"]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=12))
+def test_runs_cover_every_block_of_enough_words(words):
+    lines = np.arange(100, 100 + len(words))
+    found = set(line_dedup.run_keys(lines, np.array(words, np.int32), 8)[0].tolist())
+    for i in range(len(words)):
+        for j in range(i + 1, len(words) + 1):
+            if sum(words[i:j]) >= 8:
+                inside = set(line_dedup.run_keys(lines[i:j], np.array(words[i:j], np.int32), 8)[0].tolist())
+                assert inside and inside <= found
+                break
+
+
 SYLLABLES = {"en": "th er on an re he in ed nd ha", "fr": "le ai eu ou on que la é ch re", "de": "en ch ei sch un ge ü be ung er"}
 
 
