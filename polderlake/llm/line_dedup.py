@@ -3,9 +3,11 @@
 Documents are lists of line hashes. Every run of adjacent lines that just reaches the words of a block links its holders
 to its first holder: one link for each holder, however many there are. So every block that two documents have in common
 has an earlier document to be compared with, also if its lines are short and begin in different documents. Linked
-documents overlap, however many hold the run; a caller may ask for rare runs or enough words in common ones. The two lists of line hashes of an overlapping pair are aligned with patience diff: lines that occur once in each and keep their order are fixed points, and between
-them the same is done again; where there is none, equal lines at both ends are matched. Aligned blocks of enough words
-are deleted from the later document.
+documents overlap, however many hold the run; a caller may ask for rare runs or enough words in common ones. The two
+lists of line hashes of an overlapping pair are aligned with patience diff: lines that occur once in each and keep their
+order are fixed points, and between them the same is done again; where there is none, equal lines at both ends and the
+common run with most words are matched. Aligned blocks of enough words are deleted from the later document. What is left
+is aligned again until no such block is found, so that a block that stands elsewhere in the earlier document goes too.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,12 @@ BLOCK_WORDS = 8
 _FACTOR = 0x9E3779B97F4A7C15
 
 
-def patience(earlier: list[int], later: list[int]) -> list[tuple[int, int]]:
-    """Matching positions (earlier, later) of two lists, ascending in both."""
+def patience(earlier: list[int], later: list[int | None], words: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
+    """Matching positions (earlier, later) of two lists, ascending in both.
+
+    In a range without a line that is unique on both sides, the heaviest common run is matched if it has `least` words.
+    """
+    words = [1] * len(later) if words is None else words
     matches: list[tuple[int, int]] = []
     todo = [(0, len(earlier), 0, len(later))]
     while todo:
@@ -44,7 +51,7 @@ def patience(earlier: list[int], later: list[int]) -> list[tuple[int, int]]:
             matches.append((a_end, b_end))
         if a >= a_end or b >= b_end:
             continue
-        fixed = _fixed_points(earlier, a, a_end, later, b, b_end)
+        fixed = _fixed_points(earlier, a, a_end, later, b, b_end) or heaviest_run(earlier[a:a_end], later[b:b_end], words[b:b_end], least, a, b)
         for x, y in fixed:
             todo.append((a, x, b, y))
             matches.append((x, y))
@@ -54,6 +61,57 @@ def patience(earlier: list[int], later: list[int]) -> list[tuple[int, int]]:
     return sorted(matches)
 
 
+def heaviest_run(earlier: list[int], later: list[int | None], words: list[int], least: int, a: int = 0, b: int = 0) -> list[tuple[int, int]]:
+    """Positions (counted from `a` and `b`) of the common run of adjacent lines with most words; none below `least`.
+
+    Found with a suffix automaton of the earlier lines, in time that grows with the lines, however often they repeat.
+    """
+    known = set(earlier)
+    if sum(n for line, n in zip(later, words, strict=True) if line in known) < least:
+        return []
+    step: list[dict[int, int]] = [{}]
+    link, length, end = [-1], [0], [-1]
+    last = 0
+    for i, line in enumerate(earlier):
+        new, at = len(step), last
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        end.append(i)
+        while at >= 0 and line not in step[at]:
+            step[at][line] = new
+            at = link[at]
+        if at >= 0:
+            following = step[at][line]
+            if length[following] != length[at] + 1:
+                copy = len(step)
+                step.append(dict(step[following]))
+                link.append(link[following])
+                length.append(length[at] + 1)
+                end.append(end[following])
+                link[following] = copy
+                while at >= 0 and step[at].get(line) == following:
+                    step[at][line] = copy
+                    at = link[at]
+                following = copy
+            link[new] = following
+        last = new
+    upto = [0, *accumulate(words)]
+    best, found = least - 1, (0, 0, 0)
+    at = size = 0
+    for j, line in enumerate(later):
+        while at and line not in step[at]:
+            at = link[at]
+            size = length[at]
+        if line in step[at]:
+            at, size = step[at][line], size + 1
+        weight = upto[j + 1] - upto[j + 1 - size]
+        if size and weight > best:
+            best, found = weight, (end[at], j, size)
+    x, y, size = found
+    return [(a + x - i, b + y - i) for i in reversed(range(size))]
+
+
 def _fixed_points(earlier: list[int], a: int, a_end: int, later: list[int], b: int, b_end: int) -> list[tuple[int, int]]:
     """The longest ascending run of lines that occur once on each side."""
     once_a, once_b = Counter(earlier[a:a_end]), Counter(later[b:b_end])
@@ -91,6 +149,24 @@ def blocks_to_delete(matches: list[tuple[int, int]], words: list[int], block_wor
     return out
 
 
+def repeated_positions(earlier: list[int], later: list[int], words: list[int], block_words: int) -> list[int]:
+    """Positions of the later document's lines that the earlier one has in blocks of enough words.
+
+    What is left after an alignment is aligned again, so that blocks that changed places go as well. Where an alignment
+    holds no such block, the heaviest common run decides whether there is one at all.
+    """
+    left: list[int | None] = list(later)
+    gone: list[int] = []
+    while True:
+        found = blocks_to_delete(patience(earlier, left, words, block_words), words, block_words)
+        found = found or [y for _, y in heaviest_run(earlier, left, words, block_words)]
+        if not found:
+            return sorted(gone)
+        gone += found
+        for i in found:
+            left[i] = None
+
+
 def lists_of_lines(docs: DataFrame, column: str = "text") -> DataFrame:
     """(doc_id, text_hash, lines, words): line hashes and word counts, without space around lines. No text: no row."""
     lines = F.transform(F.split(F.col(column), "\n"), lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
@@ -165,7 +241,7 @@ def repeated_lines(docs: DataFrame, column: str, rare_documents: int | None, com
         for batch in batches:
             for part in pieces(batch, 128):
                 gone = [
-                    blocks_to_delete(patience(a, b), words, block_words)
+                    repeated_positions(a, b, words, block_words)
                     for a, b, words in zip(*(part.column(name).to_pylist() for name in ("earlier_lines", "lines", "words")), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "text_hash", "gone"])

@@ -273,6 +273,24 @@ def test_runs_cover_every_block_of_enough_words(words):
                 break
 
 
+def test_passages_that_repeat_or_change_places(spark):
+    other = PASSAGE.replace("passage", "section")
+    texts = [f"a\n{PASSAGE}\nb\n{PASSAGE}\nc", f"d\n{PASSAGE}\ne", f"f\n{other}\ng\n{PASSAGE}\nh\n{PASSAGE}\ni", f"j\n{PASSAGE}\nk\n{other}\nl"]
+    got = line_dedup.remove_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {0: texts[0], 1: "d\ne", 2: f"f\n{other}\ng\nh\ni", 3: "j\nk\nl"}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=14), st.lists(st.integers(0, 5), max_size=14))
+def test_no_common_block_is_left(a, b):
+    words = [line + 1 for line in b]
+    gone = line_dedup.repeated_positions(a, b, words, 8)
+    assert len(gone) == len(set(gone)) and all(b[i] in a for i in gone)
+    left = [None if i in set(gone) else line for i, line in enumerate(b)]
+    runs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+    assert all(sum(words[i:j]) < 8 for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(left[i:j]) in runs)
+
+
 SYLLABLES = {"en": "th er on an re he in ed nd ha", "fr": "le ai eu ou on que la é ch re", "de": "en ch ei sch un ge ü be ung er"}
 
 
