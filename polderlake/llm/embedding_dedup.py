@@ -2,9 +2,9 @@
 
 Each pass orders the vectors of a label by a key of its own: the signs of random projections, one bit after the other,
 read from the left. Near vectors agree in long prefixes and come to lie near each other. A vector is compared with the
-next `WINDOW` in the order; pairs that reach the cosine are links. Vectors that links of any pass connect are one
-component. In a component all pairs are then checked, in tiles, so that no link between its members is lost to the
-window; a tile passes on one count for each vector, not its pairs.
+next `WINDOW` in the order; pairs that reach the cosine are links. There are as many passes as the largest label needs.
+Vectors that links of any pass connect are one component. In a component all pairs are then checked, in tiles, so that
+no link between its members is lost to the window; a tile passes on one count for each vector, not its pairs.
 
 Equal vectors are one vector with a count. The passes go through one range-partitioned sort; a task finds the
 links in its part and passes on the first and last rows of it, from which the windows across parts are made up.
@@ -12,6 +12,7 @@ links in its part and passes on the first and last rows of it, from which the wi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,9 @@ from polderlake.llm.frames import stored, whole_groups
 from polderlake.session import freeze
 
 COSINE = 0.93
+#: The fewest passes; large labels get more, so that the expected recall of links at the cosine itself is `RECALL`.
 PASSES = 12
+RECALL = 0.95
 WINDOW = 24
 BITS = 62
 #: Members of a component that meet in one tile; larger ones are split into chunks of half as many.
@@ -83,6 +86,34 @@ def window_links(run: np.ndarray, ids: np.ndarray, unit: np.ndarray, window: int
     return links
 
 
+def recall_of_pass(rows: int, size: int, window: int, cosine: float) -> float:
+    """Chance that one pass brings two vectors at `cosine` into one window of `rows` vectors in even directions.
+
+    Two keys that first differ in some bit lie on both sides of the middle of those that share the bits before: apart by
+    the sum of two even draws from its halves. How many share them depends on the angles, which few dimensions spread.
+    Where the vectors have more links than a window by chance alone, links are chains, and half are taken to share a bit.
+    """
+    widest = math.acos(min(max(cosine, -1.0), 1.0))
+    agree = 1 - widest / math.pi
+    angles = (np.arange(4000) + 0.5) * math.pi / 4000
+    share = np.sin(angles) ** max(size - 2, 0)
+    share /= share.sum()
+    spread = rows * share[angles <= widest].sum() <= window
+    recall, same = 0.0, 1.0
+    for bit in range(BITS):
+        half = rows / 2 * (float(share @ (1 - angles / math.pi) ** bit) if spread else 0.5**bit)
+        reach = min(window / half, 2.0) if half else 2.0
+        recall += same * (1 - agree) * (reach * reach / 2 if reach < 1 else 1 - (2 - reach) ** 2 / 2)
+        same *= agree
+    return recall + same
+
+
+def passes_needed(rows: int, size: int, window: int, cosine: float) -> int:
+    """Passes that find links at `cosine` among `rows` vectors of `size` numbers with `RECALL`; `PASSES` at least."""
+    once = recall_of_pass(rows, size, window, cosine)
+    return max(PASSES, math.ceil(math.log(1 - RECALL) / math.log1p(-once))) if 0 < once < 1 else PASSES
+
+
 def distinct_vectors(table: DataFrame) -> DataFrame:
     """(label, embedding, rep, n): equal vectors of a label once, with their smallest id and their number.
 
@@ -235,16 +266,19 @@ def links_in_components(members: DataFrame, cosine: float) -> DataFrame:
     return dealt.mapInArrow(count, "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
 
 
-def near_duplicates(table: DataFrame, *, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(table: DataFrame, *, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `table` (vec_id, embedding, label).
 
     Only vectors with equal labels that are not null are compared. A vector that is null, empty or zero or holds a null or
     a number that isn't finite links with nothing, nor does a row without a vec_id (its component_id is null, it is not
     kept). Vectors of different lengths are never linked. Equal vectors of a label are linked. Rows are kept one by
-    one: a repeated row is one vector more.
+    one: a repeated row is one vector more. Without `passes` their number grows with the largest label (`passes_needed`).
     """
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
     vectors = stored(distinct_vectors(rows), "vectors")
+    if passes is None:
+        crowds = vectors.groupBy("label", F.size("embedding").alias("size")).count().groupBy("size").agg(F.max("count").alias("rows"))
+        passes = max([PASSES, *(passes_needed(row["rows"], row["size"], window, cosine) for row in crowds.collect())])
     joined = connected_components(window_pass_links(vectors, passes, window, cosine), "low", "high")
     members = stored(vectors.join(joined, F.col("rep") == F.col("node")).select("component", "rep", "n", "embedding"), "members")
     counted = links_in_components(members, cosine)

@@ -156,6 +156,19 @@ def test_links_as_by_brute_force(spark, monkeypatch, tile):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_recall_in_a_label_that_is_large_for_its_window(spark):
+    rng = np.random.default_rng(8)
+    unit = rng.standard_normal((20000, 16))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    aside = rng.standard_normal((400, 16))
+    aside -= (aside * unit[:400]).sum(axis=1, keepdims=True) * unit[:400]
+    unit[400:800] = 0.932 * unit[:400] + math.sqrt(1 - 0.932**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(unit)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_duplicates(table, window=1).where("vec_id < 800").collect()}
+    assert sum(got[i] == got[i + 400] for i in range(400)) >= 0.9 * 400
+    assert embedding_dedup.passes_needed(10**6, 64, 24, 0.93) < embedding_dedup.passes_needed(10**7, 64, 24, 0.93)
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (500, 499)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
