@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polderlake.llm.frames import Sent, bounded_sample, chunks, stored
+from polderlake.llm.frames import Sent, bounded_sample, chunks, pieces, stored
 from polderlake.session import freeze
 
 BUCKETS = 1 << 15
 TRAIN_PER_LANGUAGE = 400
-MAX_LANGUAGES = 100
+#: Languages that are scored, and numbers of vectors that are weighed, at a time.
+LANGUAGE_BLOCK = 64
+WEIGHED = 1_000_000
 #: Letters whose evidence counts in full; neighbouring trigrams are not independent, so longer texts are scaled down.
 FULL_LETTERS = 100
 #: Documents that the next level of the host hierarchy counts for.
@@ -57,22 +59,27 @@ def score_texts(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray,
     scores = np.zeros((len(texts), table.shape[1]))
     filled = np.flatnonzero(letters)
     if len(filled):
-        scores[filled] = np.add.reduceat(table[buckets], first[filled], axis=0, dtype=np.float64)
+        for start in range(0, table.shape[1], LANGUAGE_BLOCK):
+            block = slice(start, start + LANGUAGE_BLOCK)
+            scores[filled, block] = np.add.reduceat(table[:, block][buckets], first[filled], axis=0, dtype=np.float64)
     return letters, scores
 
 
 def train(docs: DataFrame, column: str, declared: str, id_column: str, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages and the table of log-likelihoods against even odds, from a bounded sample of documents that declare one."""
+    """Languages and the table of log-likelihoods against even odds, from a bounded sample of documents that declare one.
+
+    Every tag that is declared is a language: the table grows with the tags, by `BUCKETS` numbers each.
+    """
     language = _tag(F.col(declared))
     labelled = docs.where(F.col(column).isNotNull()).select(F.col(id_column).alias("id"), F.col(column).alias("text"), language.alias("language")).where("language is not null")
-    counts = labelled.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy("language").count().collect()
     languages = sorted(row["language"] for row in counts)
     if not languages:
         return [], np.zeros((BUCKETS, 0), np.float32)
     share = F.create_map(*[F.lit(x) for row in counts for x in (row["language"], float(row["count"]))])
     # The smallest of uniform draws times a language's count: about as many documents of each, however common it is.
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) * share[F.col("language")]
-    sample = bounded_sample(labelled.where(F.col("language").isin(languages)), draw, per_language * len(languages))
+    sample = bounded_sample(labelled, draw, per_language * len(languages))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK_BYTES):
@@ -86,8 +93,9 @@ def train(docs: DataFrame, column: str, declared: str, id_column: str, per_langu
 
     summed = sample.mapInArrow(count, "language string, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((BUCKETS, len(languages)), ALPHA)
+    place = {language: i for i, language in enumerate(languages)}
     for row in summed.toLocalIterator():
-        table[row["bucket"], languages.index(row["language"])] += row["n"]
+        table[row["bucket"], place[row["language"]]] += row["n"]
     return languages, np.log(table / table.sum(axis=0) * BUCKETS).astype(np.float32)
 
 
@@ -178,9 +186,7 @@ def _fused(scored: DataFrame, languages: list[str], total: np.ndarray, kinds: di
         return held, np.maximum(rows - np.where(held[:, None], own, 0), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in pieces(whole, max(WEIGHED // (size + 1), 1))):
             n = batch.num_rows
             letters = batch.column("letters").to_numpy()
             if not size:

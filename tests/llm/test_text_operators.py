@@ -316,6 +316,15 @@ def test_language_from_all_evidence(spark):
     assert kept.count() == len(rows) - 3 and kept.columns == docs.columns
 
 
+def test_every_declared_language_counts(spark):
+    tags = [a + b for a in "abcdefghijk" for b in "abcdefghij"]
+    rows = [(i, f"{tag}{tag[::-1]} " * 30, tag) for i, tag in enumerate(tags * 3)] + [(1000 + i, "zozu zuzo " * 20, "zz") for i in range(2)]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string")
+    assert language_id.train(docs, "text", "lang", "doc_id")[0] == [*tags, "zz"]
+    got = language_id.identify(docs).where("doc_id >= 1000").collect()
+    assert [(r["language"], r["accepted"]) for r in got] == [("zz", True)] * 2
+
+
 def test_language_without_labels_or_rows(spark):
     docs = odd_docs(spark).drop("lang").selectExpr("*", "cast(null as string) as lang")
     assert language_id.identify(docs).where("accepted").count() == 0
