@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polderlake.llm import bpe, decontaminate, embedding_dedup, html_text, language_id, line_dedup, lm_score, sharding, simhash, url_filter
+from polderlake.llm import bpe, conversation_trie, decontaminate, embedding_dedup, html_text, language_id, license_scan, line_dedup, lm_score, sharding, simhash, url_filter
 from polderlake.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,14 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 # Words as the operator takes them; the windows of the items; the same windows of every document, and what they cover.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLES["op3_decontaminate_fm_index"] = f"""
@@ -99,5 +107,35 @@ select e.vec_id, coalesce(n, 0) as n_links, cast(least(e.vec_id, coalesce(low, e
  e.vec_id = least(e.vec_id, coalesce(low, e.vec_id)) as kept
 from embeddings e left join least l on e.vec_id = l.x left join counted c on e.vec_id = c.x"""
 
-for _query in (op1_language_fusion, language_of_pages, op2_bpe_automaton, op3_decontaminate_fm_index, op4_line_dedup_patience, op5_url_logistic, op6_simhash_bit_planes, op7_log_bilinear, op8_embedding_sorted_passes, op9_html_tree_model, op10_virtual_slots):
+# Nodes are the joined turns themselves; a node's subtree is found along the paths of its members. The engine's crc32 is missing,
+# so the opening of each id is worked out bit by bit, eight steps a byte.
+ORACLES["op13_conversation_trie"] = """
+with recursive t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as k,
+ coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+crc as (select conv_id, cast(conv_id as varchar) as s, 1 as i, 0 as b, 4294967295::bigint as v from t group by conv_id
+ union all select conv_id, s, case when b = 7 then i + 1 else i end, (b + 1) % 8,
+ case when (xor(v, case when b = 0 then ascii(s[i])::bigint else 0 end) & 1) = 1
+  then xor(xor(v, case when b = 0 then ascii(s[i])::bigint else 0 end) >> 1, 3988292384::bigint)
+  else xor(v, case when b = 0 then ascii(s[i])::bigint else 0 end) >> 1 end from crc where i <= length(s)),
+h as (select conv_id, xor(v, 4294967295::bigint) % 6 as h, conv_id - conv_id % 100 as first from crc where i > length(s)),
+r as (select h.conv_id, 0 as part, b.k, b.role, b.text from h join t b on b.conv_id = h.first and b.k <= h.h
+ union all select h.conv_id, 1, t.k, t.role, t.text from h join t on t.conv_id = h.conv_id and t.k > h.h),
+p as (select conv_id, row_number() over w as depth, string_agg(concat(role, chr(1), text), chr(2)) over w as path, length(text) as chars,
+ count(*) over (partition by conv_id) as total from r window w as (partition by conv_id order by part, k rows between unbounded preceding and current row)),
+paths as (select conv_id, depth, path, chars from p union all select conv_id, 0, '', 0 from h),
+up as (select *, lag(path) over (partition by conv_id order by depth) as parent from paths),
+ends as (select p.depth, p.path, string_agg(cast(p.conv_id as varchar), ',' order by p.conv_id) as ids from paths p
+ join (select conv_id, max(depth) as last from paths group by conv_id) l on l.conv_id = p.conv_id and l.last = p.depth group by p.depth, p.path),
+nodes as (select depth, path, min(parent) as parent, min(conv_id) as conv_id, count(*) as n, max(chars) as chars from up group by depth, path),
+kids as (select depth - 1 as depth, parent as path, count(*) as n_children from nodes where depth > 0 group by depth, parent),
+own as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join kids using (depth, path)),
+subtree as (select a.depth, a.path, sum(case when o.n_children = 0 then 1 else 0 end) as n_leaves, sum((o.n - 1) * o.chars) as saved
+ from own o join paths a on a.conv_id = o.conv_id and a.depth <= o.depth group by a.depth, a.path)
+select o.conv_id, cast(o.depth as bigint) as depth, u.conv_id as parent_conv_id, cast(o.n as bigint) as n_convs,
+ cast(o.n_children as bigint) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens,
+ sha256(coalesce(ids, '')) as ends_sha256
+from own o join subtree s on s.depth = o.depth and s.path = o.path left join ends e on e.depth = o.depth and e.path = o.path
+left join nodes u on u.depth = o.depth - 1 and u.path = o.parent"""
+
+for _query in (op1_language_fusion, language_of_pages, op2_bpe_automaton, op3_decontaminate_fm_index, op4_line_dedup_patience, op5_url_logistic, op6_simhash_bit_planes, op7_log_bilinear, op8_embedding_sorted_passes, op9_html_tree_model, op10_virtual_slots, op12_license_scan, op13_conversation_trie):
     QUERIES[_query.__name__] = _query
