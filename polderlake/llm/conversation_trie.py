@@ -28,7 +28,7 @@ from polderlake.session import freeze
 
 #: Nodes of the top at most, and members that a node outside the top may have in any case.
 TOP_NODES = 1 << 17
-SHARD_MEMBERS = 1000
+SHARD_MEMBERS = 100
 #: Messages that a queue holds in memory.
 QUEUE_ITEMS = 100_000
 #: Conversations of one family borrow the opening of the family's first one; at most so many turns less one.
