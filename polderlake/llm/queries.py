@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polderlake.llm import bpe, conversation_trie, decontaminate, embedding_dedup, html_text, language_id, license_scan, line_dedup, lm_score, sharding, simhash, url_filter
+from polderlake.llm import bpe, collocations, conversation_trie, decontaminate, embedding_dedup, html_text, language_id, license_scan, line_dedup, lm_score, sharding, simhash, url_filter
 from polderlake.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,10 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -137,5 +141,26 @@ select o.conv_id, cast(o.depth as bigint) as depth, u.conv_id as parent_conv_id,
 from own o join subtree s on s.depth = o.depth and s.path = o.path left join ends e on e.depth = o.depth and e.path = o.path
 left join nodes u on u.depth = o.depth - 1 and u.path = o.parent"""
 
-for _query in (op1_language_fusion, language_of_pages, op2_bpe_automaton, op3_decontaminate_fm_index, op4_line_dedup_patience, op5_url_logistic, op6_simhash_bit_planes, op7_log_bilinear, op8_embedding_sorted_passes, op9_html_tree_model, op10_virtual_slots, op12_license_scan, op13_conversation_trie):
+# Every phrase of every piece as a string; the lowest cut by (score, k); what a longer phrase covers goes.
+ORACLES["op11_collocations"] = r"""
+with d as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from d),
+grams as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase
+ from (select lang, m, w, unnest(range(1, len(w) - m + 2)) as i from p, (select unnest([1, 2, 3, 4]) as m) where len(w) >= m)),
+f as (select lang, m, phrase, count(*) as f from grams group by lang, m, phrase),
+totals as (select lang, sum(f) as n from f where m = 1 group by lang),
+c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from f where m > 1 and f >= 30),
+cuts as (select c.lang, c.phrase, c.a, k, x.f as l, y.f as r, cast(2000000 as hugeint) * c.a // (x.f + y.f) as score
+ from (select *, unnest(range(1, m)) as k from c) c
+ join f x on x.lang = c.lang and x.phrase = array_to_string(w[1:k], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(w[k + 1:len(w)], ' ')),
+best as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as pick from cuts) where pick = 1),
+inner_parts as (select lang, a as outer_a, array_to_string(w[i:i + v - 1], ' ') as phrase
+ from (select lang, a, w, v, unnest(range(1, m - v + 2)) as i from (select *, unnest(range(2, m)) as v from c where m > 2))),
+held as (select lang, phrase, max(outer_a) as outer_a from inner_parts group by lang, phrase),
+kept as (select best.* from best left join held using (lang, phrase) where outer_a is null or 100 * cast(outer_a as hugeint) < 80 * cast(a as hugeint)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n,
+ cast(score as bigint) as score from ranked join totals using (lang) where rank <= 2000"""
+
+for _query in (op1_language_fusion, language_of_pages, op2_bpe_automaton, op3_decontaminate_fm_index, op4_line_dedup_patience, op5_url_logistic, op6_simhash_bit_planes, op7_log_bilinear, op8_embedding_sorted_passes, op9_html_tree_model, op10_virtual_slots, op11_collocations, op12_license_scan, op13_conversation_trie):
     QUERIES[_query.__name__] = _query
