@@ -41,7 +41,8 @@ END = "\n"
 # The pre-split of the tokenizer file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 # Code points whose case or class depends on the Unicode version: such texts are normalised and split by the library.
-RARE = "[ᲀ-᳿Ꙁ-꯿\U00010000-\U0010ffff]"
+# A test compares all code points.
+RARE = "[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u1c80-\u1cff\u208f\u209d-\u209f\ua640-\uabff\U00010000-\U0010ffff]"
 #: Encoded words that a task keeps; when it is full it starts anew.
 KEPT_WORDS = 300_000
 #: Looked-up transitions that a task keeps.
@@ -172,7 +173,9 @@ class Encoder:
 
     def open(self) -> None:
         self.symbols = byte_symbols()
+        #: Encoded words as they stand in a text, and those that the library has split and spelled in symbols.
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.spelled: dict[str, tuple[bytes, str]] = {}
         self.split = regex.compile(SPLIT).findall
         self.rare = regex.compile(RARE).search
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
@@ -185,11 +188,11 @@ class Encoder:
         self.__dict__ |= state
         self.open()
 
-    def _word(self, word: str, symbols: str) -> tuple[bytes, str]:
+    def _word(self, kept: dict[str, tuple[bytes, str]], word: str, symbols: str) -> tuple[bytes, str]:
         tokens = self.automaton.encode(symbols)
-        if len(self.words) >= KEPT_WORDS:
-            self.words.clear()
-        made = self.words[word] = (struct.pack(f"<{len(tokens)}I", *tokens), " ".join([self.automaton.labels[t] for t in tokens]))
+        if len(kept) >= KEPT_WORDS:
+            kept.clear()
+        made = kept[word] = (struct.pack(f"<{len(tokens)}I", *tokens), " ".join([self.automaton.labels[t] for t in tokens]))
         return made
 
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
@@ -199,11 +202,12 @@ class Encoder:
 
                 self.library = Tokenizer.from_str(self.source)
             split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-            return [self.words.get("\0" + word) or self._word("\0" + word, word) for word, _ in split]
+            return [self.spelled.get(word) or self._word(self.spelled, word, word) for word, _ in split]
         # The library lower-cases character by character: no final sigma.
         lowered = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        get, symbols = self.words.get, self.symbols
-        return [get(word) or self._word(word, "".join([symbols[b] for b in word.encode()])) for word in self.split(lowered)]
+        kept, symbols = self.words, self.symbols
+        get = kept.get
+        return [get(word) or self._word(kept, word, "".join([symbols[b] for b in word.encode()])) for word in self.split(lowered)]
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """(tokens as little-endian unsigned 32-bit integers, decoded text) of one whole text."""

@@ -52,6 +52,38 @@ def test_any_text_is_encoded_as_by_the_library(encoder, library, text):
     same_as_library(encoder, library, text)
 
 
+def test_every_code_point_is_encoded_as_by_the_library(encoder, library):
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for start in range(0, len(points), 512):
+        text = " ".join(f"x{chr(c)}x 1{chr(c)}.{chr(c)}" for c in points[start : start + 512])
+        wanted = library.encode(text, add_special_tokens=False).ids
+        if list(np.frombuffer(encoder.encode(text)[0], "<u4")) != wanted:
+            for c in points[start : start + 512]:
+                same_as_library(encoder, library, f"x{chr(c)}x 1{chr(c)}.{chr(c)}")
+
+
+def test_code_points_that_need_the_library_are_listed(encoder, library):
+    """Split by the operator's own way, all others of the basic plane come out as by the library, each by itself."""
+    rare = encoder.rare
+    for start in range(0, 0x10000, 256):
+        plain = [chr(c) for c in range(start, start + 256) if not 0xD800 <= c <= 0xDFFF and not rare(chr(c))]
+        for text in [" ".join(f"x{c}x1{c}.{c}" for c in plain)]:
+            assert not rare(text)
+            same_as_library(encoder, library, text)
+
+
+def test_what_was_encoded_before_changes_nothing(library):
+    texts = ["\U0001f600 -", "\0-", "-", "\0", "\U0001f600\0-", "\0a \u0558b", "ğ \U0001f600ğ", "Ġ", "\U0001f600 Ġ Ã©", "Ã©", "é", "\U0001f600 é"]
+    made = bpe.Encoder.from_file(tokenizer_file())
+    for turn in range(len(texts)):
+        made.open()
+        for text in [*texts[turn:], *texts[:turn], *reversed(texts)]:
+            same_as_library(made, library, text)
+    draw = random.Random(8)
+    for _ in range(3000):
+        same_as_library(made, library, "".join(draw.choice("\0\0-aé 'ΣĠ\u0301\U0001f600\u208f") for _ in range(draw.randint(1, 6))))
+
+
 def test_letters_and_odd_texts_are_encoded_as_by_the_library(encoder, library):
     draw = random.Random(4)
     for text in ODD + ["".join(draw.choice("aehinorst' ") for _ in range(200)) for _ in range(300)]:
