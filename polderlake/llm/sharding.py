@@ -3,6 +3,9 @@
 A record's hash gives its virtual slot, one of a fixed number. A versioned table says which shard holds each slot. To
 rebalance, the bytes of each slot are summed and slots move from the heaviest shard to the lightest: a new version of
 the table that differs from the one before in the moved slots only. Records never move on their own.
+
+Equal records (id, checksum and size) are told apart by a number within their group, which is hashed with them: a hot
+group spreads over the slots like any others. The numbers come from the group's count, so no task numbers a whole group.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from polderlake.session import scratch_path
 
 SLOTS = 4096
 SHARDS = 24
+#: Numbers of one group that are handed out by one row.
+RUN = 4096
 _MAP = "version int, virtual_slot int, shard int, bytes long, rows long"
 
 
@@ -27,11 +32,17 @@ def first_map(slots: int, shards: int) -> np.ndarray:
 def rebalanced(shard_of: np.ndarray, weight: np.ndarray, shards: int) -> np.ndarray:
     """The map after moving slots, one at a time, from the heaviest shard to the lightest, while that evens them out.
 
+    Slots of shards that are no longer there go to the lightest shards first, the largest slots before the others.
+
     Each move takes the slot closest to half the difference (the smallest number if several), so every move brings the
     two shards closer together and the moves come to an end. With more shards than before, the new ones fill up first.
     """
     shard_of = shard_of.copy()
-    load = np.bincount(shard_of, weight, shards)
+    gone = np.flatnonzero(shard_of >= shards)
+    load = np.bincount(shard_of[shard_of < shards], weight[shard_of < shards], shards)
+    for slot in gone[np.argsort(-weight[gone], kind="stable")]:
+        shard_of[slot] = load.argmin()
+        load[shard_of[slot]] += weight[slot]
     while True:
         heavy, light = int(load.argmax()), int(load.argmin())
         gap = load[heavy] - load[light]
@@ -45,15 +56,22 @@ def rebalanced(shard_of: np.ndarray, weight: np.ndarray, shards: int) -> np.ndar
 
 
 def sized_records(docs: DataFrame, id_column: str, column: str, slots: int) -> DataFrame:
-    """(id, size, text_crc32, virtual_slot) of each record; the text is read once and not shuffled."""
+    """(id, size, text_crc32, number, virtual_slot) of each record; the text is read once and not shuffled.
+
+    `number` counts equal records from 0. Their count is combined before the shuffle, and its runs of numbers are dealt anew.
+    """
     text = F.coalesce(F.col(column), F.lit(""))
-    crc = F.crc32(F.encode(text, "UTF-8"))
-    return docs.select(
+    names = [id_column, "size", "text_crc32"]
+    sized = docs.select(
         F.col(id_column),
         (F.octet_length(text) + 8).cast("long").alias("size"),
-        crc.alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_column), crc), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
+    groups = sized.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    runs = groups.select(*names, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("start"))
+    dealt = runs.repartition(*names, "start")
+    numbered = dealt.select(*names, F.explode(F.sequence("start", F.least(F.col("start") + RUN, F.col("n")) - 1)).alias("number"))
+    return numbered.withColumn("virtual_slot", F.pmod(F.xxhash64(id_column, "text_crc32", "number"), F.lit(slots)).cast("int"))
 
 
 def slot_weights(records: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,15 +82,50 @@ def slot_weights(records: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray
     return size, rows
 
 
+def _versions(spark, path: str) -> list[int]:
+    """The finished versions of the map at `path`, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [entry.getPath() for entry in system.listStatus(folder)] if system.exists(folder) else []
+    done = [p.getName() for p in found if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(name.removeprefix("version=")) for name in done if name.startswith("version="))
+
+
 def save_map(spark, path: str, version: int, shard_of: np.ndarray, size: np.ndarray, rows: np.ndarray) -> None:
-    """Add a version to the stored map; a version is written once."""
+    """Add a version to the stored map. A finished version is never written again; what a lost writer left is."""
+    if version in _versions(spark, path):
+        raise ValueError(f"version {version} of the slot map is there already: load it and edit that")
     values = [(version, slot, int(shard), int(size[slot]), int(rows[slot])) for slot, shard in enumerate(shard_of)]
-    spark.createDataFrame(values, _MAP).coalesce(1).write.parquet(f"{path}/version={version}")
+    spark.createDataFrame(values, _MAP).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
-def load_map(spark, path: str, version: int) -> np.ndarray:
+def load_map(spark, path: str, version: int | None = None) -> tuple[int, np.ndarray] | None:
+    """(version, shard of each slot) of one version, the newest by default; None if there is none."""
+    known = _versions(spark, path)
+    if not known:
+        return None
+    version = known[-1] if version is None else version
     rows = spark.read.schema(_MAP).parquet(f"{path}/version={version}").orderBy("virtual_slot").collect()
-    return np.array([row["shard"] for row in rows], dtype=np.int64)
+    return version, np.array([row["shard"] for row in rows], dtype=np.int64)
+
+
+def edited_map(spark, path: str, size: np.ndarray, rows: np.ndarray, slots: int, shards: int) -> tuple[int, np.ndarray]:
+    """The newest map at `path` (the first one if there is none), rebalanced and saved as the next version.
+
+    If no slot moves the newest version stays the newest. A map for another number of slots can't be edited.
+    """
+    now = load_map(spark, path)
+    if now is None:
+        save_map(spark, path, 0, first_map(slots, shards), size, rows)
+        now = load_map(spark, path)
+    version, shard_of = now
+    if len(shard_of) != slots:
+        raise ValueError(f"the slot map has {len(shard_of)} slots, not {slots}")
+    moved = rebalanced(shard_of, size, shards)
+    if (moved == shard_of).all():
+        return version, shard_of
+    save_map(spark, path, version + 1, moved, size, rows)
+    return version + 1, moved
 
 
 RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version")
@@ -82,9 +135,11 @@ def assign_shards(docs: DataFrame, *, shards: int = SHARDS, slots: int = SLOTS,
     """(id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version) for each row of `docs`.
 
     `size` is the text's UTF-8 bytes (none if null) plus 8. The law is `bytes`: the shards' sizes are nearly equal.
-    `slot` is the record's place in its shard, gapless from 0, in order of virtual slot, id, checksum and size; rows
-    equal in all of these are interchangeable. Null ids are hashed with the text's checksum like any other.
-    `map_path` is where the versions of the slot map are kept (default: a folder of their own below the shared folder).
+    `slot` is the record's place in its shard, gapless from 0, in order of virtual slot, id, checksum, size and number;
+    rows equal in id, checksum and size are interchangeable, and spread over the shards. Null ids are hashed with the
+    text's checksum like any other. A record larger than a shard's share stays whole. `map_path` is where the versions of
+    the slot map are kept (default: a folder of its own below the shared folder): the newest one there is edited, and the
+    next one saved if a slot moved. Beside id and text no column is read.
 
     The map and the slots' sums have one row per virtual slot, whatever the input; records are numbered within their
     virtual slot, and the slots' first places are running sums over those few rows.
@@ -92,11 +147,8 @@ def assign_shards(docs: DataFrame, *, shards: int = SHARDS, slots: int = SLOTS,
     spark = docs.sparkSession
     records = stored(sized_records(docs, id_column, column, slots), "sharding")
     size, rows = slot_weights(records, slots)
-    path = map_path or scratch_path(spark, "slot-map")
-    save_map(spark, path, 0, first_map(slots, shards), size, rows)
-    save_map(spark, path, 1, rebalanced(load_map(spark, path, 0), size, shards), size, rows)
-    shard_of = load_map(spark, path, 1)
-    return place(records, shard_of, rows, id_column, 1)
+    version, shard_of = edited_map(spark, map_path or scratch_path(spark, "slot-map"), size, rows, slots, shards)
+    return place(records, shard_of, rows, id_column, version)
 
 
 def place(records: DataFrame, shard_of: np.ndarray, rows: np.ndarray, id_column: str, version: int) -> DataFrame:
@@ -107,7 +159,7 @@ def place(records: DataFrame, shard_of: np.ndarray, rows: np.ndarray, id_column:
         own = np.flatnonzero(shard_of == shard)
         starts[own] = np.cumsum(rows[own]) - rows[own]
     table = spark.createDataFrame([(slot, int(s), int(starts[slot])) for slot, s in enumerate(shard_of)], "virtual_slot int, shard int, first long")
-    order = ", ".join(f"`{c}`" for c in (id_column, "text_crc32", "size"))
+    order = ", ".join(f"`{c}`" for c in (id_column, "text_crc32", "size", "number"))
     numbered = records.withColumn("_at", F.expr(f"row_number() over (partition by virtual_slot order by {order}) - 1"))
     return numbered.join(F.broadcast(table), "virtual_slot").select(
         id_column,

@@ -248,6 +248,72 @@ def test_rebalancing_edits_the_map():
     assert (after[after != before] == 6).mean() > 0.7 and (after != before).mean() < 0.25, "few slots move, and to the new shard"
 
 
+def loads(rows, shards):
+    size = Counter()
+    for r in rows:
+        size[r["shard"]] += r["size"]
+    return [size[k] for k in range(shards)]
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_equal_records_spread_like_others(spark, doc_id, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 100)
+    docs = spark.createDataFrame([(doc_id, "x" * 600)] * 3000 + [(i, "y" * 90) for i in range(10, 500)], "doc_id long, text string")
+    rows = sharding.assign_shards(docs.repartition(3)).collect()
+    assert len(rows) == 3490 and sum(r["size"] == 608 for r in rows) == 3000
+    size = loads(rows, sharding.SHARDS)
+    assert max(size) - min(size) < 0.02 * max(size)
+    for shard in range(sharding.SHARDS):
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
+    again = sharding.assign_shards(docs.repartition(7)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again)), "the layout of the input changes nothing"
+
+
+def test_a_very_long_text_stays_whole(spark):
+    docs = spark.createDataFrame([(0, "é" * 2_000_000), *((i, "short") for i in range(1, 400))], "doc_id long, text string")
+    rows = sharding.assign_shards(docs, shards=4, slots=64).collect()
+    long = next(r for r in rows if r["doc_id"] == 0)
+    assert long["size"] == 4_000_008 and {r["virtual_slot"] for r in rows if r["shard"] == long["shard"]} == {long["virtual_slot"]}
+    assert len({r["shard"] for r in rows}) == 4
+
+
+def test_a_stored_map_is_edited_by_later_runs(spark, tmp_path):
+    path = str(tmp_path / "map")
+    texts = [(i, "t" * random.Random(i).randrange(2000)) for i in range(2000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def run(frame, **how):
+        rows = sharding.assign_shards(frame, slots=512, map_path=path, **how).collect()
+        return rows, {r["virtual_slot"]: r["shard"] for r in rows}, {r["map_version"] for r in rows}
+
+    _, first, version = run(docs, shards=5)
+    assert version == {1} and sharding.load_map(spark, path, 0)[1].tolist() == sharding.first_map(512, 5).tolist()
+    assert run(docs, shards=5)[1:] == (first, {1}), "nothing moves, so there is no new version"
+    more = docs.unionAll(spark.createDataFrame([(i, "u" * 900) for i in range(5000, 5600)], docs.schema))
+    rows, second, version = run(more, shards=5)
+    size = loads(rows, 5)
+    assert version == {2} and max(size) - min(size) < 0.02 * max(size)
+    assert 0 < sum(second[k] != v for k, v in first.items()) < 0.3 * len(first), "some slots move, and few"
+    rows, third, version = run(more, shards=6)
+    assert version == {3} and {k for k, v in third.items() if v != second[k]} >= {k for k, v in third.items() if v == 5}
+    rows, fourth, version = run(more, shards=4)
+    size = loads(rows, 4)
+    assert version == {4} and set(fourth.values()) == {0, 1, 2, 3} and max(size) - min(size) < 0.03 * max(size)
+    assert sharding.load_map(spark, path)[0] == 4 and sharding.load_map(spark, path, 1)[1].max() == 4
+    with pytest.raises(ValueError, match="there already"):
+        sharding.save_map(spark, path, 2, sharding.first_map(512, 5), np.zeros(512), np.zeros(512))
+    with pytest.raises(ValueError, match="512 slots"):
+        sharding.assign_shards(docs, slots=256, map_path=path)
+
+
+def test_a_half_written_version_is_written_again(spark, tmp_path):
+    path = tmp_path / "map"
+    (path / "version=0").mkdir(parents=True)
+    (path / "version=0" / "part-00000.parquet").write_text("lost")
+    docs = spark.createDataFrame([(i, "t" * i) for i in range(300)], "doc_id long, text string")
+    assert {r["map_version"] for r in sharding.assign_shards(docs, shards=3, slots=64, map_path=str(path)).collect()} == {1}
+
+
 def test_pipeline_as_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
