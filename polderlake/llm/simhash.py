@@ -3,7 +3,8 @@
 Fingerprints that differ in at most `radius` of 64 bits agree in at least two of `radius + 2` equal parts. Each pair of
 parts is a key under which distinct fingerprints meet. The fingerprints of a block are stored as 64 bit planes, one
 machine word for 64 fingerprints. A query adds plane after plane to carry-save counters that start so that they overflow
-at radius + 1; the block is abandoned once all of its counters have overflowed.
+at radius + 1. It is compared with the fingerprints behind it, a group of machine words at a time; a group is abandoned
+once all of its counters have overflowed.
 
 A key with more than `KEY_ROWS` fingerprints is split into chunks, and each pair of chunks is a block of its own.
 A block passes on a star for each group it finds, not its pairs.
@@ -31,6 +32,8 @@ RADIUS = 2
 #: Rows of a key that meet in one block; larger keys are split into chunks of half as many.
 KEY_ROWS = 2048
 BLOCK_ROWS = 4096
+#: Machine words that are compared, and abandoned, together.
+GROUP_WORDS = 16
 _SEED = 42
 _COUNT_ROWS = 32_768
 CHUNK_BYTES = 400_000
@@ -83,27 +86,47 @@ class BitPlanes:
         unused = np.zeros(width, dtype=np.uint8)
         unused[self.n :] = 1
         self.unused = np.packbits(unused, bitorder="little").view("<u8")
+        #: Groups of machine words compared with a set of queries, those abandoned, and planes read for all of them.
+        self.groups = self.abandoned = self.planes_read = 0
 
-    def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
-        """A boolean row for each query (a fingerprint's number): which fingerprints differ in at most `radius` bits."""
+    def within(self, start: int, stop: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, later fingerprint) for all pairs within `radius` bits, the queries being numbers `start` to `stop`.
+
+        A query is compared with later fingerprints only, `GROUP_WORDS` machine words at a time. A group is abandoned
+        once the counters of all its pairs have overflowed.
+        """
         every = np.uint64(0xFFFFFFFFFFFFFFFF)
         size = max(1, radius.bit_length())
-        start = (1 << size) - (radius + 1)
-        shape = (len(queries), self.planes.shape[1])
-        counters = [np.full(shape, every if start >> i & 1 else 0, dtype=np.uint64) for i in range(size)]
-        over = np.broadcast_to(self.unused, shape).copy()
-        asked = np.where(self.bits[queries] > 0, every, np.uint64(0))
-        for plane in range(64):
-            carry = self.planes[plane] ^ asked[:, plane, None]
-            for i, counter in enumerate(counters):
-                onward = counter & carry
-                counters[i] = counter ^ carry
-                carry = onward
-            over |= carry
-            if plane % 4 == 3 and (over == every).all():
-                return np.zeros((len(queries), self.n), dtype=bool)
-        near = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")[:, : self.n]
-        return near.astype(bool)
+        first = (1 << size) - (radius + 1)
+        asked = np.where(self.bits[start:stop] > 0, every, np.uint64(0))
+        queries, partners = [], []
+        for low in range(start // 64, self.planes.shape[1], GROUP_WORDS):
+            high = min(low + GROUP_WORDS, self.planes.shape[1])
+            shape = (stop - start, high - low)
+            counters = [np.full(shape, every if first >> i & 1 else 0, dtype=np.uint64) for i in range(size)]
+            over = np.broadcast_to(self.unused[low:high], shape).copy()
+            if low * 64 < stop:
+                # Fingerprints up to the query itself need no comparison.
+                earlier = np.arange(low * 64, high * 64) <= np.arange(start, stop)[:, None]
+                over |= np.packbits(earlier, axis=1, bitorder="little").view("<u8")
+            self.groups += 1
+            for plane in range(64):
+                carry = self.planes[plane, low:high] ^ asked[:, plane, None]
+                for i, counter in enumerate(counters):
+                    onward = counter & carry
+                    counters[i] = counter ^ carry
+                    carry = onward
+                over |= carry
+                if plane % 4 == 3 and (over == every).all():
+                    self.abandoned += 1
+                    self.planes_read += plane + 1
+                    break
+            else:
+                self.planes_read += 64
+                query, partner = np.nonzero(np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little"))
+                queries.append(query + start)
+                partners.append(partner + low * 64)
+        return np.concatenate([*queries, np.zeros(0, int)]), np.concatenate([*partners, np.zeros(0, int)])
 
 
 def stars(values: np.ndarray, radius: int, queries: int = 64) -> list[tuple[int, int]]:
@@ -111,13 +134,11 @@ def stars(values: np.ndarray, radius: int, queries: int = 64) -> list[tuple[int,
     planes = BitPlanes(values.view(np.uint64))
     label = np.arange(len(values))
     for start in range(0, len(values), queries):
-        asked = np.arange(start, min(start + queries, len(values)))
-        near = planes.within(asked, radius)
-        for row, query in zip(near, asked, strict=True):
-            partners = np.flatnonzero(row)
-            joined = np.unique(label[partners])
+        asked, partners = planes.within(start, min(start + queries, len(values)), radius)
+        for query in np.unique(asked):
+            joined = np.unique(label[[query, *partners[asked == query]]])
             if len(joined) > 1:
-                label[np.isin(label, joined)] = label[query]
+                label[np.isin(label, joined)] = joined[0]
     out = []
     order = np.argsort(label, kind="stable")
     for group in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):

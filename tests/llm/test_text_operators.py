@@ -193,9 +193,27 @@ def test_bit_planes_find_all_near_pairs(radius):
     values = draw.integers(0, 2**63, 150, dtype=np.uint64)
     near = values[:80] ^ (np.uint64(1) << draw.integers(0, 64, 80, dtype=np.uint64)) ^ (np.uint64(1) << draw.integers(0, 64, 80, dtype=np.uint64))
     values = np.unique(np.concatenate([values, near]))
-    found = simhash.BitPlanes(values).within(np.arange(len(values)), radius)
-    wanted = np.bitwise_count(values[:, None] ^ values[None, :]) <= radius
-    assert (found == wanted).all()
+    wanted = set(zip(*(x.tolist() for x in np.nonzero(np.triu(np.bitwise_count(values[:, None] ^ values[None, :]) <= radius, 1))), strict=True))
+    for step in (1, 7, 64, 200):
+        planes, found = simhash.BitPlanes(values), []
+        for start in range(0, len(values), step):
+            found += zip(*(x.tolist() for x in planes.within(start, min(start + step, len(values)), radius)), strict=True)
+        assert len(found) == len(set(found)) and set(found) == wanted
+
+
+def test_groups_of_random_fingerprints_are_abandoned():
+    values = np.unique(np.random.default_rng(5).integers(0, 2**63, 4000, dtype=np.uint64))
+    planes = simhash.BitPlanes(values)
+    for start in range(0, len(values), 64):
+        asked, partners = planes.within(start, min(start + 64, len(values)), 2)
+        assert not len(asked) and not len(partners)
+    assert planes.groups > 120 and planes.abandoned == planes.groups, "no pair is near, so every group is abandoned"
+    assert planes.planes_read < 0.7 * 64 * planes.groups
+    # One near pair keeps its own group only.
+    values[2000] = values[100] ^ np.uint64(1)
+    planes = simhash.BitPlanes(values)
+    found = [pair for start in range(0, 4000, 64) for pair in zip(*planes.within(start, min(start + 64, len(values)), 2), strict=True)]
+    assert found == [(100, 2000)] and planes.abandoned == planes.groups - 1
 
 
 def components(values, ids, radius):
