@@ -29,8 +29,15 @@ CHUNK_BYTES = 1_000_000
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-_HIDDEN = frozenset("script style textarea noscript template iframe svg math object head title".split())
+#: Elements that part no words. What they hold is text of the block around them, which the model judges.
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var "
+    "audio canvas head map noscript object output picture ruby rb rp rt slot svg template video math annotation g mfrac mi mn mo mover mroot "
+    "mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover path semantics text tspan".split()
+)
+#: Void elements that part words as white space does; all others leave a word whole.
+_BREAKS = frozenset(("br", "hr"))
+#: Scripts, styles, titles and form fields hold no text of the page.
 _RAW = frozenset("script style textarea title iframe".split())
 #: An opening tag of the key ends an open element of these.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -70,7 +77,7 @@ def parse(source: str | None) -> Page:
 
     open_elements = [element("#page", "", -1)]
     pending: list[str] = []
-    in_link, link_words, hidden = False, 0, 0
+    in_link, link_words = False, 0
 
     def flush() -> None:
         nonlocal link_words
@@ -88,7 +95,7 @@ def parse(source: str | None) -> Page:
 
     def add(text: str) -> None:
         nonlocal link_words
-        if text and not hidden:
+        if text:
             pending.append(text)
             if in_link:
                 link_words += len(text.split())
@@ -105,22 +112,17 @@ def parse(source: str | None) -> Page:
         if tag is None:
             continue
         closing, tag, attributes = bool(found[1] or found[4]), tag.lower(), found[3] or found[6] or ""
-        if tag in _RAW and not closing:
-            flush()
-            end = re.compile(f"</{tag}", re.I).search(source, at)
-            at = end.start() if end else len(source)
-            continue
-        if tag in _HIDDEN:
-            if not attributes.endswith("/"):
-                hidden = max(0, hidden + (-1 if closing else 1)) if tag not in _RAW else hidden
-            flush()
+        if tag in _RAW:
+            if not closing:
+                end = re.compile(f"</{tag}", re.I).search(source, at)
+                at = end.start() if end else len(source)
             continue
-        if tag == "body" and not closing:
-            hidden = 0
         if tag in _INLINE:
             if tag == "a":
                 in_link = not closing
             continue
+        if tag in _VOID and tag not in _BREAKS:
+            continue
         flush()
         in_link = False
         if tag in _VOID:
@@ -362,7 +364,8 @@ def extract(pages: DataFrame, model: ContentModel | None = None, *, id_column: s
     """`pages` with `text` and `n_chars` (its code points) instead of `column`; they replace columns of those names.
 
     Character references are decoded, white space inside a block becomes one space, and blocks are joined by one space in
-    page order. Scripts, styles, comments in the markup and the head are no text. Null, empty or tagless pages have
+    page order. Scripts, styles, titles, form fields and comments in the markup are no text; inline elements, and void ones other
+    than `br` and `hr`, part no words. A head needs no end. Null, empty or tagless pages have
     the text that the model takes from them, which is empty if there is none. Rows are kept one by one, repeated ones
     too. One pass over the whole pages, without a shuffle.
     """

@@ -222,6 +222,43 @@ def test_extraction_replaces_clashing_columns(spark, content):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def all_text(source):
+    return " ".join(text for _, text in html_text.parse(source).runs)
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<html><head><title>T</title><meta charset=x><article><p>the text</p></article>", "the text"),
+        ("<head><style>p{}</style>open text<p>more</p>", "open text more"),
+        ("<head><noscript>told</noscript></head><body><p>x", "told x"),
+        ("<p>super<wbr>visor sits<img src=a>down in<input name=q>side</p>", "supervisor sitsdown inside"),
+        ("<p>be<script>var a = '<p>';</script>fore <style>x</style>and<link rel=x>over</p>", "before andover"),
+        ("<p>one<br>two<hr>three", "one two three"),
+        ("<p>area <svg><title>no</title><text>of r</text></svg><math><mi>x</mi><mo>=</mo><mn>2</mn></math>, <object>shown</object></p>", "area of rx=2, shown"),
+        ("<div><template><p>kept</p></template><noscript>too</noscript></div>", "kept too"),
+        ("<p>field <textarea>no</textarea>gone</p>", "field gone"),
+        ("<ul><li>a&amp;b<li>c&nbsp;d</ul>", "a&b c d"),
+        ("<p>a<b>b</b>c<!-- x -->d</p>", "abcd"),
+        ("", ""),
+        ("<", "<"),
+        ("no tags at all", "no tags at all"),
+    ],
+)
+def test_no_text_is_lost_and_no_word_parted(source, text):
+    assert all_text(source) == text
+
+
+def test_hidden_elements_inside_an_article_stay_in_its_text(spark, content):
+    words = "The council has agreed on a new plan for the harbour, and the works will begin in the spring of next year. "
+    for inside in ("<svg><text>{}</text></svg>", "<object>{}</object>", "<noscript>{}</noscript>", "<template>{}</template>", "<math><mtext>{}</mtext></math>"):
+        page = f"<html><head><title>t</title><body><nav><a href=x>Home</a> <a href=y>News</a></nav><article><h1>Harbour</h1><p>{words}</p><p>{words}{inside.format('an own formula')}</p></article><footer><a href=z>Imprint</a></footer>"
+        (found,) = content.texts([page])
+        assert "an own formula" in found and "Home" not in found and "Imprint" not in found, inside
+    (open_head,) = content.texts([f"<head><title>t</title><meta name=a><article><p>{words}</p><p>{words}</p></article>"])
+    assert open_head.count("The council") == 2
+
+
 def test_shards_are_even_and_places_gapless(spark):
     draw = random.Random(3)
     texts = ["é" * draw.randrange(400) for _ in range(3000)] + [None, "", "same", "same"]
