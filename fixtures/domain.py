@@ -185,6 +185,12 @@ def _stamp(sf_dir: str) -> tuple | None:
     return tuple((os.stat(file).st_mtime_ns, os.stat(file).st_size) for file in files)
 
 
+def stamp_key(sf_dir: str, name: str) -> tuple | None:
+    """A key for what is made of the test tables as they are now; None if their state can't be seen."""
+    stamp = _stamp(sf_dir)
+    return None if stamp is None else (name, sf_dir, stamp)
+
+
 def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table as a lazy DataFrame. Only the plan is kept for the next call, never rows."""
     return _domain(spark, sf_dir, name, _stamp(sf_dir))

@@ -73,25 +73,44 @@ def _zero(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0)).alias(name)
 
 
-def client_360(
-    persona: DataFrame, employment: DataFrame, ww: DataFrame, wia: DataFrame, crm: DataFrame, as_of: datetime
-) -> DataFrame:
-    """One row per person with counts from four domains, all joined on the same key."""
-    jobs = _per_person(
+def jobs_part(employment: DataFrame) -> DataFrame:
+    """Running employments per person."""
+    return _per_person(
         employment.filter("is_lopend"),
         n_dienstverbanden_lopend=F.count(F.lit(1)),
         totaal_loon_jaar=F.sum("loon_bruto_jaar"),
     )
-    ww_open = _per_person(ww, n_lopende_ww=F.count_if(F.col("status").isin(*WW_OPEN)))
-    wia_open = _per_person(
+
+
+def ww_part(ww: DataFrame) -> DataFrame:
+    status = F.col("status")
+    return _per_person(
+        ww,
+        n_lopende_ww=F.count_if(status.isin(*WW_OPEN)),
+        n_ww_aanvragen=F.count(F.lit(1)),
+        n_ww_toegekend=F.count_if(status == "TOEGEKEND"),
+    )
+
+
+def wia_part(wia: DataFrame) -> DataFrame:
+    return _per_person(
         wia,
         max_ao_pct=F.max("arbeidsongeschikt_pct"),
         n_lopende_wia=F.count_if(F.col("status").isin(*WIA_GRANTED)),
+        n_wia_aanvragen=F.count(F.lit(1)),
     )
+
+
+def contacts_part(crm: DataFrame, as_of: datetime) -> DataFrame:
+    """Contacts of the 30 days before `as_of` per person."""
     since = F.lit(as_of) - F.expr("INTERVAL 30 DAYS")
-    contacts = _per_person(crm.filter(F.col("contact_ts") >= since), n_klantcontacten_30d=F.count(F.lit(1)))
+    return _per_person(crm.filter(F.col("contact_ts") >= since), n_klantcontacten_30d=F.count(F.lit(1)))
+
+
+def client_360_of(persona: DataFrame, jobs: DataFrame, ww: DataFrame, wia: DataFrame, contacts: DataFrame) -> DataFrame:
+    """The person's row beside the four parts, which have one row per person."""
     joined = persona
-    for part in (jobs, ww_open, wia_open, contacts):
+    for part in (jobs, ww, wia, contacts):
         joined = joined.join(part, "bsn", "left")
     return joined.select(
         "bsn", "voornaam", "achternaam", "geslacht", "geboortedatum", "straat", "huisnummer", "postcode",
@@ -105,23 +124,25 @@ def client_360(
     )
 
 
+def client_360(
+    persona: DataFrame, employment: DataFrame, ww: DataFrame, wia: DataFrame, crm: DataFrame, as_of: datetime
+) -> DataFrame:
+    """One row per person with counts from four domains, all joined on the same key."""
+    return client_360_of(persona, jobs_part(employment), ww_part(ww), wia_part(wia), contacts_part(crm, as_of))
+
+
 def effect_panel(pseudonymized: DataFrame, ww: DataFrame, wia: DataFrame, employment: DataFrame) -> DataFrame:
     """Pseudonymous panel: benefit and job history per person, without the citizen number."""
-    ww_part = _per_person(
-        ww, n_ww_aanvragen=F.count(F.lit(1)), ww_toegekend=F.count_if(F.col("status") == "TOEGEKEND")
-    )
-    wia_part = _per_person(wia, n_wia_aanvragen=F.count(F.lit(1)), max_ao_pct=F.max("arbeidsongeschikt_pct"))
-    running = F.col("is_lopend")
-    job_part = _per_person(
-        employment,
-        dienstverbanden_lopend=F.count_if(running),
-        loon_jaar_lopend=F.sum(F.when(running, F.col("loon_bruto_jaar"))),
-    )
+    return effect_panel_of(pseudonymized, ww_part(ww), wia_part(wia), jobs_part(employment))
+
+
+def effect_panel_of(pseudonymized: DataFrame, ww: DataFrame, wia: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The panel from parts with one row per person."""
     joined = pseudonymized.select("bsn", "bsn_pseudo", "leeftijd", "geslacht")
-    for part in (ww_part, wia_part, job_part):
+    for part in (ww, wia, jobs):
         joined = joined.join(part, "bsn", "left")
     status = (
-        F.when(F.col("dienstverbanden_lopend") > 0, "werkend")
+        F.when(F.col("n_dienstverbanden_lopend") > 0, "werkend")
         .when(F.col("n_ww_aanvragen") > 0, "WW")
         .when(F.col("n_wia_aanvragen") > 0, "WIA")
         .otherwise("overig")
@@ -131,10 +152,16 @@ def effect_panel(pseudonymized: DataFrame, ww: DataFrame, wia: DataFrame, employ
         "leeftijd",
         "geslacht",
         _zero("n_ww_aanvragen"),
-        (F.coalesce("ww_toegekend", F.lit(0)) > 0).alias("ooit_ww_toegekend"),
+        (F.coalesce("n_ww_toegekend", F.lit(0)) > 0).alias("ooit_ww_toegekend"),
         _zero("n_wia_aanvragen"),
         "max_ao_pct",
-        _zero("dienstverbanden_lopend"),
-        _zero("loon_jaar_lopend"),
+        F.coalesce("n_dienstverbanden_lopend", F.lit(0)).alias("dienstverbanden_lopend"),
+        F.coalesce("totaal_loon_jaar", F.lit(0)).alias("loon_jaar_lopend"),
         status.alias("huidige_status"),
     )
+
+
+def income_of(jobs: DataFrame) -> DataFrame:
+    """`household_income` from the running employments per person."""
+    yearly = jobs.select("bsn", F.coalesce("totaal_loon_jaar", F.lit(0)).cast("bigint").alias("inkomen_jaar_eur"))
+    return yearly.withColumn("inkomen_maand_eur", F.col("inkomen_jaar_eur") / F.lit(12.0))

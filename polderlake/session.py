@@ -76,6 +76,27 @@ def clear_scratch(spark: SparkSession) -> int:
     return cleared
 
 
+_ONCE: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, key: tuple | None, make):
+    """What `make()` returns, made the first time a session asks for `key`; for stored tables that several queries read.
+
+    `make` must write below `kept_path`, which `clear_scratch` leaves alone. A key of None is made each time.
+    """
+    if key is None:
+        return make()
+    whole = (spark.sparkContext.applicationId, *key)
+    if whole not in _ONCE:
+        _ONCE[whole] = make()
+    return _ONCE[whole]
+
+
+def kept_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder for a stored table that outlives a query."""
+    return f"{shared_dir(spark).rstrip('/')}/kept-{label}-{uuid.uuid4().hex}"
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: a lost executor rereads it, never recomputes it."""
     shared_dir(df.sparkSession)
