@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catalog import marts
 from catalog.oracle import oracle
 from catalog.registry import query
 from fixtures.domain import SALT, domain, stamp_key
-from polderlake.plans import person_store, quality
-from polderlake.session import kept_path, once
+from polderlake.plans import journey_refresh, person_store, quality
+from polderlake.session import kept_path, once, scratch_path
 from polderlake.sources import lookups, tables
 
 # ---- person marts in buckets -----------------------------------------------------------------------
@@ -49,3 +50,17 @@ def dq_violations_bucketed(spark: SparkSession, sf: str) -> DataFrame:
             "uc_klant_tev": marts.satisfaction(spark, sf),
         }
     )
+
+
+# ---- journey by delivery -----------------------------------------------------------------------------
+
+
+@query("journey_phases_incremental", oracle("phases", "select * from phases"))
+def journey_phases_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Two deliveries: all events but some, then those, whose persons have older and newer ones in store."""
+    store = journey_refresh.JourneyStore(scratch_path(spark, "journey"), buckets=16)
+    later = F.pmod(F.xxhash64("source_ref_id"), F.lit(50)) == 0
+    events = marts.events(spark, sf)
+    journey_refresh.deliver(events.where(~later), store, "first")
+    journey_refresh.deliver(events.where(later), store, "second")
+    return journey_refresh.read_phases(spark, store).drop("bucket")
