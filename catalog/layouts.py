@@ -12,6 +12,7 @@ from fixtures.domain import SALT, domain, stamp_key
 from polderlake.plans import journey_refresh, person_store, quality
 from polderlake.session import kept_path, once, scratch_path
 from polderlake.sources import lookups, tables
+from polderlake.streaming import journey_stream
 
 # ---- person marts in buckets -----------------------------------------------------------------------
 
@@ -64,3 +65,23 @@ def journey_phases_incremental(spark: SparkSession, sf: str) -> DataFrame:
     journey_refresh.deliver(events.where(~later), store, "first")
     journey_refresh.deliver(events.where(later), store, "second")
     return journey_refresh.read_phases(spark, store).drop("bucket")
+
+
+# ---- phases on a stream ------------------------------------------------------------------------------
+
+
+@query("journey_phases_stream", oracle("phases", "select * from phases"))
+def journey_phases_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events in three files' worth of time, each up to 20 days out of order; the query is restarted for each."""
+    source, target = scratch_path(spark, "journey-events"), scratch_path(spark, "phase-log")
+    events = marts.events(spark, sf)
+    arrival = F.date_add(F.to_date("event_ts"), F.pmod(F.xxhash64("source_ref_id"), F.lit(21)).cast("int"))
+    parts = [arrival < "1994-01-01", (arrival >= "1994-01-01") & (arrival < "1997-01-01"), arrival >= "1997-01-01"]
+    last = events.agg(F.max("event_ts").alias("last")).select((F.col("last") + F.expr("INTERVAL 90 DAYS")).alias("event_ts"))
+    closing = last.select("event_ts", F.lit("clock").alias("event_type"))
+    for rows in [*[events.where(part) for part in parts], closing]:
+        full = rows.select([F.col(c) if c in rows.columns else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+        full.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        journey_stream.phase_stream(stream, target, f"{target}-checkpoint", trigger_seconds=None).awaitTermination()
+    return journey_stream.current_phases(spark.read.parquet(target))
