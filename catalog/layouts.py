@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import marts
 from catalog.oracle import oracle
 from catalog.registry import query
 from fixtures.domain import SALT, domain, stamp_key
+from polderlake.operators import sketches
 from polderlake.plans import journey_refresh, person_store, quality
-from polderlake.session import kept_path, once, scratch_path
+from polderlake.session import kept_path, once, scratch_path, stored
 from polderlake.sources import lookups, tables
 from polderlake.streaming import journey_stream
 
@@ -85,3 +89,55 @@ def journey_phases_stream(spark: SparkSession, sf: str) -> DataFrame:
         stream = spark.readStream.schema(events.schema).parquet(source)
         journey_stream.phase_stream(stream, target, f"{target}-checkpoint", trigger_seconds=None).awaitTermination()
     return journey_stream.current_phases(spark.read.parquet(target))
+
+
+# ---- profiles that add up ----------------------------------------------------------------------------
+
+_PROFILED = ("bsn", "kanaal", "onderwerp", "duur_seconden", "contact_id")
+_FIRST, _LAST = date(2024, 1, 5), date(2024, 1, 24)
+
+
+def _exact(column: str) -> str:
+    numeric = column == "duur_seconden"
+    return f"""select '{column}' as column_name, count(*) as n_records, count(*) filter (where {column} is null) as n_null,
+ cast(min({column}) as varchar) as min_value, cast(max({column}) as varchar) as max_value,
+ count(distinct {column}) as n_exact, {'true' if numeric else 'cast(null as boolean)'} as quartiles_within,
+ true as distinct_within, true as top_within from crm where event_date between date '{_FIRST}' and date '{_LAST}'"""
+
+
+def _quartiles_within(profile: DataFrame, rows: DataFrame, number: Column) -> Column:
+    """Whether each estimated quartile lies within the rank error: the shares of rows under it and up to it enclose its place."""
+    shares = (0.25, 0.5, 0.75)
+    told = rows.select(number.alias("v"), profile.select("quantiles").scalar().alias("q"))
+    under = [F.avg((F.col("v") < F.col("q")[i]).cast("double")) for i in range(3)]
+    upto = [F.avg((F.col("v") <= F.col("q")[i]).cast("double")) for i in range(3)]
+    off = [F.greatest(u - share, F.lit(share) - t) for u, t, share in zip(under, upto, shares, strict=True)]
+    return told.agg((F.greatest(*off) <= sketches.RANK_ERROR).alias("within")).scalar()
+
+
+@query("column_profile_sketch", oracle("crm", " union all ".join(_exact(c) for c in _PROFILED)))
+def column_profile_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of all days, stored in two deliveries; the profile of twenty days beside exact values of their rows."""
+    path = scratch_path(spark, "sketches")
+    rows = domain(spark, sf, "crm")
+    early = F.col("event_date") < "2024-01-12"
+    sketches.store_sketches(rows.where(early), _PROFILED, "event_date", path)
+    sketches.store_sketches(rows.where(~early), _PROFILED, "event_date", path)
+    profile = stored(sketches.sketch_profile(sketches.read_sketches(spark, path, _FIRST, _LAST), top=1))
+    wanted = rows.where(F.col("event_date").between(F.lit(_FIRST), F.lit(_LAST)))
+    parts = []
+    for name in _PROFILED:
+        one = profile.where(F.col("column_name") == name)
+        counts = wanted.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+        exact, most = counts.agg(F.count(F.lit(1))).scalar(), counts.agg(F.max("n")).scalar()
+        quartiles = _quartiles_within(one, wanted, F.col(name).cast("double")) if name == "duur_seconden" else F.lit(None).cast("boolean")
+        parts.append(
+            one.select(
+                "column_name", "n_records", "n_null", "min_value", "max_value",
+                exact.alias("n_exact"),
+                quartiles.alias("quartiles_within"),
+                (F.abs(F.col("n_distinct") - exact) <= F.lit(sketches.DISTINCT_ERROR) * exact + 1).alias("distinct_within"),
+                (F.abs(F.get("top_values", F.lit(0))["count"] - most) <= F.col("n_records") / F.lit(0.75 * sketches.TOP_ITEMS) + 1).alias("top_within"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
