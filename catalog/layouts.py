@@ -12,10 +12,10 @@ from catalog import marts
 from catalog.oracle import oracle
 from catalog.registry import query
 from fixtures.domain import SALT, domain, stamp_key
-from polderlake.operators import sketches
+from polderlake.operators import difference, sketches
 from polderlake.plans import journey_refresh, person_store, quality
 from polderlake.session import kept_path, once, scratch_path, stored
-from polderlake.sources import lookups, tables
+from polderlake.sources import clustering, lookups, retention_files, tables
 from polderlake.streaming import journey_stream
 
 # ---- person marts in buckets -----------------------------------------------------------------------
@@ -141,3 +141,79 @@ def column_profile_sketch(spark: SparkSession, sf: str) -> DataFrame:
             )
         )
     return reduce(DataFrame.unionByName, parts)
+
+
+# ---- files along a curve, retention by file, difference of layers --------------------------------------
+
+_CURVE = ("contact_ts", "duur_seconden")
+_FILES = 64
+
+
+@query(
+    "compact_clustered",
+    oracle("crm", " union all ".join(f"select '{c}' as column_name, count(*) as n, count(distinct contact_id) as n_ids, true as few_files from crm" for c in _CURVE)),
+)
+def compact_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """Contacts clustered by time and duration; a filter on either one's middle sixteenth opens few files."""
+    path, target = scratch_path(spark, "crm"), scratch_path(spark, "crm-clustered")
+    tables.write_path(domain(spark, sf, "crm"), path)
+    after = clustering.compact_clustered(spark, path, target, _CURVE, _FILES)
+    bounds = clustering.file_bounds(after, _CURVE)
+    parts = []
+    for name in _CURVE:
+        number = clustering.orderable(after, name)
+        ends = after.agg(F.percentile_approx(number, F.array(F.lit(0.5), F.lit(0.5625))).alias("p")).select("p").scalar()
+        low, high = (clustering.orderable(bounds, f"{label}_{name}") for label in ("min", "max"))
+        opened = bounds.agg((F.count_if((high >= ends[0]) & (low <= ends[1])) * 4 <= F.count(F.lit(1))).alias("few"))
+        parts.append(
+            after.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("contact_id").alias("n_ids")).select(
+                F.lit(name).alias("column_name"), "n", "n_ids", opened.scalar().alias("few_files")
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "retention_by_file",
+    oracle("zw", "select melding_id, eerste_ziektedag from zw where eerste_ziektedag >= date '1998-01-15' or eerste_ziektedag is null"),
+)
+def retention_by_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports in files by day: some expire as a whole, one or two in part, the others not at all."""
+    path = scratch_path(spark, "zw-files")
+    rows = domain(spark, sf, "zw").select("melding_id", "eerste_ziektedag")
+    tables.write_path(rows.repartitionByRange(12, "eerste_ziektedag"), path)
+    retention_files.retain_by_file(spark, path, "eerste_ziektedag", 7, date(2005, 1, 15))
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query(
+    "layer_difference",
+    oracle(
+        "ikv",
+        """, n as (select *, cast(substr(ikv_id, 5) as bigint) as k from ikv),
+b as (select ikv_id, bsn, case when k%500=2 then coalesce(loon_bruto_jaar,0)+1 else loon_bruto_jaar end as loon_bruto_jaar,
+  case when k%1000=2 then 'elders' else werkgever_naam end as werkgever_naam from n where k%300<>4
+ union all select ikv_id || '-X', bsn, loon_bruto_jaar, werkgever_naam from n where k%700=6)
+select coalesce(a.ikv_id, b.ikv_id) as ikv_id,
+ case when b.ikv_id is null then 'removed' when a.ikv_id is null then 'added' else 'changed' end as kind,
+ cast(a.ikv_id is not null as bigint) as n_left, cast(b.ikv_id is not null as bigint) as n_right,
+ case when a.ikv_id is not null and b.ikv_id is not null then array_to_string(list_filter(
+  [case when a.bsn is distinct from b.bsn then 'bsn' end, case when a.loon_bruto_jaar is distinct from b.loon_bruto_jaar
+   then 'loon_bruto_jaar' end, case when a.werkgever_naam is distinct from b.werkgever_naam then 'werkgever_naam' end],
+  lambda x: x is not null), ',') end as changed
+from n a full join b on a.ikv_id = b.ikv_id
+where a.ikv_id is null or b.ikv_id is null or a.loon_bruto_jaar is distinct from b.loon_bruto_jaar
+ or a.werkgever_naam is distinct from b.werkgever_naam""",
+    ),
+)
+def layer_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """Employments beside a copy with rows left out, added and changed."""
+    columns = ["bsn", "loon_bruto_jaar", "werkgever_naam"]
+    left = domain(spark, sf, "ikv").select("ikv_id", *columns)
+    number = F.substring("ikv_id", 5, 20).cast("long")
+    pay = F.when(number % 500 == 2, F.coalesce("loon_bruto_jaar", F.lit(0)) + 1).otherwise(F.col("loon_bruto_jaar"))
+    employer = F.when(number % 1000 == 2, "elders").otherwise(F.col("werkgever_naam"))
+    changed = left.where(number % 300 != 4).withColumns({"loon_bruto_jaar": pay, "werkgever_naam": employer})
+    added = left.where(number % 700 == 6).withColumn("ikv_id", F.concat("ikv_id", F.lit("-X")))
+    found = difference.layer_difference(left, changed.unionByName(added), ["ikv_id"], columns)
+    return found.withColumn("changed", F.array_join("changed", ","))

@@ -58,14 +58,14 @@ def retention_report(tables: Mapping[str, DataFrame], rules: Sequence[RetentionR
     return result
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def partition_folders(spark: SparkSession, path: str, column: str) -> dict[str, str]:
     """Value -> folder of the first partition level; one entry per load date."""
-    fs, target = _file_system(spark, path)
+    fs, target = file_system(spark, path)
     folders = {}
     for status in fs.listStatus(target):
         name = status.getPath().getName()
@@ -75,7 +75,7 @@ def partition_folders(spark: SparkSession, path: str, column: str) -> dict[str,
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    fs, target = _file_system(spark, path)
+    fs, target = file_system(spark, path)
     fs.delete(target, True)
 
 
@@ -98,7 +98,7 @@ def rewrite_survivors(
     """
     kept = retention_survivors(spark.read.format(DEFAULT_FORMAT).load(path), column, years, as_of)
     write_path(kept, target, "errorifexists", partition_by)
-    _same_content(kept, spark.read.format(DEFAULT_FORMAT).load(target))
+    same_content(kept, spark.read.format(DEFAULT_FORMAT).load(target))
     return target
 
 
@@ -152,7 +152,7 @@ def switch_location(spark: SparkSession, table: str, location: str) -> None:
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
     for spec in known:
         folder = f"{location.rstrip('/')}/{spec}"
-        fs, target = _file_system(spark, folder)
+        fs, target = file_system(spark, folder)
         if fs.exists(target):
             spark.sql(f"ALTER TABLE {table} PARTITION ({_partition_clause(spec)}) SET LOCATION '{folder}'")
         else:
@@ -171,7 +171,8 @@ def content_checksum(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_records"), F.sum(hashed).alias("checksum"))
 
 
-def _same_content(before: DataFrame, after: DataFrame) -> None:
+def same_content(before: DataFrame, after: DataFrame) -> None:
+    """Raise unless both have the same rows, by count and checksum."""
     one, two = content_checksum(before).first(), content_checksum(after).first()
     if one != two:
         raise ValueError(f"rewritten table differs: {one} != {two}")
@@ -188,7 +189,7 @@ def compact_path(spark: SparkSession, path: str, target: str, partition_by: Sequ
     gathered = before.hint("rebalance", *[F.col(name) for name in partition_by])
     write_path(gathered, target, "errorifexists", partition_by)
     after = spark.read.format(DEFAULT_FORMAT).load(target)
-    _same_content(before, after)
+    same_content(before, after)
     return after
 
 

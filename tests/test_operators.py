@@ -323,7 +323,7 @@ def test_compaction_notices_a_difference(spark):
     one = spark.createDataFrame([(1,), (1,)], "n int")
     two = spark.createDataFrame([(1,), (2,)], "n int")
     with pytest.raises(ValueError, match="differs"):
-        upkeep._same_content(one, two)
+        upkeep.same_content(one, two)
 
 
 def test_replaced_table_and_append(spark):
