@@ -77,14 +77,14 @@ def as_text(column: CsvColumn) -> Column:
 BILLING_CSV = tuple(declared(*column) for column in BILLING_COLUMNS)
 
 
-def _text(column: CsvColumn) -> Column:
-    raw = F.col(f"`{column.name}`")
+def _text(column: CsvColumn, raw: Column | None = None) -> Column:
+    raw = F.col(f"`{column.name}`") if raw is None else raw
     return F.when(~raw.isin(*NULL_TEXTS), raw)
 
 
-def _parsed(column: CsvColumn) -> Column:
-    """The typed value, null when the text does not fit the type."""
-    text, target = _text(column), column.spark_type
+def _parsed(column: CsvColumn, raw: Column | None = None) -> Column:
+    """The typed value, null when the text (by default that of the column's name) does not fit the type."""
+    text, target = _text(column, raw), column.spark_type
     if column.type == "varchar":
         return text
     if column.type == "timestamp":
@@ -167,6 +167,96 @@ def read_csv(
     return reduce(DataFrame.unionByName, [typed(reader.csv(files)) for files in groups])
 
 
+# ---- one permissive parse: every line is kept, with what is wrong with it -----------------------------------
+
+REASONS, LINE = "refused_for", "line"
+
+
+def _fields(line: Column, form: CsvFormat, width: int) -> Column:
+    """The texts of one line's fields, as an array of `width`."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    parsed = F.from_csv(line, schema, {"sep": form.delimiter, "escape": '"', "mode": "PERMISSIVE"})
+    return F.array(*[parsed[f"c{i}"] for i in range(width)])
+
+
+def _width(line: Column, form: CsvFormat) -> Column:
+    """The number of fields: separators outside of quotes, and one."""
+    bare = F.regexp_replace(line, '"([^"]|"")*"', "")
+    return (F.length(bare) - F.length(F.replace(bare, F.lit(form.delimiter), F.lit("")))) / len(form.delimiter) + 1
+
+
+def _reasons(columns: Sequence[CsvColumn]) -> Column:
+    """What is wrong with a line, from its texts (`_text_<i>`) and typed values.
+
+    With another number of fields than its header a line is refused for that alone: what stands where is not known.
+    """
+    found = []
+    for i, column in enumerate(columns):
+        text, value = F.col(f"_text_{i}"), F.col(f"`{column.name}`")
+        there = text.isNotNull() & ~text.isin(*NULL_TEXTS)
+        found.append(F.when(~F.col(f"_present_{i}"), F.lit(f"missing:{column.name}")))
+        found.append(F.when(there & value.isNull(), F.lit(f"type:{column.name}")))
+        if column.required:
+            found.append(F.when(~there & F.col(f"_present_{i}"), F.lit(f"required:{column.name}")))
+        if column.type in NUMERIC_TYPES and column.min is not None:
+            found.append(F.when(value < column.min, F.lit(f"min:{column.name}")))
+        if column.type in NUMERIC_TYPES and column.max is not None:
+            found.append(F.when(value > column.max, F.lit(f"max:{column.name}")))
+    broken = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    return F.when(F.col("_width") != F.col("_expected"), F.array(F.lit("fields"))).otherwise(broken)
+
+
+def lines_of_files(spark: SparkSession, paths: Sequence[str], form: CsvFormat = CsvFormat()) -> DataFrame:
+    """(source_file, block, at, line): all lines of the files, with what tells a file's first one."""
+    lines = spark.read.option("encoding", form.encoding).text(list(paths))
+    return lines.select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("value").alias(LINE),
+    )
+
+
+def judged_lines(lines: DataFrame, columns: Sequence[CsvColumn], form: CsvFormat = CsvFormat()) -> DataFrame:
+    """The declared columns, the line, its file, and the reasons for which it is refused (an empty array if for none).
+
+    `lines` are those of `lines_of_files`, stored: the headers are read from them first, and the lines are parsed once,
+    each by the header of its own file. A file without a line below its header gives one row without a line, refused as
+    `non_empty`. Empty lines are passed over. The headers are as many rows as there are files.
+    """
+    own = lines.where(F.trim(F.regexp_replace(LINE, "[\\r\ufeff]", "")) != "")
+    clean = own.withColumn(LINE, F.regexp_replace(LINE, "^\ufeff|\\r$", ""))
+    first = clean.groupBy("source_file").agg(F.min_by(F.struct("at", LINE), F.struct("block", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+    if form.has_header:
+        widest = first.agg(F.max(_width(F.col(f"first.{LINE}"), form))).first()[0]
+        width = max(int(widest or 1), len(columns))
+        heads = first.select(
+            F.col("source_file").alias("_file"),
+            F.col("first.at").alias("_head_at"),
+            F.transform(_fields(F.col(f"first.{LINE}"), form, width), lambda x: F.trim(x)).alias("_head"),
+            _width(F.col(f"first.{LINE}"), form).alias("_expected"),
+        )
+        lone = first.where("n = 1")
+    else:
+        width = len(columns)
+        heads = first.select(F.col("source_file").alias("_file"), F.lit(-1).cast("long").alias("_head_at"), F.array(*[F.lit(c.name) for c in columns]).alias("_head"), F.lit(float(width)).alias("_expected"))
+        lone = first.limit(0)
+    body = clean.join(F.broadcast(heads), F.col("source_file") == F.col("_file")).where(F.col("at") != F.col("_head_at"))
+    split = body.select("source_file", LINE, "_head", "_expected", _fields(F.col(LINE), form, width).alias("_fields"), _width(F.col(LINE), form).alias("_width"))
+    placed = split.select("*", *[F.array_position("_head", F.lit(c.name)).alias(f"_at_{i}") for i, c in enumerate(columns)])
+    texts = placed.select(
+        "source_file", LINE, "_expected", "_width",
+        *[(F.col(f"_at_{i}") > 0).alias(f"_present_{i}") for i in range(len(columns))],
+        *[F.when(F.col(f"_at_{i}") > 0, F.get("_fields", (F.col(f"_at_{i}") - 1).cast("int"))).alias(f"_text_{i}") for i in range(len(columns))],
+    )
+    typed = texts.select("*", *[_parsed(c, F.col(f"_text_{i}")).alias(c.name) for i, c in enumerate(columns)])
+    judged = typed.select(*[F.col(f"`{c.name}`") for c in columns], LINE, "source_file", _reasons(columns).alias(REASONS))
+    without = lone.select(
+        *[F.lit(None).cast(c.spark_type).alias(c.name) for c in columns], F.lit(None).cast("string").alias(LINE), "source_file", F.array(F.lit("non_empty")).alias(REASONS)
+    )
+    return judged.unionByName(without)
+
+
 def _rule_counts(columns: Sequence[CsvColumn]) -> dict[str, Column]:
     counts = {"non_empty": F.when(F.count(F.lit(1)) == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")}
     for column in columns:

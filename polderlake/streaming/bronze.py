@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from polderlake.functions.streams import stream_of_path, table_of_stream
-from polderlake.streaming.publish import publish_batch, query_identity
+from polderlake.streaming.publish import BATCH, publish_batch, query_identity
 
 
 def raw_jsonl_stream(spark: SparkSession, root: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -37,7 +37,8 @@ def bronze_enrich(lines: DataFrame, root: str) -> DataFrame:
 def route_batch(batch: DataFrame, batch_id: int, base: str, prefix: str, query_id: str = "batch") -> None:
     """Append a micro-batch to its tables with one write; rows of unknown streams are left out.
 
-    A batch that is repeated after a failure leaves no duplicates; see `publish_batch`.
+    A batch that is repeated after a failure leaves no duplicates; see `publish_batch`. Its times are the batch's: Spark
+    keeps them with the offsets and gives the same ones when the batch is run again.
     """
     if batch.isEmpty():
         return
@@ -74,4 +75,4 @@ def route_streams(
 def bronze_table(spark: SparkSession, base: str, table: str) -> DataFrame:
     """One bronze table; only its own folder is listed."""
     folder = f"{base.rstrip('/')}/table_name={table}"
-    return spark.read.option("basePath", folder).parquet(folder)
+    return spark.read.option("basePath", folder).parquet(folder).drop(BATCH)

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The last partition level of a published table: which query's which batch its rows came with.
+BATCH = "ingest_batch"
 
 
 def query_identity(spark: SparkSession, checkpoint: str) -> str:
@@ -13,35 +18,13 @@ def query_identity(spark: SparkSession, checkpoint: str) -> str:
     return json.loads("".join(line[0] for line in lines))["id"]
 
 
-def publish_batch(batch: DataFrame, base: str, partitions: list[str], query_id: str, batch_id: int) -> None:
+def publish_batch(batch: DataFrame, base: str, partitions: Sequence[str], query_id: str, batch_id: int) -> None:
     """Add a micro-batch to the table below `base`.
 
-    The rows are written aside, and each file is moved to its partition under a name made of query, batch and number.
-    A repeated batch first takes away the files that an earlier attempt had moved, so it adds nothing; batches of other
-    queries, or of the same query under a fresh checkpoint, have other names and are never touched.
+    The folders of a batch carry its name, so a repeated batch replaces its own files and nothing else: batches of other
+    queries, or of the same query under a fresh checkpoint, have folders of their own. Spark's committer puts them in
+    place. A batch must bring the same partition values each time, so a load date has to be the batch's, not the run's.
     """
-    spark = batch.sparkSession
-    base = base.rstrip("/")
-    aside = f"{base}/_aside/{query_id}-{batch_id}"
-    batch.write.mode("overwrite").partitionBy(*partitions).parquet(aside)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    folder = path(aside)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    root = files.makeQualified(folder).toUri().getPath()
-    made: dict[str, list] = {}
-    listed = files.listFiles(folder, True)
-    while listed.hasNext():
-        file = listed.next().getPath()
-        if file.getName().endswith(".parquet"):
-            made.setdefault(file.getParent().toUri().getPath()[len(root) :].strip("/"), []).append(file)
-    for partition, parts in made.items():
-        target = path(f"{base}/{partition}")
-        files.mkdirs(target)
-        names = (path(target, f"part-{query_id}-{batch_id}-{number:05d}.parquet") for number in range(10**5))
-        for name in names:
-            if not files.delete(name, False):
-                break
-        for number, file in enumerate(sorted(parts, key=lambda p: p.getName())):
-            if not files.rename(file, path(target, f"part-{query_id}-{batch_id}-{number:05d}.parquet")):
-                raise OSError(f"could not move {file.toString()} to {target.toString()}")
-    files.delete(folder, True)
+    named = batch.withColumn(BATCH, F.lit(f"{query_id}-{batch_id}"))
+    writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partitions, BATCH).parquet(base.rstrip("/"))

@@ -139,6 +139,95 @@ def test_a_thousand_uploads_with_two_headers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "bronze")).where("id <= 1000").count() >= 1000
 
 
+def quarantine(spark, tmp_path):
+    csv_drop.watch_with_quarantine(
+        spark, str(tmp_path / "incoming"), str(tmp_path / "done"), COLUMNS, str(tmp_path / "bronze"), str(tmp_path / "refused"),
+        str(tmp_path / "checkpoint"), trigger_seconds=None,
+    ).awaitTermination()
+
+
+def test_refused_lines_go_aside_with_their_reasons(spark, tmp_path):
+    (tmp_path / "incoming").mkdir()
+    (tmp_path / "incoming" / "a.csv").write_text('id,kind\r\n1,a\r\n0,b\r\nx,c\r\n,d\r\n5,"e,""f"""\r\n6,g,h\r\n7\r\n\r\n')
+    (tmp_path / "incoming" / "b.csv").write_text("\ufeffkind,id\nz,9\n")
+    (tmp_path / "incoming" / "c.csv").write_text("id,kind\n")
+    (tmp_path / "incoming" / "d.csv").write_text("kind\nq\n")
+    quarantine(spark, tmp_path)
+    quarantine(spark, tmp_path)
+    good = spark.read.parquet(str(tmp_path / "bronze"))
+    assert sorted((r.id, r.kind) for r in good.collect()) == [(1, "a"), (5, 'e,"f"'), (9, "z")]
+    bad = spark.read.parquet(str(tmp_path / "refused"))
+    found = sorted((r.source_file.rsplit("/", 1)[1], r.line, tuple(r.refused_for)) for r in bad.collect() if r.line is not None)
+    assert found == [
+        ("a.csv", ",d", ("required:id",)), ("a.csv", "0,b", ("min:id",)), ("a.csv", "6,g,h", ("fields",)), ("a.csv", "7", ("fields",)),
+        ("a.csv", "x,c", ("type:id",)), ("d.csv", "q", ("missing:id",)),
+    ]
+    assert [r.source_file.rsplit("/", 1)[1] for r in bad.where("line is null").collect()] == ["c.csv"]
+    assert len(list((tmp_path / "done").rglob("*.csv"))) == 0 or (tmp_path / "done").exists()
+
+
+def test_a_batch_repeated_on_another_day_adds_nothing(spark, tmp_path, monkeypatch):
+    """The time is the batch's: a run that was lost between the two tables is repeated with it."""
+    paths = []
+    for i in range(3):
+        paths.append(str(tmp_path / f"u{i}.csv"))
+        Path(paths[-1]).write_text("id,kind\n" + "".join(f"{n - 2},k\n" for n in range(10 * i, 10 * i + 10)))
+    good, bad, taken = str(tmp_path / "bronze"), str(tmp_path / "refused"), datetime(2024, 3, 1, 23, 59, 59)
+    publish, calls = csv_drop.publish_batch, []
+
+    def lost(*args):
+        calls.append(args[1])
+        if len(calls) == 2:
+            raise OSError("lost")
+        publish(*args)
+
+    monkeypatch.setattr(csv_drop, "publish_batch", lost)
+    for attempt in range(3):
+        staged = csv_drop.staged_upload(spark, paths, COLUMNS)
+        try:
+            csv_drop.publish_upload(staged, COLUMNS, good, bad, "query", 4, taken)
+        except OSError:
+            assert attempt == 0
+    accepted = [r.id for r in spark.read.parquet(good).collect()]
+    refused = [r.line for r in spark.read.parquet(bad).collect()]
+    assert sorted(accepted) == list(range(1, 28)) and sorted(refused) == ["-1,k", "-2,k", "0,k"]
+    assert {str(r.event_date) for r in spark.read.parquet(good).collect()} == {"2024-03-01"}
+    csv_drop.publish_upload(staged, COLUMNS, good, bad, "query", 5, taken)
+    assert spark.read.parquet(good).count() == 54, "another batch has folders of its own"
+
+
+def test_the_time_of_a_batch_is_kept_with_its_offsets(spark, tmp_path, monkeypatch):
+    (tmp_path / "incoming").mkdir()
+    (tmp_path / "incoming" / "a.csv").write_text("id,kind\n1,a\n")
+    seen, take = [], csv_drop.publish_upload
+
+    def failing(*args):
+        seen.append(args[6])
+        if len(seen) == 1:
+            raise OSError("lost")
+        take(*args)
+
+    monkeypatch.setattr(csv_drop, "publish_upload", failing)
+    with pytest.raises(Exception, match="lost"):
+        watch(spark, tmp_path)
+    watch(spark, tmp_path)
+    assert len(seen) == 2 and seen[0] == seen[1]
+    assert spark.read.parquet(str(tmp_path / "bronze")).count() == 1
+
+
+def test_a_file_that_is_being_written_does_not_stop_the_stream(spark, tmp_path, monkeypatch):
+    (tmp_path / "incoming").mkdir()
+    (tmp_path / "incoming" / "a.csv").write_text("id,kind\n1,a\n")
+    growing = tmp_path / "incoming" / "growing.csv"
+    growing.write_text("")
+    monkeypatch.setattr(csv_drop.time, "sleep", lambda s: growing.write_text("id,kind\n2,b\n"))
+    assert csv_drop.files_without_content(spark, str(tmp_path / "incoming")) == []
+    growing.write_text("")
+    watch(spark, tmp_path)
+    watch(spark, tmp_path)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "bronze")).collect()) in ([1], [1, 2])
+
+
 # ---- alerts -----------------------------------------------------------------------------------------
 
 LINES = "ts timestamp, namespace string, container string, message string"
