@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from catalog import marts
 from catalog.oracle import oracle
 from catalog.registry import query, rounded
 from fixtures.domain import domain
+from polderlake.operators import anonymity
 from polderlake.operators import governance as gov
 from polderlake.sources import lookups
 
@@ -210,3 +213,44 @@ def min_group_size(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("leeftijd").alias("gem_leeftijd")
     )
     return rounded(gov.min_group_size(groups, "n", 30), 6, "gem_leeftijd")
+
+
+# ---- publication ------------------------------------------------------------------------------------
+
+_K = 20
+_LADDER_SQL = {
+    "leeftijd": ("cast(leeftijd as varchar)", "cast(leeftijd // 5 * 5 as varchar)", "cast(leeftijd // 20 * 20 as varchar)", "'*'"),
+    "geslacht": ("geslacht", "'*'"),
+    "woonplaats": ("woonplaats", "substr(woonplaats, 1, 1)", "'*'"),
+}
+
+
+def _publication_sql() -> str:
+    """Node after node: the groups that are large enough, and what goes on without them."""
+    steps = {f"{c}{i}": text for c, ladder in _LADDER_SQL.items() for i, text in enumerate(ladder)}
+    nodes = sorted(product(*[range(len(ladder)) for ladder in _LADDER_SQL.values()]), key=lambda node: (sum(node), node))
+    parts = [f""", r0 as materialized (select {', '.join(f"coalesce({text}, '?') as {name}" for name, text in steps.items())}, count(*) as n
+ from pseudonymized group by all)"""]
+    shown = []
+    for i, node in enumerate(nodes):
+        names = [f"{c}{level}" for c, level in zip(_LADDER_SQL, node, strict=True)]
+        cols = ", ".join(names)
+        parts.append(f"g{i} as materialized (select {cols}, sum(n) as total from r{i} group by {cols} having sum(n) >= {_K})")
+        parts.append(f"r{i + 1} as materialized (select r{i}.* from r{i} anti join g{i} using ({cols}))")
+        aliased = ", ".join(f"{name} as {c}" for name, c in zip(names, _LADDER_SQL, strict=True))
+        shown.append(f"select '{','.join(map(str, node))}' as node, {aliased}, cast(total as bigint) as n from g{i}")
+    nulls = ", ".join(f"null as {c}" for c in _LADDER_SQL)
+    shown.append(f"select null as node, {nulls}, cast(sum(n) as bigint) as n from r{len(nodes)} having sum(n) > 0")
+    return ",\n".join(parts) + "\n" + "\nunion all ".join(shown)
+
+
+@query("publish_k_anonymous", oracle("pseudonymized", _publication_sql()))
+def publish_k_anonymous(spark: SparkSession, sf: str) -> DataFrame:
+    """Age, sex and town of all persons in groups of 20 at least."""
+    age = F.col("leeftijd")
+    ladders = {
+        "leeftijd": [age, F.floor(age / 5) * 5, F.floor(age / 20) * 20, F.lit(anonymity.ALL)],
+        "geslacht": [F.col("geslacht"), F.lit(anonymity.ALL)],
+        "woonplaats": [F.col("woonplaats"), F.substring("woonplaats", 1, 1), F.lit(anonymity.ALL)],
+    }
+    return anonymity.publish_k_anonymous(marts.persona_pseudonymized(spark, sf), ladders, _K)

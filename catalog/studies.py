@@ -259,6 +259,33 @@ def matched_counts(spark: SparkSession, sf: str) -> DataFrame:
     return matching.matched_counts(of("werkend"), of("WW"), ["geslacht", "regio_code"])
 
 
+_AGES = """, ages as (select geslacht, woonplaats, date_diff('day', geboortedatum, date '2026-01-01') + 0.25::double as dagen,
+ n_lopende_ww > 0 as treated, n_dienstverbanden_lopend > 0 as working from client_360)"""
+
+
+@query(
+    "matched_counts_real",
+    oracle(
+        "client_360",
+        f"""{_AGES}, a as (select geslacht, woonplaats, dagen, count(*) as n from ages where treated group by all)
+select a.geslacht, a.woonplaats, a.dagen, n as n_treated, count(*) as n_controls from a
+join ages b on b.geslacht = a.geslacht and b.woonplaats = a.woonplaats and not b.treated and b.working
+ and abs(a.dagen - b.dagen) <= 730.5 group by a.geslacht, a.woonplaats, a.dagen, n""",
+    ),
+)
+def matched_counts_real(spark: SparkSession, sf: str) -> DataFrame:
+    """Persons with a benefit, and working persons without one whose age in days is within two years."""
+    ages = marts.client_360(spark, sf).select(
+        "geslacht",
+        "woonplaats",
+        (F.date_diff(F.lit(REFERENCE), "geboortedatum") + F.lit(0.25)).alias("dagen"),
+        (F.col("n_lopende_ww") > 0).alias("treated"),
+        (F.col("n_dienstverbanden_lopend") > 0).alias("working"),
+    )
+    ages = stored(ages)
+    return matching.matched_counts_real(ages.where("treated"), ages.where("NOT treated AND working"), ["geslacht", "woonplaats"], "dagen", 730.5)
+
+
 # ---- plain reports ------------------------------------------------------------------------------
 
 
