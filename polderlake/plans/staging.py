@@ -196,15 +196,17 @@ def snake_case(name: str) -> str:
 
 
 def stg_billing(bronze: DataFrame) -> DataFrame:
+    """The billing rows under snake-case names, with month, savings and three tags, which are parsed once for all three."""
     renamed = {name: snake_case(name) for name, _, _ in BILLING_COLUMNS}
     special = {"Provider": F.lower("Provider").alias("provider"), "Tags": F.col("Tags").alias("tags_raw")}
     columns = [special.get(name, F.col(name).alias(new)) for name, new in renamed.items()]
     list_cost = F.coalesce("ListCost", "EffectiveCost")
-    return bronze.select(
+    parsed = bronze.withColumn("_tags", F.from_json("Tags", ", ".join(f"{tag} string" for tag in BILLING_TAGS)))
+    return parsed.select(
         *columns,
         month_of(F.col("BillingPeriodStart")).alias("billing_month"),
         (list_cost - F.col("EffectiveCost")).cast("decimal(18,6)").alias("savings_amount"),
-        *[F.get_json_object("Tags", f"$.{tag}").alias(f"tag_{tag}") for tag in BILLING_TAGS],
+        *[F.col(f"_tags.{tag}").alias(f"tag_{tag}") for tag in BILLING_TAGS],
         *[name for name in ("ingestion_ts", "source_file", "event_date") if name in bronze.columns],
     )
 
