@@ -5,9 +5,10 @@ to its first holder: one link for each holder, however many there are. So every
 has an earlier document to be compared with, also if its lines are short and begin in different documents. Linked
 documents overlap, however many hold the run; a caller may ask for rare runs or enough words in common ones. The two
 lists of line hashes of an overlapping pair are aligned with patience diff: lines that occur once in each and keep their
-order are fixed points, and between them the same is done again; where there is none, equal lines at both ends and the
-common run with most words are matched. Aligned blocks of enough words are deleted from the later document. What is left
-is aligned again until no such block is found, so that a block that stands elsewhere in the earlier document goes too.
+order are fixed points, and between them the same is done again; where there is none, equal lines at both ends are
+matched. Aligned blocks of enough words are deleted from the later document. What is left is compared with a suffix
+automaton of the earlier lines: all common runs of enough words go, the heaviest first, so that a block that repeats, or
+stands elsewhere in the earlier document, goes too. The work for a pair grows with its lines, in whatever order they are.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import accumulate
 
 import numpy as np
@@ -33,12 +35,8 @@ BLOCK_WORDS = 8
 _FACTOR = 0x9E3779B97F4A7C15
 
 
-def patience(earlier: list[int], later: list[int | None], words: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
-    """Matching positions (earlier, later) of two lists, ascending in both.
-
-    In a range without a line that is unique on both sides, the heaviest common run is matched if it has `least` words.
-    """
-    words = [1] * len(later) if words is None else words
+def patience(earlier: list[int], later: list[int]) -> list[tuple[int, int]]:
+    """Matching positions (earlier, later) of two lists, ascending in both."""
     matches: list[tuple[int, int]] = []
     todo = [(0, len(earlier), 0, len(later))]
     while todo:
@@ -51,7 +49,7 @@ def patience(earlier: list[int], later: list[int | None], words: list[int] | Non
             matches.append((a_end, b_end))
         if a >= a_end or b >= b_end:
             continue
-        fixed = _fixed_points(earlier, a, a_end, later, b, b_end) or heaviest_run(earlier[a:a_end], later[b:b_end], words[b:b_end], least, a, b)
+        fixed = _fixed_points(earlier, a, a_end, later, b, b_end)
         for x, y in fixed:
             todo.append((a, x, b, y))
             matches.append((x, y))
@@ -61,55 +59,97 @@ def patience(earlier: list[int], later: list[int | None], words: list[int] | Non
     return sorted(matches)
 
 
-def heaviest_run(earlier: list[int], later: list[int | None], words: list[int], least: int, a: int = 0, b: int = 0) -> list[tuple[int, int]]:
-    """Positions (counted from `a` and `b`) of the common run of adjacent lines with most words; none below `least`.
-
-    Found with a suffix automaton of the earlier lines, in time that grows with the lines, however often they repeat.
+class SuffixAutomaton:
+    """All runs of adjacent lines of one list, in space and time that grow with its lines."""
+
+    def __init__(self, lines: list[int]):
+        self.step: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        step, link, length = self.step, self.link, self.length
+        last = 0
+        for line in lines:
+            new, at = len(step), last
+            step.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            while at >= 0 and line not in step[at]:
+                step[at][line] = new
+                at = link[at]
+            if at >= 0:
+                following = step[at][line]
+                if length[following] != length[at] + 1:
+                    copy = len(step)
+                    step.append(dict(step[following]))
+                    link.append(link[following])
+                    length.append(length[at] + 1)
+                    link[following] = copy
+                    while at >= 0 and step[at].get(line) == following:
+                        step[at][line] = copy
+                        at = link[at]
+                    following = copy
+                link[new] = following
+            last = new
+
+    def longest_runs(self, other: list[int | None]) -> list[tuple[int, int]]:
+        """(start, end) of the runs of `other` that the list has and that can be made longer on neither side.
+
+        Both their starts and their ends ascend. None is in no run.
+        """
+        step, link, length = self.step, self.link, self.length
+        runs: list[tuple[int, int]] = []
+        at = size = 0
+        for j, line in enumerate(other):
+            before = size
+            while at and line not in step[at]:
+                at = link[at]
+                size = length[at]
+            if line in step[at]:
+                at, size = step[at][line], size + 1
+            else:
+                size = 0
+            if before and size != before + 1:
+                runs.append((j - before, j))
+        if size:
+            runs.append((len(other) - size, len(other)))
+        return runs
+
+
+def common_runs(earlier: list[int], later: list[int | None], words: list[int], least: int) -> list[tuple[int, int]]:
+    """(start, end) of common runs of adjacent lines with `least` words or more: the heaviest, then the heaviest of what it leaves.
+
+    Ties go to the first. A run that loses lines to a heavier one stays a common run without them; it can lose some at
+    each end only, so the work is that of sorting the runs.
     """
     known = set(earlier)
     if sum(n for line, n in zip(later, words, strict=True) if line in known) < least:
         return []
-    step: list[dict[int, int]] = [{}]
-    link, length, end = [-1], [0], [-1]
-    last = 0
-    for i, line in enumerate(earlier):
-        new, at = len(step), last
-        step.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        end.append(i)
-        while at >= 0 and line not in step[at]:
-            step[at][line] = new
-            at = link[at]
-        if at >= 0:
-            following = step[at][line]
-            if length[following] != length[at] + 1:
-                copy = len(step)
-                step.append(dict(step[following]))
-                link.append(link[following])
-                length.append(length[at] + 1)
-                end.append(end[following])
-                link[following] = copy
-                while at >= 0 and step[at].get(line) == following:
-                    step[at][line] = copy
-                    at = link[at]
-                following = copy
-            link[new] = following
-        last = new
     upto = [0, *accumulate(words)]
-    best, found = least - 1, (0, 0, 0)
-    at = size = 0
-    for j, line in enumerate(later):
-        while at and line not in step[at]:
-            at = link[at]
-            size = length[at]
-        if line in step[at]:
-            at, size = step[at][line], size + 1
-        weight = upto[j + 1] - upto[j + 1 - size]
-        if size and weight > best:
-            best, found = weight, (end[at], j, size)
-    x, y, size = found
-    return [(a + x - i, b + y - i) for i in reversed(range(size))]
+    runs = [(a, b) for a, b in SuffixAutomaton(earlier).longest_runs(later) if upto[b] - upto[a] >= least]
+    heap = [(upto[a] - upto[b], a, i) for i, (a, b) in enumerate(runs)]
+    heapify(heap)
+    taken: list[tuple[int, int]] = []
+    alive = [True] * len(runs)
+    while heap:
+        weight, a, i = heappop(heap)
+        low, high = runs[i]
+        if not alive[i] or a != low or weight != upto[low] - upto[high]:
+            continue
+        taken.append((low, high))
+        alive[i] = False
+        for side in (range(i - 1, -1, -1), range(i + 1, len(runs))):
+            for k in side:
+                x, y = runs[k]
+                if (y <= low) if k < i else (x >= high):
+                    break
+                if not alive[k]:
+                    continue
+                x, y = (x, min(y, low)) if k < i else (max(x, high), y)
+                runs[k] = (x, y)
+                if upto[y] - upto[x] >= max(least, 1):
+                    heappush(heap, (upto[x] - upto[y], x, k))
+                else:
+                    alive[k] = False
+    return taken
 
 
 def _fixed_points(earlier: list[int], a: int, a_end: int, later: list[int], b: int, b_end: int) -> list[tuple[int, int]]:
@@ -152,19 +192,15 @@ def blocks_to_delete(matches: list[tuple[int, int]], words: list[int], block_wor
 def repeated_positions(earlier: list[int], later: list[int], words: list[int], block_words: int) -> list[int]:
     """Positions of the later document's lines that the earlier one has in blocks of enough words.
 
-    What is left after an alignment is aligned again, so that blocks that changed places go as well. Where an alignment
-    holds no such block, the heaviest common run decides whether there is one at all.
+    The blocks that the alignment finds go first; then the common runs of what is left, wherever they stand.
     """
+    gone = blocks_to_delete(patience(earlier, later), words, block_words)
     left: list[int | None] = list(later)
-    gone: list[int] = []
-    while True:
-        found = blocks_to_delete(patience(earlier, left, words, block_words), words, block_words)
-        found = found or [y for _, y in heaviest_run(earlier, left, words, block_words)]
-        if not found:
-            return sorted(gone)
-        gone += found
-        for i in found:
-            left[i] = None
+    for i in gone:
+        left[i] = None
+    for low, high in common_runs(earlier, left, words, block_words):
+        gone += range(low, high)
+    return sorted(gone)
 
 
 def lists_of_lines(docs: DataFrame, column: str = "text") -> DataFrame:

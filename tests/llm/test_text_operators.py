@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -341,6 +342,50 @@ def test_no_common_block_is_left(a, b):
     assert all(sum(words[i:j]) < 8 for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(left[i:j]) in runs)
 
 
+def heaviest_first(a, left, words, least):
+    """Run by run: the heaviest common one of what is left, ties to the first."""
+    left, out = list(left), []
+    runs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+    while True:
+        found = [(-sum(words[i:j]), i, j) for i in range(len(left)) for j in range(i + 1, len(left) + 1) if tuple(left[i:j]) in runs and sum(words[i:j]) >= least]
+        if not found:
+            return out
+        _, i, j = min(found, key=lambda x: (x[0], x[1], -x[2]))
+        out.append((i, j))
+        left[i:j] = [None] * (j - i)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4) | st.none(), max_size=16), st.integers(1, 9))
+def test_common_runs_are_the_heaviest_first(a, b, least):
+    words = [0 if line is None else line + 1 for line in b]
+    found = line_dedup.common_runs(a, b, words, least)
+    wanted = heaviest_first(a, b, words, least)
+    assert sorted(sum(words[i:j]) for i, j in found) == sorted(sum(words[i:j]) for i, j in wanted)
+    assert all(tuple(b[i:j]) in {tuple(a[x:y]) for x in range(len(a)) for y in range(x + 1, len(a) + 1)} for i, j in found)
+    taken = [x for i, j in found for x in range(i, j)]
+    assert len(taken) == len(set(taken))
+
+
+@pytest.mark.parametrize("kind", ["reversed", "twice", "same", "blocks", "shuffled"])
+def test_a_hundred_thousand_lines_in_any_order(kind):
+    n = 100_000
+    earlier = list(range(n))
+    later = {
+        "reversed": earlier[::-1],
+        "twice": [x for x in range(n // 2) for _ in "12"],
+        "same": [7] * n,
+        "blocks": [x for start in range(n - 10, -1, -10) for x in range(start, start + 10)],
+        "shuffled": random.Random(1).sample(earlier, n),
+    }[kind]
+    earlier = {"twice": list(range(n // 2)) * 2, "same": [7] * n}.get(kind, earlier)
+    began = time.process_time()
+    gone = line_dedup.repeated_positions(earlier, later, [9] * n, 8)
+    assert len(gone) == n and time.process_time() - began < 60
+    if kind in ("reversed", "shuffled"):
+        assert len(line_dedup.repeated_positions(earlier, later, [3] * n, 8)) < n // 10
+
+
 SYLLABLES = {"en": "th er on an re he in ed nd ha", "fr": "le ai eu ou on que la é ch re", "de": "en ch ei sch un ge ü be ung er"}
 
 
