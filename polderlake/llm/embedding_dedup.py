@@ -2,12 +2,14 @@
 
 Each pass orders the vectors of a label by a key of its own: the signs of random projections, one bit after the other,
 read from the left. Near vectors agree in long prefixes and come to lie near each other. A vector is compared with the
-next `WINDOW` in the order; pairs that reach the cosine are links. There are as many passes as the largest label needs.
+next `WINDOW` in the order; pairs that reach the cosine are links. There are as many passes as the label needs.
 Vectors that links of any pass connect are one component. In a component all pairs are then checked, in tiles, so that
 no link between its members is lost to the window; a tile passes on one count for each vector, not its pairs.
 
-Equal vectors are one vector with a count. The passes go through one range-partitioned sort; a task finds the
-links in its part and passes on the first and last rows of it, from which the windows across parts are made up.
+Equal vectors are one vector with a count. A label of up to `BLOCK_ROWS` vectors meets in one task, which makes all of
+its passes there: the vectors are shuffled once, however many passes there are. A larger label is dealt into blocks of
+about that many neighbours in the order of an outer pass; each block makes its passes, and there are as many outer
+passes as it takes for two near vectors to meet in a block. Only the rows of such labels travel more than once.
 """
 
 from __future__ import annotations
@@ -31,9 +33,18 @@ PASSES = 12
 RECALL = 0.95
 WINDOW = 24
 BITS = 62
+#: Vectors of a label that a task orders at a time: 67 MB of single-precision numbers for vectors of 64.
+BLOCK_ROWS = 1 << 18
+#: Recall of the passes inside a block of a label that has several blocks; the outer passes make up for the rest.
+BLOCK_RECALL = 0.97
+#: What rounding to single precision may take from a cosine; pairs that pass are checked in double precision.
+ROUNDING = 1e-5
+_SLICE = 16_384
 #: Members of a component that meet in one tile; larger ones are split into chunks of half as many.
 TILE_ROWS = 1024
 _SEED = 8
+#: Numbers of outer passes' projections begin here, in steps that leave room for a block's own.
+_OUTER = 10_000
 
 
 def unit_rows(vectors: pa.Array) -> np.ndarray:
@@ -53,36 +64,51 @@ def sort_keys(unit: np.ndarray, number: int) -> np.ndarray:
     return bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
-def _by_size(rows: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, unit vectors) for each vector length that occurs."""
-    sizes = np.asarray(rows.value_lengths())
-    for size in np.unique(sizes):
-        at = np.flatnonzero(sizes == size)
-        yield at, unit_rows(rows.take(pa.array(at)))
-
-
-def window_links(run: np.ndarray, ids: np.ndarray, unit: np.ndarray, window: int, cosine: float, own: int) -> list[tuple[int, int]]:
-    """Links of the first `own` rows with the next `window` rows of the same run, without those that others imply."""
-    label = np.arange(len(ids))
-
-    def top(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
-    links = []
-    for step in range(1, min(window, len(ids) - 1) + 1):
-        left = np.arange(min(own, len(ids) - step))
-        right = left + step
-        same = run[left] == run[right]
-        left, right = left[same], right[same]
-        near = np.einsum("ij,ij->i", unit[left], unit[right]) >= cosine
-        for i, j in zip(left[near].tolist(), right[near].tolist(), strict=True):
-            a, b = top(i), top(j)
-            if a != b:
-                label[max(a, b)] = min(a, b)
-                links.append((int(ids[i]), int(ids[j])))
+def _single(vectors: pa.Array) -> np.ndarray:
+    """Unit rows in single precision, made a part at a time."""
+    return np.concatenate([unit_rows(vectors.slice(start, _SLICE)).astype(np.float32) for start in range(0, len(vectors), _SLICE)])
+
+
+class Forest:
+    """Which rows are linked already, so that a link that others imply is passed on no more."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def roots(self) -> np.ndarray:
+        while not np.array_equal(onward := self.label[self.label], self.label):
+            self.label = onward
+        return self.label
+
+    def top(self, i: int) -> int:
+        while self.label[i] != i:
+            self.label[i] = self.label[self.label[i]]
+            i = self.label[i]
+        return int(i)
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.top(i), self.top(j)
+        self.label[max(a, b)] = min(a, b)
+        return a != b
+
+
+def pass_links(run: np.ndarray, vectors: pa.Array, numbers: list[int], window: int, cosine: float) -> list[tuple[int, int]]:
+    """Row numbers of links that connect what passes `numbers` find among `vectors` with equal `run`."""
+    unit, forest, links = _single(vectors), Forest(len(run)), []
+    for number in numbers:
+        order = np.lexsort((sort_keys(unit, number), run))
+        ordered, runs = unit[order], run[order]
+        for step in range(1, min(window, len(run) - 1) + 1):
+            roots = forest.roots()[order]
+            for start in range(0, len(run) - step, _SLICE):
+                left, right = slice(start, min(start + _SLICE, len(run) - step)), slice(start + step, min(start + _SLICE, len(run) - step) + step)
+                near = (np.einsum("ij,ij->i", ordered[left], ordered[right]) >= cosine - ROUNDING) & (runs[left] == runs[right])
+                near &= roots[left] != roots[right]
+                found = list(zip(order[left][near].tolist(), order[right][near].tolist(), strict=True))
+                if found:
+                    one, other = (unit_rows(vectors.take(pa.array(side))) for side in zip(*found, strict=True))
+                    exact = np.einsum("ij,ij->i", one, other) >= cosine
+                    links += [(i, j) for (i, j), near_enough in zip(found, exact.tolist(), strict=True) if near_enough and forest.join(i, j)]
     return links
 
 
@@ -108,10 +134,25 @@ def recall_of_pass(rows: int, size: int, window: int, cosine: float) -> float:
     return recall + same
 
 
-def passes_needed(rows: int, size: int, window: int, cosine: float) -> int:
-    """Passes that find links at `cosine` among `rows` vectors of `size` numbers with `RECALL`; `PASSES` at least."""
-    once = recall_of_pass(rows, size, window, cosine)
-    return max(PASSES, math.ceil(math.log(1 - RECALL) / math.log1p(-once))) if 0 < once < 1 else PASSES
+def passes_for(once: float, recall: float) -> int:
+    """Independent passes of recall `once` that together reach `recall`."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-once))) if 0 < once < 1 else 1
+
+
+def passes_needed(rows: int, size: int, window: int, cosine: float, recall: float = RECALL) -> int:
+    """Passes that find links at `cosine` among `rows` vectors of `size` numbers with `recall`; `PASSES` at least."""
+    return max(PASSES, passes_for(recall_of_pass(rows, size, window, cosine), recall))
+
+
+def outer_passes(rows: int, size: int, cosine: float, block_rows: int) -> int:
+    """How often a label of `rows` vectors is dealt into blocks: once if it is a block itself.
+
+    Two vectors that lie some places apart are cut apart with a chance that grows with the places. As the recall grows with
+    the logarithm of the window, that comes to a window of about a third of a block.
+    """
+    if rows <= block_rows:
+        return 1
+    return passes_for(recall_of_pass(rows, size, block_rows // 3, cosine) * BLOCK_RECALL, RECALL)
 
 
 def distinct_vectors(table: DataFrame) -> DataFrame:
@@ -124,114 +165,81 @@ def distinct_vectors(table: DataFrame) -> DataFrame:
     return table.where(fit).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
-def window_pass_links(vectors: DataFrame, passes: int, window: int, cosine: float) -> DataFrame:
-    """(low, high) links between representatives, from all passes."""
-    keyed_schema = T.StructType().add("pass", "integer").add("label", vectors.schema["label"].dataType).add("size", "integer").add("key", "long").add("rep", "long").add("embedding", vectors.schema["embedding"].dataType)
+def _outer_keys(vectors: DataFrame, with_vectors: bool) -> DataFrame:
+    """(pass, label, size, key, rep and, if asked for, embedding): a row for each outer pass of the vector's label."""
+    schema = T.StructType().add("pass", "integer").add("label", "long").add("size", "integer").add("key", "long").add("rep", "long")
+    if with_vectors:
+        schema = schema.add("embedding", vectors.schema["embedding"].dataType)
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
-                for at, unit in _by_size(part.column("embedding")):
-                    chosen = part.take(pa.array(at))
-                    for number in range(passes):
-                        n = len(at)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, number, np.int32)), chosen.column("label"), pa.array(np.full(n, unit.shape[1], np.int32)), pa.array(sort_keys(unit, number)), chosen.column("rep"), chosen.column("embedding")],
-                            keyed_schema.names,
-                        )
-
-    order = ["pass", "label", "size", "key", "rep"]
-    keyed = vectors.select("label", "rep", "embedding").mapInArrow(key, keyed_schema)
-    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = dealt.withColumn("part", F.spark_partition_id())
-    edge_schema = T.StructType([*keyed_schema.fields, T.StructField("part", T.IntegerType())]).add("at", "long").add("rows", "long").add("low", "long").add("high", "long")
-    edges_only = [f.name for f in keyed_schema.fields] + ["part"]
-
-    def runs(data: pa.Table) -> np.ndarray:
-        """Numbers that differ where pass, label or vector length does."""
-        change = np.zeros(data.num_rows, dtype=bool)
-        for name in ("pass", "label", "size"):
-            values = data.column(name).to_numpy()
-            change[1:] |= values[1:] != values[:-1]
-        return np.cumsum(change)
-
-    def unit_of(data: pa.Table) -> np.ndarray:
-        size = max(data.column("size").to_numpy(), default=0)
-        unit = np.zeros((data.num_rows, size))
-        for at, rows in _by_size(data.column("embedding").combine_chunks()):
-            unit[at, : rows.shape[1]] = rows
-        return unit
-
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: pa.Table | None = None
-        first: list[pa.Table] = []
-        seen = 0
-
-        def links(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-            if found:
-                low, high = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(found), f.type) for f in list(schema_of)[:-2]), pa.array(low, pa.int64()), pa.array(high, pa.int64())], schema_of.names)
-
-        def edge(data: pa.Table, at: np.ndarray, total: int) -> Iterator[pa.RecordBatch]:
-            n = data.num_rows
-            columns = [data.column(name).combine_chunks() for name in edges_only]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(at, pa.int64()), pa.array(np.full(n, total, np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema_of.names)
-
-        schema_of = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            data = pa.Table.from_batches([batch])
-            if schema_of is None:
-                schema_of = pa.schema([*data.schema, *(pa.field(n, pa.int64()) for n in ("at", "rows", "low", "high"))])
-            if seen < window:
-                first.append(data.slice(0, window - seen))
-            seen += data.num_rows
-            # The last rows of the batch before have not seen all of their window yet.
-            data = data if tail is None else pa.concat_tables([tail, data]).combine_chunks()
-            own = max(data.num_rows - window, 0)
-            if own:
-                yield from links(window_links(runs(data), data.column("rep").to_numpy(), unit_of(data), window, cosine, own))
-            tail = data.slice(own)
-        if tail is not None:
-            yield from links(window_links(runs(tail), tail.column("rep").to_numpy(), unit_of(tail), window, cosine, tail.num_rows))
-            head = pa.concat_tables(first).combine_chunks()
-            yield from edge(head, np.arange(head.num_rows), seen)
-            last = np.arange(seen - tail.num_rows, seen)
-            yield from edge(tail.filter(pa.array(last >= head.num_rows)), last[last >= head.num_rows], seen)
-
-    found = stored(dealt.mapInArrow(within, edge_schema), "projection")
-    inside = found.where("low is not null").select("low", "high")
-    edges = found.where("low is null")
-    # One row per part: how many rows it has. A part's last rows need the first rows of the parts that follow.
-    sizes = sorted((row["part"], row["rows"]) for row in edges.groupBy("part").agg(F.max("rows").alias("rows")).collect())
-    following = []
-    for i, (part, rows) in enumerate(sizes):
-        following.append((part, part, max(rows - window, 0), rows))
-        missing = window
-        for other, held in sizes[i + 1 :]:
-            if missing <= 0:
-                break
-            following.append((part, other, 0, min(missing, held)))
-            missing -= held
-    spark = vectors.sparkSession
-    wanted = spark.createDataFrame(following, "seam int, part int, `from` long, `to` long")
-    seams = edges.join(wanted, "part").where("at >= `from` and at < `to`").withColumn("own", (F.col("part") == F.col("seam")).cast("int"))
-    seams = seams.select("seam", "own", *[f.name for f in keyed_schema.fields])
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, starts in whole_groups(batches, ["seam"], 4096):
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                group = data.slice(a, b - a)
-                own = int(group.column("own").to_numpy().sum())
-                found = window_links(runs(group), group.column("rep").to_numpy(), unit_of(group), window, cosine, own)
-                if found:
-                    low, high = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["low", "high"])
-
-    sorted_seams = seams.repartition("seam").sortWithinPartitions("seam", *order)
-    return inside.union(sorted_seams.mapInArrow(across, "low long, high long"))
+                outer, size = part.column("outer").to_numpy(), part.column("size").to_numpy()
+                for width, times in {*zip(size.tolist(), outer.tolist(), strict=True)}:
+                    chosen = part.take(pa.array(np.flatnonzero((size == width) & (outer == times))))
+                    unit = unit_rows(chosen.column("embedding")) if times > 1 else None
+                    for number in range(times):
+                        n = chosen.num_rows
+                        # A label that is one block needs no order.
+                        key = sort_keys(unit, _OUTER + number) if unit is not None else np.zeros(n, np.int64)
+                        columns = [pa.array(np.full(n, number, np.int32)), chosen.column("label"), chosen.column("size"), pa.array(key), chosen.column("rep")]
+                        yield pa.RecordBatch.from_arrays(columns + [chosen.column("embedding")] * with_vectors, schema.names)
+
+    return vectors.select("label", "size", "outer", "rep", "embedding").mapInArrow(run, schema)
+
+
+def blocked(vectors: DataFrame, crowds: DataFrame, block_rows: int) -> DataFrame:
+    """The vectors by outer pass, label, length and block; blocks have even numbers of rows, wherever the vectors are dense."""
+    sized = vectors.withColumn("size", F.size("embedding"))
+    named = sized.join(crowds.select("label", "size", "outer"), ["label", "size"])
+    large = crowds.where("outer > 1")
+    blocks = int(large.agg(F.max(F.ceil(F.col("rows") / block_rows))).first()[0] or 1)
+    dealt = _outer_keys(named, True)
+    if blocks == 1:
+        return dealt.withColumn("block", F.lit(0))
+    shares = F.array(*[F.lit((i + 1) / blocks) for i in range(blocks - 1)])
+    keys = _outer_keys(named.where("outer > 1"), False)
+    cuts = keys.groupBy("pass", "label", "size").agg(F.percentile_approx("key", shares, F.lit(max(10_000, 20 * blocks))).alias("cuts"))
+    # A smaller label takes only every so many-th of the cuts.
+    every = F.greatest(F.lit(1), F.floor(F.lit(blocks) / F.ceil(F.col("rows") / block_rows))).cast("int")
+    own = cuts.join(large.select("label", "size", every.alias("every")), ["label", "size"])
+    own = freeze(own.select("pass", "label", "size", F.filter("cuts", lambda x, i: (i + 1) % F.col("every") == 0).alias("cuts")))
+    placed = dealt.join(own, ["pass", "label", "size"], "left")
+    block = F.coalesce(F.size(F.filter("cuts", lambda x: x < F.col("key"))), F.lit(0))
+    return placed.withColumn("block", F.when(F.col("cuts").isNull(), 0).otherwise(block)).drop("cuts")
+
+
+def window_pass_links(vectors: DataFrame, passes: int | None, window: int, cosine: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(low, high) links between representatives, from all passes over all blocks."""
+    counted = freeze(vectors.groupBy("label", F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("rows")))
+    # Labels of one block, however many there are, need no more than to be left as they are.
+    several = [(row["label"], row["size"], outer_passes(row["rows"], row["size"], cosine, block_rows)) for row in counted.where(F.col("rows") > block_rows).toLocalIterator()]
+    outer = vectors.sparkSession.createDataFrame(several, "label long, size int, outer int")
+    crowds = freeze(counted.join(outer, ["label", "size"], "left").withColumn("outer", F.coalesce("outer", F.lit(1))))
+    groups = ["pass", "label", "size", "block"]
+    dealt = blocked(vectors, crowds, block_rows).repartition(*groups).sortWithinPartitions(*groups, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, starts in whole_groups(batches, groups, 8192):
+            number, size, rep = (data.column(name).to_numpy() for name in ("pass", "size", "rep"))
+            embedding = data.column("embedding").combine_chunks()
+            embedding = embedding.chunk(0) if isinstance(embedding, pa.ChunkedArray) else embedding
+            owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            for width, outer in {*zip(size.tolist(), number.tolist(), strict=True)}:
+                at = np.flatnonzero((size == width) & (number == outer))
+                # Equal keys can make a block larger than it should be: it is then cut where it stands.
+                for low in range(0, len(at), 2 * block_rows):
+                    rows = at[low : low + 2 * block_rows]
+                    largest = int(np.bincount(owner[rows] - owner[rows[0]]).max())
+                    several_blocks = largest > block_rows // 2
+                    wanted = passes or passes_needed(largest, width, window, cosine, BLOCK_RECALL if several_blocks else RECALL)
+                    found = pass_links(owner[rows], embedding.take(pa.array(rows)), [outer * _OUTER + k for k in range(wanted)], window, cosine)
+                    if found:
+                        one, other = (rep[rows[list(side)]] for side in zip(*found, strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(other)], ["low", "high"])
+
+    return dealt.select(*groups, "rep", "embedding").mapInArrow(run, "low long, high long")
 
 
 def links_in_components(members: DataFrame, cosine: float) -> DataFrame:
@@ -266,20 +274,17 @@ def links_in_components(members: DataFrame, cosine: float) -> DataFrame:
     return dealt.mapInArrow(count, "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
 
 
-def near_duplicates(table: DataFrame, *, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
+def near_duplicates(table: DataFrame, *, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `table` (vec_id, embedding, label).
 
     Only vectors with equal labels that are not null are compared. A vector that is null, empty or zero or holds a null or
     a number that isn't finite links with nothing, nor does a row without a vec_id (its component_id is null, it is not
     kept). Vectors of different lengths are never linked. Equal vectors of a label are linked. Rows are kept one by
-    one: a repeated row is one vector more. Without `passes` their number grows with the largest label (`passes_needed`).
+    one: a repeated row is one vector more. Without `passes` their number grows with the label (`passes_needed`).
     """
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
     vectors = stored(distinct_vectors(rows), "vectors")
-    if passes is None:
-        crowds = vectors.groupBy("label", F.size("embedding").alias("size")).count().groupBy("size").agg(F.max("count").alias("rows"))
-        passes = max([PASSES, *(passes_needed(row["rows"], row["size"], window, cosine) for row in crowds.collect())])
-    joined = connected_components(window_pass_links(vectors, passes, window, cosine), "low", "high")
+    joined = connected_components(window_pass_links(vectors, passes, window, cosine, block_rows), "low", "high")
     members = stored(vectors.join(joined, F.col("rep") == F.col("node")).select("component", "rep", "n", "embedding"), "members")
     counted = links_in_components(members, cosine)
     component = joined.join(counted, F.col("node") == F.col("rep"), "left").select(F.col("node"), "component", F.coalesce("linked", F.lit(0)).alias("linked"))

@@ -169,6 +169,51 @@ def test_recall_in_a_label_that_is_large_for_its_window(spark):
     assert embedding_dedup.passes_needed(10**6, 64, 24, 0.93) < embedding_dedup.passes_needed(10**7, 64, 24, 0.93)
 
 
+def planted(rows, size, pairs, cosine, seed, dense=0.0):
+    """Unit vectors of one label, the first `pairs` with a twin at `cosine`; with `dense` all lean to one direction."""
+    rng = np.random.default_rng(seed)
+    unit = rng.standard_normal((rows, size)) + dense * rng.standard_normal(size)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    aside = rng.standard_normal((pairs, size))
+    aside -= (aside * unit[:pairs]).sum(axis=1, keepdims=True) * unit[:pairs]
+    unit[pairs : 2 * pairs] = cosine * unit[:pairs] + math.sqrt(1 - cosine**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    return unit
+
+
+@pytest.mark.parametrize("dense", [0.0, 1.0])
+def test_recall_in_a_label_of_several_blocks(spark, dense):
+    """Links of sampled queries to all vectors of one large label, by brute force, also where the vectors are dense."""
+    unit = planted(30_000, 32, 600, 0.9301, 3, dense)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(unit)], "vec_id long, embedding array<double>, label int")
+    vectors = embedding_dedup.distinct_vectors(table.withColumn("label", table.label.cast("long")))
+    links = embedding_dedup.window_pass_links(vectors, None, 24, 0.93, block_rows=3000)
+    joined = {r["node"]: r["component"] for r in connected_components(links, "low", "high").collect()}
+    queries = np.arange(0, 1200, 2)
+    found = wanted = 0
+    for q in queries:
+        for other in np.flatnonzero(unit @ unit[q] >= 0.93):
+            if other != q:
+                wanted += 1
+                found += joined.get(int(q), -1) == joined.get(int(other), -2)
+    assert wanted >= 600 and found >= 0.9 * wanted
+    assert all(unit[r["low"]] @ unit[r["high"]] >= 0.93 for r in links.collect())
+
+
+def test_vectors_travel_once_and_large_labels_a_few_times(spark):
+    needed = {rows: embedding_dedup.outer_passes(rows, 64, 0.93, embedding_dedup.BLOCK_ROWS) for rows in (1000, embedding_dedup.BLOCK_ROWS, 10**6, 39 * 10**6)}
+    assert needed[1000] == needed[embedding_dedup.BLOCK_ROWS] == 1 and needed[10**6] <= 4 and needed[39 * 10**6] <= 10
+    # One label with a third of all rows, and the others in labels of one block: rows dealt for each row of the table.
+    assert needed[39 * 10**6] / 3 + 2 / 3 <= 4
+    drawn = np.random.default_rng(4).standard_normal((3000, 9)).tolist()
+    table = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(drawn)], "vec_id long, embedding array<double>, label long")
+    vectors = embedding_dedup.distinct_vectors(table)
+    crowds = spark.createDataFrame([(0, 9, 1000, 1), (1, 9, 1000, 4), (2, 9, 1000, 2)], "label long, size int, rows long, outer int")
+    dealt = embedding_dedup.blocked(vectors, crowds, 100).groupBy("label", "pass", "block").count().collect()
+    assert Counter({(r["label"], r["pass"]): 0 for r in dealt}).keys() == {(0, 0), *((1, k) for k in range(4)), *((2, k) for k in range(2))}
+    assert sum(r["count"] for r in dealt) == 7000 and {r["block"] for r in dealt if r["label"] == 0} == {0}
+    assert all(r["count"] <= 250 for r in dealt if r["label"] > 0)
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (500, 499)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
