@@ -8,11 +8,16 @@
 
 The last three are sums over all documents of what their texts alone suggest, made by grouped aggregation. A document's
 own part is taken out before its evidence is weighed, so that it doesn't confirm itself.
+
+Every declared tag is a language, so nothing is as wide as their number but one list of sums: the trigram table holds
+what occurs, a document its candidates (languages within `CANDIDATE_NATS` of the likeliest by its text), a host or tag
+rows of (value, language, share) for shares of `LEAST_SHARE` and more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +30,12 @@ from polderlake.session import freeze
 
 BUCKETS = 1 << 15
 TRAIN_PER_LANGUAGE = 400
-#: Languages that are scored, and numbers of vectors that are weighed, at a time.
-LANGUAGE_BLOCK = 64
-WEIGHED = 1_000_000
+#: Scores (texts times languages) that a task holds at a time.
+SCORES = 1_000_000
+#: A language that a text makes e**-40 times as likely as another is no candidate for it, whatever else speaks for it.
+CANDIDATE_NATS = 40.0
+#: Shares of a document below this one suggest nothing about its host.
+LEAST_SHARE = 1e-3
 #: Letters whose evidence counts in full; neighbouring trigrams are not independent, so longer texts are scaled down.
 FULL_LETTERS = 100
 #: Documents that the next level of the host hierarchy counts for.
@@ -52,34 +60,60 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return buckets[at], np.searchsorted(at + 1, begins)
 
 
-def score_texts(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of each text, and its log-likelihood in each language against even odds."""
-    buckets, first = trigrams(texts)
-    letters = np.diff(first)
-    scores = np.zeros((len(texts), table.shape[1]))
-    filled = np.flatnonzero(letters)
-    if len(filled):
-        for start in range(0, table.shape[1], LANGUAGE_BLOCK):
-            block = slice(start, start + LANGUAGE_BLOCK)
-            scores[filled, block] = np.add.reduceat(table[:, block][buckets], first[filled], axis=0, dtype=np.float64)
-    return letters, scores
-
-
-def train(docs: DataFrame, column: str, declared: str, id_column: str, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages and the table of log-likelihoods against even odds, from a bounded sample of documents that declare one.
-
-    Every tag that is declared is a language: the table grows with the tags, by `BUCKETS` numbers each.
+@dataclass
+class TextModel:
+    """Trigram log-likelihoods against even odds: one for what a language never showed, and the difference for what it did."""
+
+    unseen: np.ndarray
+    first: np.ndarray
+    language: np.ndarray
+    more: np.ndarray
+
+    @classmethod
+    def of(cls, buckets: np.ndarray, language: np.ndarray, n: np.ndarray, languages: int) -> TextModel:
+        """From the counts of each bucket and language that occur."""
+        total = np.bincount(language, n, languages) + ALPHA * BUCKETS
+        order = np.lexsort((language, buckets))
+        first = np.searchsorted(buckets[order], np.arange(BUCKETS + 1))
+        return cls(np.log(ALPHA / total * BUCKETS), first, language[order].astype(np.int32), np.log1p(n[order] / ALPHA).astype(np.float32))
+
+    def scores(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """A row for each text; `first` has the texts' first positions in `buckets`."""
+        texts, languages = len(first) - 1, len(self.unseen)
+        owner = np.repeat(np.arange(texts), np.diff(first))
+        which, times = np.unique(owner * BUCKETS + buckets, return_counts=True)
+        owner, bucket = which // BUCKETS, which % BUCKETS
+        held = self.first[bucket + 1] - self.first[bucket]
+        at = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) + np.repeat(self.first[bucket], held)
+        place = np.repeat(owner, held) * languages + self.language[at]
+        seen = np.bincount(place, self.more[at] * np.repeat(times, held), texts * languages).reshape(texts, languages)
+        return seen + np.diff(first)[:, None] * self.unseen
+
+
+def score_texts(texts: list[str | None], model: TextModel) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(letters, log-likelihood in each language against even odds) of some texts at a time, in order."""
+    step = max(1, SCORES // max(len(model.unseen), 1))
+    for start in range(0, len(texts), step):
+        buckets, first = trigrams(texts[start : start + step])
+        yield np.diff(first), model.scores(buckets, first)
+
+
+def train(docs: DataFrame, column: str, declared: str, id_column: str, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[list[str], TextModel]:
+    """Languages and their trigrams, from a bounded sample of documents that declare one.
+
+    Every tag that is declared is a language: the table grows with the trigrams that its sample shows.
     """
     language = _tag(F.col(declared))
     labelled = docs.where(F.col(column).isNotNull()).select(F.col(id_column).alias("id"), F.col(column).alias("text"), language.alias("language")).where("language is not null")
     counts = labelled.groupBy("language").count().collect()
     languages = sorted(row["language"] for row in counts)
     if not languages:
-        return [], np.zeros((BUCKETS, 0), np.float32)
-    share = F.create_map(*[F.lit(x) for row in counts for x in (row["language"], float(row["count"]))])
+        return [], TextModel.of(*[np.zeros(0, np.int64)] * 3, 0)
+    share = docs.sparkSession.createDataFrame([(row["language"], float(row["count"])) for row in counts], "language string, declared double")
     # The smallest of uniform draws times a language's count: about as many documents of each, however common it is.
-    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) * share[F.col("language")]
-    sample = bounded_sample(labelled, draw, per_language * len(languages))
+    weighed = labelled.join(F.broadcast(share), "language")
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) * F.col("declared")
+    sample = bounded_sample(weighed, draw, per_language * len(languages)).drop("declared")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK_BYTES):
@@ -89,14 +123,12 @@ def train(docs: DataFrame, column: str, declared: str, id_column: str, per_langu
             for name in set(names.tolist()):
                 n = np.bincount(buckets[(names == name)[owner]], minlength=BUCKETS)
                 used = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(used)), pa.array(used), pa.array(n[used])], ["language", "bucket", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], ["language", "bucket", "n"])
 
     summed = sample.mapInArrow(count, "language string, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
-    table = np.full((BUCKETS, len(languages)), ALPHA)
-    place = {language: i for i, language in enumerate(languages)}
-    for row in summed.toLocalIterator():
-        table[row["bucket"], place[row["language"]]] += row["n"]
-    return languages, np.log(table / table.sum(axis=0) * BUCKETS).astype(np.float32)
+    place = docs.sparkSession.createDataFrame([(name, i) for i, name in enumerate(languages)], "language string, number int")
+    found = summed.join(F.broadcast(place), "language").select("bucket", "number", "n").toArrow()
+    return languages, TextModel.of(*(found.column(name).to_numpy().astype(np.int64) for name in ("bucket", "number", "n")), len(languages))
 
 
 def _tag(value: Column) -> Column:
@@ -119,42 +151,74 @@ def identify(docs: DataFrame, *, column: str = "text", id_column: str = "doc_id"
     `address` is a URL or a host name; its host, domain (last two labels) and suffix (last label, if there are several)
     are evidence. Evidence that is null or empty weighs nothing. A document is rejected if its text has no letter, if it
     is far less likely in every language than even odds, or if no language reaches `min_posterior`; a text without
-    letters has language null. Without any declared language nothing can be trained: all are rejected. Ties go to
-    the language first in the alphabet. Rows are kept one by one, repeated ones too.
+    letters has language null and posterior 0, and suggests nothing. Without any declared language nothing can be trained:
+    all are rejected. Ties go to the language first in the alphabet. Rows are kept one by one, repeated ones too.
     """
+    return _identified(docs, column, id_column, declared, address, min_posterior).drop("_row")
+
+
+def _row_hash(*columns: str) -> Column:
+    """A hash of the columns in which a null differs from any text."""
+    return F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns])
+
+
+def _identified(docs: DataFrame, column: str, id_column: str, declared: str, address: str, min_posterior: float) -> DataFrame:
+    """The result, with a hash of all that a row's decision rests on in `_row`."""
     spark = docs.sparkSession
-    languages, table = train(docs, column, declared, id_column)
+    languages, model = train(docs, column, declared, id_column)
     host = _host(F.col(address))
     labels = F.split("host", r"\.")
-    source = docs.select(F.col(id_column).alias("id"), F.col(column).cast("string").alias("text"), _tag(F.col(declared)).alias("declared"), host.alias("host"))
-    scored = stored(_scored(source, Sent(spark, table), len(languages)), "language")
+    source = docs.select(
+        F.col(id_column).alias("id"), _row_hash(column, declared, address).alias("_row"), F.col(column).cast("string").alias("text"), _tag(F.col(declared)).alias("declared"), host.alias("host")
+    )
+    scored = stored(_scored(source, Sent(spark, model)), "language")
     scored = scored.withColumn("labels", labels).withColumn("suffix", F.when(F.size("labels") > 1, F.element_at("labels", -1)))
     scored = scored.withColumn("domain", F.when(F.size("labels") > 2, F.concat_ws(".", F.slice("labels", -2, 2)))).drop("labels")
     size = len(languages)
-    total = np.array([float(x or 0) for x in scored.agg(*_sums(size)).first()]) if size else np.zeros(1)
-    for value in ("host", "domain", "suffix", "declared"):
-        grouped = scored.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_value")).agg(F.array(*_sums(size)).alias(f"of_{value}"))
+    total = np.zeros(size)
+    suggested = scored.select(*_VALUES, F.explode(F.arrays_zip("candidates", "shares")).alias("s")).select(*_VALUES, F.col("s.candidates").alias("language"), F.col("s.shares").alias("share"))
+    suggested = suggested.where(F.col("share") > 0)
+    for row in suggested.groupBy("language").agg(F.sum("share").alias("share")).collect():
+        total[row["language"]] = row["share"]
+    for value in _VALUES:
+        by_language = suggested.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_value"), "language").agg(F.sum("share").alias("share"))
+        grouped = by_language.groupBy("_value").agg(F.collect_list("language").alias(f"languages_of_{value}"), F.collect_list("share").alias(f"shares_of_{value}"))
         scored = scored.join(freeze(grouped), F.col(value) == F.col("_value"), "left").drop("_value")
     kinds = {value: scored.select(value).where(F.col(value).isNotNull()).distinct().count() for value in ("suffix", "declared")}
     return _fused(scored, languages, total, kinds, min_posterior, id_column)
 
 
-def _sums(size: int) -> list[Column]:
-    return [F.count(F.lit(1)).cast("double"), *[F.sum(F.col("suggested")[i]) for i in range(size)]]
+_VALUES = ("host", "domain", "suffix", "declared")
+
 
+def _scored(source: DataFrame, sent: Sent) -> DataFrame:
+    """`source` with, instead of the text: its letters, the likeliest language and its score, and the candidates.
 
-def _scored(source: DataFrame, sent: Sent, size: int) -> DataFrame:
-    """`source` with, instead of the text: its letters, its scores, and the shares its text alone suggests."""
-    kept = ["id", "declared", "host"]
-    vector = T.ArrayType(T.DoubleType())
-    schema = source.select(kept).schema.add("letters", "long").add("scores", vector).add("suggested", vector)
+    `logs` are the candidates' scaled scores, `shares` what the text alone suggests: 0 below `LEAST_SHARE`.
+    """
+    kept = ["id", "_row", "declared", "host"]
+    schema = source.select(kept).schema.add("letters", "long").add("by_text", "integer").add("score", "double")
+    schema = schema.add("candidates", T.ArrayType(T.IntegerType())).add("logs", T.ArrayType(T.DoubleType())).add("shares", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.get()
+        model = sent.get()
         for part in chunks(batches, "text", CHUNK_BYTES):
-            letters, scores = score_texts(part.column("text").to_pylist(), table)
-            suggested = _softmax(scores * _scale(letters)[:, None])
-            yield pa.RecordBatch.from_arrays([*(part.column(name) for name in kept), pa.array(letters, pa.int64()), _vectors(scores), _vectors(suggested)], schema.names)
+            start = 0
+            for letters, scores in score_texts(part.column("text").to_pylist(), model):
+                rows = part.slice(start, len(letters))
+                start += len(letters)
+                logs = scores * _scale(letters)[:, None]
+                best = scores.argmax(axis=1) if scores.shape[1] else np.zeros(len(letters), np.int64)
+                top = logs.max(axis=1, initial=-np.inf, keepdims=True)
+                chosen = (logs >= top - CANDIDATE_NATS) & (letters > 0)[:, None]
+                odds = np.exp(logs - np.where(np.isfinite(top), top, 0)) * chosen
+                shares = odds / np.maximum(odds.sum(axis=1, keepdims=True), 1e-300)
+                shares[shares < LEAST_SHARE] = 0
+                row, language = np.nonzero(chosen)
+                offsets = pa.array(np.searchsorted(row, np.arange(len(letters) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in ((language, pa.int32()), (logs[row, language], pa.float64()), (shares[row, language], pa.float64()))]
+                score = scores[np.arange(len(letters)), best] if scores.shape[1] else np.zeros(len(letters))
+                yield pa.RecordBatch.from_arrays([*(rows.column(name) for name in kept), pa.array(letters, pa.int64()), pa.array(best, pa.int32()), pa.array(score), *lists], schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -163,63 +227,71 @@ def _scale(letters: np.ndarray) -> np.ndarray:
     return np.minimum(1.0, FULL_LETTERS / np.maximum(letters, 1))
 
 
-def _softmax(logs: np.ndarray) -> np.ndarray:
-    if not logs.shape[1]:
-        return logs
-    odds = np.exp(logs - logs.max(axis=1, keepdims=True))
-    return odds / odds.sum(axis=1, keepdims=True)
-
-
-def _vectors(rows: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype="i4") * rows.shape[1], rows.ravel())
+def _flat(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False)
 
 
 def _fused(scored: DataFrame, languages: list[str], total: np.ndarray, kinds: dict[str, int], min_posterior: float, id_column: str) -> DataFrame:
-    schema = scored.select(F.col("id").alias(id_column)).schema.add("language", "string").add("posterior", "double").add("text_language", "string").add("accepted", "boolean")
+    schema = scored.select(F.col("id").alias(id_column), "_row").schema.add("language", "string").add("posterior", "double").add("text_language", "string").add("accepted", "boolean")
     size = len(languages)
 
-    def without_own(batch: pa.RecordBatch, value: str, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over the other documents with the same value; rows without a value have none."""
-        sums = batch.column(f"of_{value}").to_pylist()
-        held = np.array([row is not None for row in sums], dtype=bool)
-        rows = np.array([row if row is not None else [0.0] * (size + 1) for row in sums])[:, 1:]
-        return held, np.maximum(rows - np.where(held[:, None], own, 0), 0)
+    def others(batch: pa.RecordBatch, value: str, key: np.ndarray, own: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the other documents with the same value: whether there is one, the candidate's sum, and the sum of all languages."""
+        lists = batch.column(f"languages_of_{value}")
+        count = np.asarray(lists.value_lengths().fill_null(0))
+        row = np.repeat(np.arange(batch.num_rows), count)
+        keys, shares = row * size + _flat(lists), _flat(batch.column(f"shares_of_{value}"))
+        order = np.argsort(keys)
+        at = np.minimum(np.searchsorted(keys[order], key), max(len(keys) - 1, 0))
+        found = shares[order][at] * (keys[order][at] == key) if len(keys) else np.zeros(len(key))
+        held = np.asarray(batch.column(value).is_valid())
+        whole = np.bincount(row, shares, batch.num_rows) - np.bincount(owner, own, batch.num_rows) * held
+        mine = np.where(held[owner], own, 0)
+        return held[owner], np.maximum(found - mine, 0), np.maximum(whole, 0)[owner]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in pieces(whole, max(WEIGHED // (size + 1), 1))):
+        for batch in (part for whole in batches for part in pieces(whole, 2048)):
             n = batch.num_rows
             letters = batch.column("letters").to_numpy()
-            if not size:
-                nothing = pa.nulls(n, pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), nothing, pa.array(np.zeros(n)), nothing, pa.array(np.zeros(n, bool))], schema.names)
-                continue
-            scores = np.array(batch.column("scores").to_pylist()).reshape(n, size)
-            own = np.array(batch.column("suggested").to_pylist()).reshape(n, size)
-            everyone = np.maximum(total[1:] - own, 0)
-            prior = (everyone + 1.0) / (everyone.sum(axis=1, keepdims=True) + size)
+            candidates = batch.column("candidates")
+            owner = np.repeat(np.arange(n), np.asarray(candidates.value_lengths()))
+            language, logs, own = (_flat(batch.column(name)) for name in ("candidates", "logs", "shares"))
+            key = owner * size + language
+            everyone = np.maximum(total[language] - own, 0)
+            of_all = np.maximum(total.sum() - np.bincount(owner, own, n), 0)[owner]
+            prior = (everyone + 1.0) / (of_all + size)
+            evidence = {value: others(batch, value, key, own, owner) for value in _VALUES}
             for level in ("suffix", "domain", "host"):
-                _, sums = without_own(batch, level, own)
-                prior = (sums + SMOOTHING * prior) / (sums.sum(axis=1, keepdims=True) + SMOOTHING)
-            logs = scores * _scale(letters)[:, None] + np.log(prior)
+                _, sums, whole = evidence[level]
+                prior = (sums + SMOOTHING * prior) / (whole + SMOOTHING)
+            weight = logs + np.log(prior)
             for value in ("declared", "suffix"):
-                held, sums = without_own(batch, value, own)
-                likelihood = (sums + ALPHA) / (everyone + ALPHA * max(kinds[value], 1))
-                logs += np.where(held[:, None], np.log(likelihood), 0)
-            posterior = _softmax(logs)
-            best = posterior.argmax(axis=1)
-            chosen = posterior[np.arange(n), best]
-            accepted = (letters > 0) & (chosen >= min_posterior) & (scores.max(axis=1) >= FOREIGN)
-            names = [languages[i] if k else None for i, k in zip(best, letters, strict=True)]
-            by_text = [languages[i] if k else None for i, k in zip(scores.argmax(axis=1), letters, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(np.round(chosen, 6)), pa.array(by_text, pa.string()), pa.array(accepted)], schema.names)
+                held, sums, _ = evidence[value]
+                weight += np.where(held, np.log((sums + ALPHA) / (everyone + ALPHA * max(kinds[value], 1))), 0)
+            names, chosen = [None] * n, np.zeros(n)
+            if len(owner):
+                filled, first = np.unique(owner, return_index=True)
+                top = np.maximum.reduceat(weight, first)
+                place = np.searchsorted(filled, owner)
+                odds = np.exp(weight - top[place])
+                chosen[filled] = 1 / np.add.reduceat(odds, first)
+                winners = np.flatnonzero(weight == top[place])
+                _, earliest = np.unique(owner[winners], return_index=True)
+                for row, number in zip(filled.tolist(), language[winners[earliest]].tolist(), strict=True):
+                    names[row] = languages[number]
+            accepted = (letters > 0) & (chosen >= min_posterior) & (batch.column("score").to_numpy() >= FOREIGN) & (size > 0)
+            by_text = [languages[i] if k and size else None for i, k in zip(batch.column("by_text").to_pylist(), letters, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("_row"), pa.array(names, pa.string()), pa.array(np.round(chosen, 6)), pa.array(by_text, pa.string()), pa.array(accepted)], schema.names)
 
     return scored.mapInArrow(run, schema)
 
 
-def accepted_only(docs: DataFrame, **how) -> DataFrame:
-    """`docs` without those that are rejected. Rows with one doc_id stay or go together; rows without a doc_id stay."""
-    rejected = identify(docs, **how).where(~F.col("accepted")).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+def accepted_only(docs: DataFrame, *, column: str = "text", id_column: str = "doc_id", declared: str = "lang", address: str = "source", min_posterior: float = MIN_POSTERIOR) -> DataFrame:
+    """`docs` without those that are rejected, row by row: another row with the same id stays or goes by its own text."""
+    found = _identified(docs, column, id_column, declared, address, min_posterior).where(~F.col("accepted"))
+    rejected = found.select(F.col(id_column).alias("_id"), F.col("_row").alias("_rejected")).distinct()
+    same = F.col(id_column).eqNullSafe(F.col("_id")) & (_row_hash(column, declared, address) == F.col("_rejected"))
+    return docs.join(rejected, same, "left_anti").select(docs.columns)
 
 
 def declared_in_page(html: Column) -> Column:

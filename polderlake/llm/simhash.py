@@ -244,22 +244,35 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", column: str =
     other. Equal fingerprints are compared once, however many rows have them. Rows are kept one by one, repeated ones too.
     A null id names no component: if no row of a component has an id, its component_id is null.
     """
-    prints = stored(fingerprint_column(docs.select(F.col(id_column), F.col(column)), column, shingle), "simhash")
+    out = _grouped(docs, id_column, column, shingle, radius)
+    return out.select(id_column, F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _text_hash(column: str):
+    return F.xxhash64(F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit("null")))
+
+
+def _grouped(docs: DataFrame, id_column: str, column: str, shingle: int, radius: int) -> DataFrame:
+    """(id, _text, simhash, component_id) for each row; `_text` is a hash of the text."""
+    source = docs.select(F.col(id_column), _text_hash(column).alias("_text"), F.col(column))
+    prints = stored(fingerprint_column(source, column, shingle), "simhash")
     smallest = freeze(prints.groupBy("simhash").agg(F.min(id_column).alias("smallest")))
     joined = connected_components(links(smallest.select("simhash"), radius), "low", "high")
     member = smallest.join(joined, F.col("simhash") == F.col("node"), "left").select("simhash", "smallest", F.coalesce("component", "simhash").alias("root"))
     member = freeze(member)
     least = freeze(member.groupBy("root").agg(F.min("smallest").alias("component_id")))
     named = freeze(member.join(least, "root").select(F.col("simhash").alias("_print"), "component_id"))
-    out = prints.join(named, F.col("simhash") == F.col("_print"))
-    return out.select(id_column, F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(named, F.col("simhash") == F.col("_print"))
 
 
-def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
-    """`docs` without the documents that are not the first of their group.
+def one_of_each_group(docs: DataFrame, *, id_column: str = "doc_id", column: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """`docs` without the documents that are not the first of their group, row by row.
 
-    Rows with one doc_id are one document and stay or go together. Rows without a doc_id stay.
+    Rows that share an id and a text are one document and stay or go together. A row without an id goes if its group has
+    a document with one; groups without any id have no first document and stay.
     """
-    found = near_duplicates(docs, **how)
-    later = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    found = _grouped(docs, id_column, column, shingle, radius)
+    later = found.where(F.col("component_id").isNotNull() & ~F.col(id_column).eqNullSafe(F.col("component_id")))
+    later = later.select(F.col(id_column).alias("_id"), F.col("_text").alias("_later")).distinct()
+    same = F.col(id_column).eqNullSafe(F.col("_id")) & (_text_hash(column) == F.col("_later"))
+    return docs.join(later, same, "left_anti").select(docs.columns)

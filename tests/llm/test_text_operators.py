@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -11,6 +12,8 @@ import time
 import numpy as np
 import pytest
 import xxhash
+from collections import Counter
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -420,6 +423,118 @@ def test_every_declared_language_counts(spark):
     assert [(r["language"], r["accepted"]) for r in got] == [("zz", True)] * 2
 
 
+def dense_fusion(rows, declared_kinds, min_posterior=0.5):
+    """All evidence in plain Python: trigram counts of all documents that declare a language, sums without the own part."""
+    tag = lambda v: re.match("[a-z]+", (v or "").strip().lower())[0] if re.match("[a-z]+", (v or "").strip().lower()) else None
+    names = sorted({tag(r[2]) for r in rows if tag(r[2]) and r[1] is not None})
+    counts = {name: Counter() for name in names}
+    grams = {}
+    for i, row in enumerate(rows):
+        buckets, first = language_id.trigrams([row[1]])
+        grams[i] = buckets.tolist()
+        if row[1] is not None and tag(row[2]):
+            counts[tag(row[2])].update(grams[i])
+    total = {name: sum(c.values()) + language_id.ALPHA * language_id.BUCKETS for name, c in counts.items()}
+    score = {i: {n: sum(math.log((counts[n][g] + language_id.ALPHA) / total[n] * language_id.BUCKETS) for g in grams[i]) for n in names} for i in grams}
+    scale = {i: min(1.0, language_id.FULL_LETTERS / max(len(grams[i]), 1)) for i in grams}
+    share = {}
+    for i in grams:
+        odds = {n: math.exp(scale[i] * (score[i][n] - max(score[i].values()))) for n in names}
+        share[i] = {n: odds[n] / sum(odds.values()) if grams[i] and odds[n] / sum(odds.values()) >= language_id.LEAST_SHARE else 0.0 for n in names}
+    values = {}
+    for i, row in enumerate(rows):
+        host = re.match(r"(?:[^:/?#]+://)?([^/?#:]*)", row[3] or "")[1].lower() or None
+        parts = host.split(".") if host else []
+        values[i] = {"host": host, "suffix": parts[-1] if len(parts) > 1 else None, "domain": ".".join(parts[-2:]) if len(parts) > 2 else None, "declared": tag(row[2])}
+    kinds = {v: len({values[i][v] for i in values} - {None}) for v in ("suffix", "declared")}
+    out = []
+    for i, row in enumerate(rows):
+        if not grams[i]:
+            out.append((row[0], None, 0.0, False))
+            continue
+        rest = {n: sum(share[j][n] for j in share if j != i) for n in names}
+        sums = lambda v: {n: sum(share[j][n] for j in share if j != i and values[i][v] is not None and values[j][v] == values[i][v]) for n in names}
+        prior = {n: (rest[n] + 1) / (sum(rest.values()) + len(names)) for n in names}
+        for level in ("suffix", "domain", "host"):
+            own = sums(level)
+            prior = {n: (own[n] + language_id.SMOOTHING * prior[n]) / (sum(own.values()) + language_id.SMOOTHING) for n in names}
+        logs = {n: scale[i] * score[i][n] + math.log(prior[n]) for n in names}
+        for v in ("declared", "suffix"):
+            if values[i][v] is not None:
+                own = sums(v)
+                logs = {n: logs[n] + math.log((own[n] + language_id.ALPHA) / (rest[n] + language_id.ALPHA * kinds[v])) for n in names}
+        best = max(names, key=lambda n: (logs[n], [-ord(c) for c in n]))
+        posterior = 1 / sum(math.exp(logs[n] - logs[best]) for n in names)
+        out.append((row[0], best, posterior, posterior >= min_posterior and max(score[i].values()) >= language_id.FOREIGN))
+    return out
+
+
+def test_fusion_is_that_of_brute_force(spark):
+    draw = random.Random(6)
+    rows = []
+    for i in range(90):
+        language = draw.choice(list(SYLLABLES))
+        text = draw.choice([invented(language, draw, draw.choice([1, 2, 30])), invented(language, draw, 3), "", None, "12 34", "он не"])
+        declared = draw.choice([language, language.upper() + "-x", draw.choice(list(SYLLABLES)), None, " ", "zz" if i % 9 == 0 else "en"])
+        rows.append((i, text, declared, draw.choice([None, "", f"http://a.{language}.example.net/p", f"{language}.org", "localhost", "x.y.example.net"])))
+    rows += [(500, rows[0][1], "en", None)] * 2
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, source string, Language string")
+    got = sorted((r["doc_id"], r["language"], r["posterior"], r["accepted"]) for r in language_id.identify(docs.repartition(3)).collect())
+    wanted = sorted(dense_fusion(rows, None), key=lambda r: r[0])
+    assert [(g[0], g[1], g[3]) for g in got] == [(w[0], w[1], w[3]) for w in wanted]
+    assert all(abs(g[2] - w[2]) < 1e-4 for g, w in zip(got, wanted, strict=True))
+
+
+def test_five_thousand_tags(spark):
+    """Junk tags cost what their few trigrams cost, on the driver as in the rows."""
+    draw = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tags = sorted({"".join(draw.choices(letters, k=5)) for _ in range(5000)})
+    rows = [(i, f"{tag} {tag[::-1]} {tag}", tag, None) for i, tag in enumerate(tags)]
+    rows += [(10_000 + i, invented("en", draw), "en", "a.example.org") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    began = time.monotonic()
+    languages, model = language_id.train(docs, "text", "lang", "doc_id")
+    assert len(languages) == len(tags) + 1 and model.more.nbytes + model.language.nbytes < 2_000_000
+    got = language_id.identify(docs).where("doc_id >= 10000").collect()
+    assert sum(r["language"] == "en" and r["accepted"] for r in got) >= 0.98 * 300 and time.monotonic() - began < 120
+
+
+def test_very_long_repeated_and_tied_documents(spark):
+    docs = spark.createDataFrame(
+        [(1, "the and of " * 200_000, "en", None), (2, "le et la " * 20, "fr", None), (3, "the and", None, None), (3, "le et la", None, None), (None, "12", None, None), (5, "12", "en", "h.example.org"), (3, "...", None, None)]
+        + [(7, "the and of", "en", None)] * 3,
+        "doc_id long, text string, lang string, source string",
+    )
+    got = {(r["doc_id"], r["language"]) for r in language_id.identify(docs).collect()}
+    assert {(1, "en"), (2, "fr"), (3, "en"), (3, "fr"), (7, "en"), (None, None), (5, None)} <= got
+    kept = language_id.accepted_only(docs)
+    assert sorted((str(r["doc_id"]), len(r["text"])) for r in kept.collect()) == sorted([("1", 2_200_000), ("2", 180), ("3", 7), ("3", 8)] + [("7", 10)] * 3)
+
+
+def test_pages_are_identified_by_markup_and_address(spark):
+    draw = random.Random(2)
+    rows = [(i, f"https://www.{lang}.example.net/{i}", f"<html lang='{lang}'><style>p{{}}</style><p>{invented(lang, draw, 12)}</p><script>the the</script>") for i, lang in enumerate(["en", "fr", "de"] * 12)]
+    rows += [(100, None, None), (101, "https://www.fr.example.net/", f"<p>{invented('fr', draw, 2)}"), (102, "x", "<html lang=en>123")]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, Posterior string")
+    got = {r["page_id"]: r for r in language_id.identify_pages(pages).collect()}
+    assert len(got) == len(rows) and all(got[i]["language"] == lang and got[i]["accepted"] for i, lang in enumerate(["en", "fr", "de"] * 12))
+    assert got[100]["language"] is None and got[101]["language"] == "fr" and not got[102]["accepted"]
+    plain = [(r[0], re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", r[2]) if r[2] else None, (re.search(r"lang='?([a-z]+)", r[2] or "") or [None, None])[1], r[1]) for r in rows]
+    wanted = {w[0]: w for w in dense_fusion(plain, None)}
+    assert all((got[i]["language"], got[i]["accepted"]) == (wanted[i][1], wanted[i][3]) for i in got)
+
+
+def test_rows_of_one_id_stay_or_go_by_themselves(spark):
+    same = "a text of some words that stands here twice and more"
+    docs = spark.createDataFrame(
+        [(1, same), (5, same), (5, "another text, and one that nobody else has got"), (None, same), (None, "no id and no copy of it anywhere at all"), (None, "two without ids"), (None, "two without ids"), (1, same)],
+        "doc_id long, text string",
+    )
+    kept = sorted((str(r["doc_id"]), r["text"][:8]) for r in simhash.one_of_each_group(docs).collect())
+    assert kept == sorted([("1", "a text o")] * 2 + [("5", "another "), ("None", "no id an")] + [("None", "two with")] * 2)
+
+
 def test_language_without_labels_or_rows(spark):
     docs = odd_docs(spark).drop("lang").selectExpr("*", "cast(null as string) as lang")
     assert language_id.identify(docs).where("accepted").count() == 0
