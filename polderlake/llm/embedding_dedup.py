@@ -70,7 +70,7 @@ def _single(vectors: pa.Array) -> np.ndarray:
 
 
 class Forest:
-    """Which rows are linked already, so that a link that others imply is passed on no more."""
+    """Which rows links connect already; the first row of each group names it."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
@@ -86,15 +86,14 @@ class Forest:
             i = self.label[i]
         return int(i)
 
-    def join(self, i: int, j: int) -> bool:
+    def join(self, i: int, j: int) -> None:
         a, b = self.top(i), self.top(j)
         self.label[max(a, b)] = min(a, b)
-        return a != b
 
 
-def pass_links(run: np.ndarray, vectors: pa.Array, numbers: list[int], window: int, cosine: float) -> list[tuple[int, int]]:
-    """Row numbers of links that connect what passes `numbers` find among `vectors` with equal `run`."""
-    unit, forest, links = _single(vectors), Forest(len(run)), []
+def pass_links(run: np.ndarray, vectors: pa.Array, numbers: list[int], window: int, cosine: float) -> np.ndarray:
+    """For each row the first row that it is connected with by the links that passes `numbers` find among rows of one `run`."""
+    unit, forest = _single(vectors), Forest(len(run))
     for number in numbers:
         order = np.lexsort((sort_keys(unit, number), run))
         ordered, runs = unit[order], run[order]
@@ -108,8 +107,10 @@ def pass_links(run: np.ndarray, vectors: pa.Array, numbers: list[int], window: i
                 if found:
                     one, other = (unit_rows(vectors.take(pa.array(side))) for side in zip(*found, strict=True))
                     exact = np.einsum("ij,ij->i", one, other) >= cosine
-                    links += [(i, j) for (i, j), near_enough in zip(found, exact.tolist(), strict=True) if near_enough and forest.join(i, j)]
-    return links
+                    for (i, j), linked in zip(found, exact.tolist(), strict=True):
+                        if linked:
+                            forest.join(i, j)
+    return forest.roots()
 
 
 def recall_of_pass(rows: int, size: int, window: int, cosine: float) -> float:
@@ -211,7 +212,7 @@ def blocked(vectors: DataFrame, crowds: DataFrame, block_rows: int) -> DataFrame
 
 
 def window_pass_links(vectors: DataFrame, passes: int | None, window: int, cosine: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(low, high) links between representatives, from all passes over all blocks."""
+    """(low, high) for representatives that links of the passes of one block connect: the smallest with each other one."""
     counted = freeze(vectors.groupBy("label", F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("rows")))
     # Labels of one block, however many there are, need no more than to be left as they are.
     several = [(row["label"], row["size"], outer_passes(row["rows"], row["size"], cosine, block_rows)) for row in counted.where(F.col("rows") > block_rows).toLocalIterator()]
@@ -234,10 +235,13 @@ def window_pass_links(vectors: DataFrame, passes: int | None, window: int, cosin
                     largest = int(np.bincount(owner[rows] - owner[rows[0]]).max())
                     several_blocks = largest > block_rows // 2
                     wanted = passes or passes_needed(largest, width, window, cosine, BLOCK_RECALL if several_blocks else RECALL)
-                    found = pass_links(owner[rows], embedding.take(pa.array(rows)), [outer * _OUTER + k for k in range(wanted)], window, cosine)
-                    if found:
-                        one, other = (rep[rows[list(side)]] for side in zip(*found, strict=True))
-                        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(other)], ["low", "high"])
+                    root = pass_links(owner[rows], embedding.take(pa.array(rows)), [outer * _OUTER + k for k in range(wanted)], window, cosine)
+                    # A star around the smallest of each group: what links connect is one step from it.
+                    smallest = np.full(len(rows), np.iinfo(np.int64).max)
+                    np.minimum.at(smallest, root, rep[rows])
+                    center = smallest[root]
+                    tied = center != rep[rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(center[tied]), pa.array(rep[rows][tied])], ["low", "high"])
 
     return dealt.select(*groups, "rep", "embedding").mapInArrow(run, "low long, high long")
 
