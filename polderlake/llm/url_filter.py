@@ -18,6 +18,8 @@ from polderlake.llm.frames import Sent
 BITS = 15
 GRAMS = (3, 4, 5)
 MAX_LABELLED = 20_000
+#: Log-odds from which the model blocks: three to two, so that hosts it knows nothing of are let through.
+THRESHOLD = 0.4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The rules that every page is judged by.
@@ -29,36 +31,36 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
-# The labelled URLs: names that spam and abuse sites go by, and names of ordinary ones.
-_BLOCKED = """
-http://casino-royal.example.net/ http://online-casino.example.com/play http://win-big.example.net/en/1 http://jackpot-win.example.com/
-http://cheap-pills.example.com/buy http://pills-shop.example.net/ http://cheap-meds.example.com/en/3 http://discount-pharmacy.example.net/
-http://free-bets.example.com/ http://sports-bets.example.net/odds http://betting-tips.example.com/free http://free-spins.example.net/
-http://spam-farm.example.com/ http://link-farm.example.net/en/2 http://spam-links.example.com/ http://free-backlinks.example.net/
-http://poker-win.example.com/ http://hot-singles.example.net/xxx http://xxx-cams.example.com/ http://adult-videos.example.net/
-http://payday-loans.example.com/ http://easy-loans.example.net/cash http://free-cracks.example.com/keygen http://torrent-warez.example.net/
-http://lose-weight-fast.example.com/ http://miracle-diet.example.net/buy-now http://earn-cash-home.example.com/ http://crypto-doubler.example.net/
-http://replica-watches.example.com/ http://fake-diploma.example.net/ http://casino-bonus.example.com/free http://cheap-viagra.example.net/
-"""
-_ALLOWED = """
-http://news.example.com/en/2024/politics http://www.university.example.net/faculty http://blog.garden.example.com/en/12 http://library.example.net/catalogue
-http://weather.example.com/forecast http://museum.example.net/exhibition http://www.hospital.example.com/contact http://recipes.example.net/en/soup
-http://m.travel.example.com/fr/paris http://docs.software.example.net/manual http://forum.cycling.example.com/thread/99 http://city.example.net/council
-http://history.example.com/en/1848 http://physics.example.net/papers/17 http://school.example.com/timetable http://www.bank.example.net/branches
-http://blog.painting.example.com/de/31 http://music.example.net/es/concert http://www.theatre.example.com/tickets http://science.example.net/en/778
-http://radio.example.com/schedule http://farm-produce.example.net/market http://winter-sports.example.com/en/5 http://freedom-press.example.net/
-http://better-health.example.com/en/4 http://pillow-makers.example.net/ http://castle-tours.example.com/en/8 http://alphabet.example.net/letters
-http://m.thehe.example.com/en/3665 http://www.tionsh.example.net/de/495 http://blog.onther.example.com/en/7198 http://ththan.example.net/es/24149
-http://m.ering.example.net/fr/90 http://edation.example.com/en/10021 http://www.ntouth.example.net/en/18320 http://blog.thndor.example.com/es/71
-http://wiki.example.net/en/grammar http://journal.example.com/issues/3 http://maps.example.net/rivers http://archive.example.com/letters/1901
-"""
-# Each stands for the usual subdomains too, so that these tell nothing.
-LABELLED = tuple(
-    (url.replace("://www.", "://").replace("://blog.", "://").replace("://m.", "://").replace("://", f"://{prefix}"), verdict)
-    for urls, verdict in ((_BLOCKED, "block"), (_ALLOWED, "allow"))
-    for url in urls.split()
-    for prefix in ("", "www.", "blog.", "m.")
-)
+# The labelled URLs are put together from words: the first kind are those that spam and abuse sites commonly go by, the
+# second kind ordinary ones. No host of them is taken from a table of pages.
+_SPAM_WORDS = """
+casino poker jackpot roulette slots lottery betting bets odds spins bonus pills viagra meds pharmacy steroids xxx adult singles cams
+escort porn payday loans cash crypto doubler warez torrent cracks keygen replica watches diploma backlinks seo spam diet miracle weightloss
+""".split()
+_SPAM_FORMS = ("{a}-{b}", "cheap-{a}-deals", "free-{a}-now", "best-{a}-{b}", "{a}{b}", "online-{a}", "{a}-to-win", "buy-{a}", "{a}-link-farm")
+_PLAIN_WORDS = """
+news university garden library weather museum hospital recipes travel manual forum cycling council history physics school bank painting
+music theatre science radio market sports press health pillow castle alphabet wiki journal maps archive bakery harbour bridge poetry opera
+chess grammar winter summer river mountain farming freedom winery windows library letters postcards cashmere betterment spinning
+""".split()
+_PLAIN_FORMS = ("{a}", "{a}-{b}", "{a}{b}", "the-{a}", "city-{a}", "{a}-club", "my{a}", "{a}-online", "old-{a}-{b}")
+_PATHS = ("/", "/en/1{n}", "/fr/{n}", "/de/2{n}/", "/es/{n}.html", "/index.html", "/{n}/about", "")
+_SUBDOMAINS = ("", "www.", "blog.", "m.")
+_SUFFIXES = ("example.com", "example.net", "example.org", "test")
+
+
+def _urls(words: Sequence[str], forms: Sequence[str], verdict: str) -> list[tuple[str, str]]:
+    """Every word in every form, with another word, path, subdomain and suffix each time; these tell nothing."""
+    out = []
+    for i, word in enumerate(words):
+        for j, form in enumerate(forms):
+            n = 37 * i + 11 * j
+            host = form.format(a=word, b=words[(i + 3 * j + 1) % len(words)])
+            out.append((f"http://{_SUBDOMAINS[n % 4]}{host}.{_SUFFIXES[(n // 4) % 4]}{_PATHS[n % 7].format(n=n)}", verdict))
+    return out
+
+
+LABELLED = (*_urls(_SPAM_WORDS, _SPAM_FORMS, "block"), *_urls(_PLAIN_WORDS, _PLAIN_FORMS, "allow"))
 
 
 def host_of(url: Column) -> Column:
@@ -138,11 +140,12 @@ def train_from(labelled: DataFrame) -> UrlModel:
 RESULT = ("host", "path", "rule", "verdict", "score")
 
 
-def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULES, model: UrlModel | None = None, id_column: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULES, model: UrlModel | None = None, threshold: float = THRESHOLD, id_column: str = "page_id", url: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, score) for each row of `pages`.
 
     The longest fitting rule decides (ties: the one named later); without one the model does, and blocks if its score
-    is above 0. A null URL or one without `://` has an empty host and path, which fit no rule and are allowed.
+    is above `threshold`. A null URL or one without `://` has an empty host and path, which fit no rule; the model judges them by its
+    bias. Long URLs are judged whole.
     Rows are kept one by one, repeated ones too. One pass, no shuffle.
     """
     spark = pages.sparkSession
@@ -159,6 +162,5 @@ def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULES, mo
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], schema.names)
 
     scored = parted.mapInArrow(run, schema).withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
-    blocked = (F.col("score") > 0) & (F.col("host") != "")
-    verdict = F.coalesce("found.verdict", F.when(blocked, "block").otherwise("allow"))
+    verdict = F.coalesce("found.verdict", F.when(F.col("score") > threshold, "block").otherwise("allow"))
     return scored.select(id_column, "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "score")
