@@ -217,6 +217,31 @@ def logistic_effect_binary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fitted.select("feature", "coefficient", "std_error"), 4, "coefficient", "std_error")
 
 
+@query(
+    "logistic_effect_saturated",
+    oracle(
+        "effect_panel",
+        """, t as (select geslacht = 'M' as x, n_wia_aanvragen > 0 as z, cast(count(*) filter (where ooit_ww_toegekend) as double) as y,
+ cast(count(*) filter (where not ooit_ww_toegekend) as double) as n from effect_panel where geslacht in ('M', 'V') group by all),
+c as (select max(ln(y/n)) filter (where not x and not z) as l00, max(ln(y/n)) filter (where x and not z) as l10,
+ max(ln(y/n)) filter (where not x and z) as l01, max(ln(y/n)) filter (where x and z) as l11,
+ max(1/y + 1/n) filter (where not x and not z) as v00, max(1/y + 1/n) filter (where x and not z) as v10,
+ max(1/y + 1/n) filter (where not x and z) as v01, max(1/y + 1/n) filter (where x and z) as v11 from t)
+select 'const' as feature, round(l00, 4) as coefficient, round(sqrt(v00), 4) as std_error from c
+union all select 'man', round(l10 - l00, 4), round(sqrt(v10 + v00), 4) from c
+union all select 'wia', round(l01 - l00, 4), round(sqrt(v01 + v00), 4) from c
+union all select 'beide', round(l11 - l10 - l01 + l00, 4), round(sqrt(v11 + v10 + v01 + v00), 4) from c""",
+    ),
+)
+def logistic_effect_saturated(spark: SparkSession, sf: str) -> DataFrame:
+    """With two yes/no features and their product the fit has a closed form too: differences of the log-odds of four cells."""
+    man, wia = (F.col("geslacht") == "M").cast("double"), (F.col("n_wia_aanvragen") > 0).cast("double")
+    panel = marts.effect_panel(spark, sf).where("geslacht in ('M', 'V')")
+    panel = freeze(panel.select("ooit_ww_toegekend", man.alias("man"), wia.alias("wia"), (man * wia).alias("beide")))
+    fitted = regression.logistic_effect(panel, "ooit_ww_toegekend", ["man", "wia", "beide"], [])
+    return rounded(fitted.select("feature", "coefficient", "std_error"), 4, "coefficient", "std_error")
+
+
 _PANEL = """, m as (select e.leeftijd, e.geslacht, e.huidige_status, p.regio_code from effect_panel e
  join (select upper(sha256(concat(bsn,'demo-salt'))) as bsn_pseudo, regio_code from persona) p using (bsn_pseudo))"""
 

@@ -210,7 +210,7 @@ def _profile_sql(rows: str) -> str:
 
 @query("column_profile", _profile_sql("crm"))
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(profiling.column_profile(domain(spark, sf, "crm"), _PROFILED), 6, "null_fraction")
+    return rounded(profiling.column_profile(domain(spark, sf, "crm"), _PROFILED, exact=True), 6, "null_fraction")
 
 
 @query(
@@ -219,7 +219,7 @@ def column_profile(spark: SparkSession, sf: str) -> DataFrame:
 )
 def column_profile_sampled(spark: SparkSession, sf: str) -> DataFrame:
     sample = profiling.sample_by_key(domain(spark, sf, "crm"), "contact_id", 5)
-    return rounded(profiling.column_profile(sample, _PROFILED), 6, "null_fraction")
+    return rounded(profiling.column_profile(sample, _PROFILED, exact=True), 6, "null_fraction")
 
 
 @query(

@@ -14,11 +14,11 @@ def sample_by_key(df: DataFrame, key: str, percent: int) -> DataFrame:
     return df.filter(draw % 100 < percent)
 
 
-def column_profile(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
+def column_profile(df: DataFrame, columns: Sequence[str], exact: bool = False) -> DataFrame:
     """(column_name, n_records, n_null, null_fraction, n_distinct, min_value, max_value) per column.
 
-    One scan for all columns. Exact distinct counts multiply the rows once per column before the
-    shuffle; `exact=False` uses sketches of fixed size instead and shuffles almost nothing.
+    One scan for all columns. Distinct counts come from sketches of fixed size, so almost nothing is shuffled; `exact`
+    ones multiply the rows once per column before the shuffle.
     """
     distinct = F.count_distinct if exact else F.approx_count_distinct
     aggregates: list[Column] = [F.count(F.lit(1)).alias("n_records")]
