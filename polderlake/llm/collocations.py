@@ -33,10 +33,10 @@ SHARE = (80, 100)
 SCALE = 2_000_000
 SHARD_BYTES = 4_000_000
 #: Text of all languages that a task holds before it lets its shards go.
-HELD_BYTES = 16_000_000
+HELD_BYTES = 8_000_000
 #: Phrases that a task holds before its filters go on, and occurrences that meet in a slice on average.
-HELD_PHRASES = 1_000_000
-SLICE_PHRASES = 1_000_000
+HELD_PHRASES = 500_000
+SLICE_PHRASES = 500_000
 #: Frequent words that are numbered in one task.
 NUMBERED = 100_000
 BLOOM_BITS = 27
