@@ -12,6 +12,7 @@ from catalog.oracle import oracle
 from catalog.registry import query, rounded
 from fixtures.domain import domain
 from polderlake.functions.identifiers import bsn_check_digit, is_payroll_number, is_valid_bsn
+from polderlake.functions.identifiers import account_check_digits
 from polderlake.operators import alerts, checks, profiling
 
 _DIGIT_SUM = "+".join(f"{w}*cast(substr(bsn,{i},1) as int)" for i, w in enumerate((9, 8, 7, 6, 5, 4, 3, 2, -1), 1))
@@ -100,6 +101,27 @@ _ACCOUNT = """case when c_custkey%7=0 then null when c_custkey%5=0 then 'NL9' ||
  else 'NL' || lpad(cast(c_custkey%100 as varchar(2)),2,'0') || 'BANK' || '0' || bsn end"""
 
 
+@query(
+    "check_iban_modulus",
+    oracle(
+        "persona",
+        """, a as (select bsn, c_custkey, cast('111023200' || bsn || '232100' as hugeint) as n from persona),
+b as (select *, 98 - n % 97 as dd from a),
+c as (select bsn, dd, case when c_custkey%7=0 then (dd + 1 + c_custkey%90) % 100 else dd end as told, c_custkey%11=0 as lower from b)
+select bsn, 'NL' || lpad(cast(told as varchar), 2, '0') || case when lower then 'bank0' else 'BANK0' end || bsn as iban
+from c where lower or (cast('111023200' || bsn || '2321' || lpad(cast(told as varchar), 2, '0') as hugeint) % 97) <> 1""",
+    ),
+)
+def check_iban_modulus(spark: SparkSession, sf: str) -> DataFrame:
+    """Accounts with right check digits but for every seventh, and in small letters for every eleventh."""
+    key = F.col("c_custkey")
+    right = account_check_digits(F.lit("NL"), F.concat(F.lit("BANK0"), "bsn"))
+    told = F.when(key % 7 == 0, F.lpad(((right.cast("int") + 1 + key % 90) % 100).cast("string"), 2, "0")).otherwise(right)
+    bank = F.when(key % 11 == 0, "bank0").otherwise("BANK0")
+    accounts = domain(spark, sf, "persona").select("bsn", F.concat(F.lit("NL"), told, bank, "bsn").alias("iban"))
+    return checks.check_iban_modulus(accounts, "iban")
+
+
 @query(
     "check_iban",
     oracle(

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polderlake.functions.identifiers import is_nl_iban, is_payroll_number, is_valid_bsn
+from polderlake.functions.identifiers import has_account_checksum, is_nl_iban, is_payroll_number, is_valid_bsn
 
 # ---- failing rows -------------------------------------------------------------------------------
 
@@ -54,6 +54,11 @@ def check_iban(df: DataFrame, column: str) -> DataFrame:
     return df.filter(~is_nl_iban(F.col(column)))
 
 
+def check_iban_modulus(df: DataFrame, column: str) -> DataFrame:
+    """Accounts whose check digits don't fit, of any country; the pattern of one country is `check_iban`."""
+    return df.filter(~has_account_checksum(F.col(column)))
+
+
 def check_payroll_number(df: DataFrame, column: str) -> DataFrame:
     return df.filter(~is_payroll_number(F.col(column)))
 

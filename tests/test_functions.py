@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from polderlake.functions.identifiers import bsn_check_digit, is_nl_iban, is_payroll_number, is_valid_bsn, pseudonymize
+from polderlake.functions.identifiers import account_check_digits, bsn_check_digit, has_account_checksum, is_nl_iban, is_payroll_number, is_valid_bsn, pseudonymize
 from polderlake.functions.numbers import full_years, half_up_long, ratio
 from polderlake.functions.streams import stream_of_path, table_of_stream, without_scheme
 
@@ -113,3 +113,27 @@ def test_without_scheme(path, plain):
 @pytest.mark.parametrize("root", ["file:/raw/in", "file:///raw/in/", "/raw/in"])
 def test_root_forms(spark, root):
     assert one(spark, "file:///raw/in/org/a/b/dt=1/x.jsonl", lambda c: stream_of_path(c, root)) == "org.a.b"
+
+
+def modulus(text):
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+ACCOUNTS = ["NL91ABNA0417164300", "GB82WEST12345698765432", "DE89370400440532013000", "MT84MALT011000012345MTLCAST001S", "NL91ABNA0417164301", "NL19ABNA0417164300", "NO9386011117947"]
+
+
+@pytest.mark.parametrize("account", ACCOUNTS)
+def test_account_checksum(spark, account):
+    assert one(spark, account, has_account_checksum) is (modulus(account) == 1)
+    rest = spark.createDataFrame([(account[:2], account[4:])], "c string, r string")
+    digits = rest.select(account_check_digits(F.col("c"), F.col("r"))).first()[0]
+    assert modulus(account[:2] + digits + account[4:]) == 1
+
+
+@pytest.mark.parametrize("account", ["", "NL91", "nl91abna0417164300", "NL91 ABNA 0417 1643 00", "NL91ABNA0417164300\n", "9191ABNA0417164300", "NL91ABNA0417164300" * 2, "NLXXABNA0417164300", "NL91ÀBNA0417164300"])
+def test_odd_accounts_have_no_checksum(spark, account):
+    assert one(spark, account, has_account_checksum) is False
+
+
+def test_a_missing_account_is_not_judged(spark):
+    assert one(spark, None, has_account_checksum) is None
