@@ -243,7 +243,7 @@ def encode_documents(docs: DataFrame, encoder: Encoder, column: str = "text", *,
     if ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType(), False))
     schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    sent = Sent(docs.sparkSession, encoder)
+    sent = Sent(docs.sparkSession, encoder, kept=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = sent.get()

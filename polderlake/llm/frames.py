@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import pickle
+import sys
+import types
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,17 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Sent:
-    """A value for all tasks. It is pickled by value, so executors need no copy of its class; each task opens it once."""
+    """A value for all tasks. It is pickled by value, so executors need no copy of its class; each task opens it once.
 
-    def __init__(self, spark: SparkSession, value: object):
+    With `kept` a worker process opens it once for all of its tasks and keeps it with what it has learned, until it opens
+    another kept value: only for values whose answers don't depend on what they were asked before.
+    """
+
+    def __init__(self, spark: SparkSession, value: object, kept: bool = False):
         self._packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._name = uuid.uuid4().hex if kept else None
         self._open: list = []
 
     def get(self):
         if not self._open:
-            self._open.append(pickle.loads(self._packed.value))
+            # The functions of this package are pickled anew for each task: what outlives one needs a module of its own.
+            shelf = sys.modules.setdefault("_values_kept_by_worker", types.ModuleType("_values_kept_by_worker")).__dict__
+            if self._name is not None and shelf.get("name") == self._name:
+                self._open.append(shelf["value"])
+            else:
+                self._open.append(pickle.loads(self._packed.value))
+                if self._name is not None:
+                    shelf["name"], shelf["value"] = self._name, self._open[0]
         return self._open[0]
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_open": []}
+
 
 def without(df: DataFrame, *names: str) -> DataFrame:
     """`df` without the columns that a result column of the same name (in any case) replaces."""
