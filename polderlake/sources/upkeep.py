@@ -131,6 +131,10 @@ def enforce_retention(
     return spark.createDataFrame(done, "table_name string, action string, n_deleted bigint"), now
 
 
+#: Partitions in one statement.
+SPECS_AT_ONCE = 500
+
+
 def _partition_clause(spec: str) -> str:
     """`a=1/b=x%20y` -> `a='1', b='x y'`."""
     parts = []
@@ -145,18 +149,22 @@ def switch_location(spark: SparkSession, table: str, location: str) -> None:
     """Point a named table at a new folder; the old files are not touched.
 
     A partitioned table keeps a location per partition, so these are moved one by one (there is one
-    per load date, say). Meanwhile a partition shows its old or its new files, never a mix.
+    per load date, say). Meanwhile a partition shows its old or its new files, never a mix. Partitions
+    that are gone are dropped `SPECS_AT_ONCE` at a time.
     """
     partitioned = not spark.sql(f"DESCRIBE TABLE {table}").filter("col_name = '# Partition Information'").isEmpty()
     known = [row[0] for row in spark.sql(f"SHOW PARTITIONS {table}").collect()] if partitioned else []
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
+    gone = []
     for spec in known:
         folder = f"{location.rstrip('/')}/{spec}"
         fs, target = file_system(spark, folder)
         if fs.exists(target):
             spark.sql(f"ALTER TABLE {table} PARTITION ({_partition_clause(spec)}) SET LOCATION '{folder}'")
         else:
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({_partition_clause(spec)})")
+            gone.append(f"PARTITION ({_partition_clause(spec)})")
+    for start in range(0, len(gone), SPECS_AT_ONCE):
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(gone[start : start + SPECS_AT_ONCE])}")
     if partitioned:
         spark.sql(f"MSCK REPAIR TABLE {table}")
     spark.catalog.refreshTable(table)
