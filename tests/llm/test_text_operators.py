@@ -88,17 +88,6 @@ def test_what_was_encoded_before_changes_nothing(library):
         same_as_library(made, library, "".join(draw.choice("\0\0-aé 'ΣĠ\u0301\U0001f600\u208f") for _ in range(draw.randint(1, 6))))
 
 
-def test_workers_keep_the_encoder_between_tasks(spark, encoder, library):
-    """Many tasks and two encoders in turn: every text comes out as by the library."""
-    draw = random.Random(5)
-    texts = ["".join(draw.choice("aehinorst' \U0001f600\0é") for _ in range(60)) for _ in range(200)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
-    for _ in range(2):
-        for coder in (encoder, bpe.Encoder.from_file(tokenizer_file())):
-            for row in bpe.encode_documents(docs, coder).collect():
-                assert row["ids"] == library.encode(row["text"], add_special_tokens=False).ids
-
-
 def test_letters_and_odd_texts_are_encoded_as_by_the_library(encoder, library):
     draw = random.Random(4)
     for text in ODD + ["".join(draw.choice("aehinorst' ") for _ in range(200)) for _ in range(300)]:
