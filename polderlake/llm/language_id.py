@@ -32,6 +32,8 @@ BUCKETS = 1 << 15
 TRAIN_PER_LANGUAGE = 400
 #: Scores (texts times languages) that a task holds at a time.
 SCORES = 1_000_000
+#: Letters that are looked up at a time.
+LETTERS = 1 << 15
 #: A language that a text makes e**-40 times as likely as another is no candidate for it, whatever else speaks for it.
 CANDIDATE_NATS = 40.0
 #: Shares of a document below this one suggest nothing about its host.
@@ -79,15 +81,20 @@ class TextModel:
 
     def scores(self, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
         """A row for each text; `first` has the texts' first positions in `buckets`."""
-        texts, languages = len(first) - 1, len(self.unseen)
-        owner = np.repeat(np.arange(texts), np.diff(first))
-        which, times = np.unique(owner * BUCKETS + buckets, return_counts=True)
-        owner, bucket = which // BUCKETS, which % BUCKETS
-        held = self.first[bucket + 1] - self.first[bucket]
-        at = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) + np.repeat(self.first[bucket], held)
-        place = np.repeat(owner, held) * languages + self.language[at]
-        seen = np.bincount(place, self.more[at] * np.repeat(times, held), texts * languages).reshape(texts, languages)
-        return seen + np.diff(first)[:, None] * self.unseen
+        out = np.diff(first)[:, None] * self.unseen
+        for start in range(0, len(buckets), LETTERS):
+            part = buckets[start : start + LETTERS]
+            low = int(np.searchsorted(first, start, "right")) - 1
+            owner = np.searchsorted(first, np.arange(start, start + len(part)), "right") - 1 - low
+            which, times = np.unique(owner * BUCKETS + part, return_counts=True)
+            owner, bucket = which // BUCKETS, which % BUCKETS
+            held = self.first[bucket + 1] - self.first[bucket]
+            at = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held) + np.repeat(self.first[bucket], held)
+            texts = int(owner[-1]) + 1
+            place = np.repeat(owner, held) * len(self.unseen) + self.language[at]
+            seen = np.bincount(place, self.more[at] * np.repeat(times, held), texts * len(self.unseen))
+            out[low : low + texts] += seen.reshape(texts, len(self.unseen))
+        return out
 
 
 def score_texts(texts: list[str | None], model: TextModel) -> Iterator[tuple[np.ndarray, np.ndarray]]:
