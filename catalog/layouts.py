@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog import marts
+from catalog import marts, validation  # noqa: F401
 from catalog.oracle import oracle
-from catalog.registry import query
+from catalog.registry import ORACLES, query, rounded
 from fixtures.domain import SALT, domain, stamp_key
 from polderlake.operators import difference, sketches
 from polderlake.plans import journey_refresh, person_store, quality
@@ -143,6 +143,23 @@ def column_profile_sketch(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _stored_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "sketches")
+    sketches.store_sketches(domain(spark, sf, "crm"), ["kanaal", "duur_seconden", "bsn"], "event_date", path)
+    return sketches.read_sketches(spark, path)
+
+
+@query("volume_drift_sketch", ORACLES["volume_drift"])
+def volume_drift_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sketches.sketch_volume_drift(_stored_sketches(spark, sf)), 6, "change")
+
+
+@query("null_drift_sketch", f"select * from ({ORACLES['null_drift']}) where metric like 'null:%'")
+def null_drift_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    drift = sketches.sketch_null_drift(_stored_sketches(spark, sf), ["kanaal", "duur_seconden"], "bsn")
+    return rounded(drift.where(F.col("metric").startswith("null:")), 6, "value", "previous")
+
+
 # ---- files along a curve, retention by file, difference of layers --------------------------------------
 
 _CURVE = ("contact_ts", "duur_seconden")

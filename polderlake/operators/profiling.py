@@ -84,7 +84,11 @@ def volume_drift(df: DataFrame, day: str, threshold: float = 0.05) -> DataFrame:
 
     The window runs over one row per day, not over the table.
     """
-    days = df.groupBy(F.col(day).alias("dag")).agg(F.count(F.lit(1)).alias("n_records"))
+    return volume_changes(df.groupBy(F.col(day).alias("dag")).agg(F.count(F.lit(1)).alias("n_records")), threshold)
+
+
+def volume_changes(days: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """`volume_drift` from a frame (dag, n_records) with one row per day."""
     previous = F.lag("n_records").over(Window.partitionBy(F.lit(0)).orderBy("dag"))
     change = days.withColumn("n_previous", previous).withColumn(
         "change", _change(F.col("n_records"), F.col("n_previous"))
@@ -102,7 +106,11 @@ def null_drift(df: DataFrame, day: str, columns: Sequence[str], id_column: str,
         *[f.alias(f"null:{c}") for c, f in fractions.items()],
         F.count_distinct(id_column).cast("double").alias(f"distinct:{id_column}"),
     )
-    long = daily.unpivot("dag", [c for c in daily.columns if c != "dag"], "metric", "value")
+    return metric_changes(daily.unpivot("dag", [c for c in daily.columns if c != "dag"], "metric", "value"), threshold)
+
+
+def metric_changes(long: DataFrame, threshold: float = 0.01) -> DataFrame:
+    """`null_drift` from a frame (dag, metric, value) with one row per day and metric."""
     previous = F.lag("value").over(Window.partitionBy("metric").orderBy("dag"))
     compared = long.withColumn("previous", previous)
     rise = F.col("value") - F.col("previous")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from polderlake.operators.profiling import metric_changes, volume_changes
 from polderlake.session import stored
 
 #: Size parameters. The standard error of distinct counts is about 1.04 / sqrt(2 ** HLL_BITS); ranks are off by about
@@ -116,6 +117,25 @@ def sketch_profile(entries: DataFrame, top: int = 3, quantiles: Sequence[float]
     )
 
 
+def sketch_volume_drift(entries: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """`volume_drift` from entries: rows per day are exact, and no row of the table is read."""
+    days = entries.groupBy(F.col(DAY).alias("dag")).agg(F.max("n_records").alias("n_records"))
+    return volume_changes(days, threshold)
+
+
+def sketch_null_drift(entries: DataFrame, columns: Sequence[str], id_column: str | None = None, threshold: float = 0.01) -> DataFrame:
+    """`null_drift` from entries: exact null fractions, and the estimated number of ids per day."""
+    nulls = entries.where(F.col("column_name").isin(*columns)).select(
+        F.col(DAY).alias("dag"), F.concat(F.lit("null:"), "column_name").alias("metric"), (F.col("n_null") / F.col("n_records")).alias("value")
+    )
+    if id_column is not None:
+        ids = entries.where(F.col("column_name") == id_column).select(
+            F.col(DAY).alias("dag"), F.lit(f"distinct:{id_column}").alias("metric"), F.hll_sketch_estimate("distinct_sketch").cast("double").alias("value")
+        )
+        nulls = nulls.unionByName(ids)
+    return metric_changes(nulls, threshold)
+
+
 def sketch_drift(entries: DataFrame, threshold: float = 0.05) -> DataFrame:
     """(column_name, sketch_day, n_records, n_distinct, previous, flagged) per day: distinct values that fall or rise.
 
