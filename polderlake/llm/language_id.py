@@ -182,16 +182,20 @@ def _identified(docs: DataFrame, column: str, id_column: str, declared: str, add
     scored = scored.withColumn("labels", labels).withColumn("suffix", F.when(F.size("labels") > 1, F.element_at("labels", -1)))
     scored = scored.withColumn("domain", F.when(F.size("labels") > 2, F.concat_ws(".", F.slice("labels", -2, 2)))).drop("labels")
     size = len(languages)
+    # One aggregation for all kinds of evidence, and for the sums over all documents.
+    evidence = F.array(*[F.struct(F.lit(value).alias("kind"), F.col(value).alias("value")) for value in _VALUES], F.struct(F.lit("all").alias("kind"), F.lit("").alias("value")))
+    told = scored.select(F.explode(evidence).alias("e"), F.arrays_zip("candidates", "shares").alias("s")).where(F.col("e.value").isNotNull())
+    told = told.select("e.kind", "e.value", F.explode("s").alias("s")).where(F.col("s.shares") > 0)
+    by_language = told.groupBy("kind", "value", F.col("s.candidates").alias("language")).agg(F.sum("s.shares").alias("share"))
+    grouped = freeze(by_language.groupBy("kind", "value").agg(F.collect_list("language").alias("languages"), F.collect_list("share").alias("shares")))
     total = np.zeros(size)
-    suggested = scored.select(*_VALUES, F.explode(F.arrays_zip("candidates", "shares")).alias("s")).select(*_VALUES, F.col("s.candidates").alias("language"), F.col("s.shares").alias("share"))
-    suggested = suggested.where(F.col("share") > 0)
-    for row in suggested.groupBy("language").agg(F.sum("share").alias("share")).collect():
-        total[row["language"]] = row["share"]
+    for row in grouped.where(F.col("kind") == "all").collect():
+        total[row["languages"]] = row["shares"]
+    counted = scored.agg(*[F.count_distinct(value).alias(value) for value in ("suffix", "declared")]).first()
+    kinds = {value: counted[value] for value in ("suffix", "declared")}
     for value in _VALUES:
-        by_language = suggested.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_value"), "language").agg(F.sum("share").alias("share"))
-        grouped = by_language.groupBy("_value").agg(F.collect_list("language").alias(f"languages_of_{value}"), F.collect_list("share").alias(f"shares_of_{value}"))
-        scored = scored.join(freeze(grouped), F.col(value) == F.col("_value"), "left").drop("_value")
-    kinds = {value: scored.select(value).where(F.col(value).isNotNull()).distinct().count() for value in ("suffix", "declared")}
+        own = grouped.where(F.col("kind") == value).select(F.col("value").alias("_value"), F.col("languages").alias(f"languages_of_{value}"), F.col("shares").alias(f"shares_of_{value}"))
+        scored = scored.join(own, F.col(value) == F.col("_value"), "left").drop("_value")
     return _fused(scored, languages, total, kinds, min_posterior, id_column)
 
 
