@@ -118,7 +118,7 @@ def train(docs: DataFrame, column: str, declared: str, id_column: str, per_langu
         return [], TextModel.of(*[np.zeros(0, np.int64)] * 3, 0)
     share = docs.sparkSession.createDataFrame([(row["language"], float(row["count"])) for row in counts], "language string, declared double")
     # The smallest of uniform draws times a language's count: about as many documents of each, however common it is.
-    weighed = labelled.join(F.broadcast(share), "language")
+    weighed = labelled.join(share, "language")
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) * F.col("declared")
     sample = bounded_sample(weighed, draw, per_language * len(languages)).drop("declared")
 
@@ -134,7 +134,7 @@ def train(docs: DataFrame, column: str, declared: str, id_column: str, per_langu
 
     summed = sample.mapInArrow(count, "language string, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
     place = docs.sparkSession.createDataFrame([(name, i) for i, name in enumerate(languages)], "language string, number int")
-    found = summed.join(F.broadcast(place), "language").select("bucket", "number", "n").toArrow()
+    found = summed.join(place, "language").select("bucket", "number", "n").toArrow()
     return languages, TextModel.of(*(found.column(name).to_numpy().astype(np.int64) for name in ("bucket", "number", "n")), len(languages))
 
 
