@@ -69,7 +69,7 @@ def _survivors(spark: SparkSession, path: str, run: str, files: list[str], colum
     kept = spark.read.option("basePath", path).format(DEFAULT_FORMAT).load(files)
     kept = kept.where((F.col(column) >= retention_cutoff(as_of, years)) | F.col(column).isNull())
     aside = f"{path}/{_JOURNAL}/{run}"
-    levels = _partition_levels(path, files[0])
+    levels = _partition_levels(spark, path, files[0])
     writer = kept.hint("rebalance", *[F.col(name) for name in levels]).write.mode("overwrite").option("partitionOverwriteMode", "static")
     (writer.partitionBy(*levels) if levels else writer).parquet(aside)
     same_content(kept, spark.read.schema(kept.schema).parquet(aside))
@@ -87,10 +87,10 @@ def _survivors(spark: SparkSession, path: str, run: str, files: list[str], colum
     return moves
 
 
-def _partition_levels(path: str, file: str) -> list[str]:
-    """The partition columns in a file's path below the table's."""
-    inside = file[file.index(path.split("://", 1)[-1]) + len(path.split("://", 1)[-1]) :]
-    return [part.split("=", 1)[0] for part in inside.strip("/").split("/")[:-1] if "=" in part]
+def _partition_levels(spark: SparkSession, path: str, file: str) -> list[str]:
+    """The partition columns in a file's path below the table's, however the two spell their store."""
+    root, inside = (file_system(spark, x)[1].toUri().getPath() for x in (path, file))
+    return [part.split("=", 1)[0] for part in inside[len(root) :].strip("/").split("/")[:-1] if "=" in part]
 
 
 def _write(spark: SparkSession, file: str, text: str) -> None:

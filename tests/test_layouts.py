@@ -321,21 +321,22 @@ def dated_table(spark, path, partition_by=()):
     return df
 
 
-@pytest.mark.parametrize("partition_by", [(), ("soort",)])
-def test_only_files_with_expired_rows_are_replaced(spark, tmp_path, rows, partition_by):
-    path = str(tmp_path / "t")
+@pytest.mark.parametrize(("partition_by", "store"), [((), ""), (("soort",), ""), (("soort",), "file:"), (("soort",), "file://")])
+def test_only_files_with_expired_rows_are_replaced(spark, tmp_path, rows, partition_by, store):
+    place = str(tmp_path / "t")
+    path = store + place
     df = dated_table(spark, path, partition_by)
     counts = {r["file"]: r for r in retention_files.file_counts(spark, path, "dag", 10, date(2020, 1, 1)).collect()}
-    before = files_below(path)
+    before = files_below(place)
     done = retention_files.retain_by_file(spark, path, "dag", 10, date(2020, 1, 1))
-    after = files_below(path)
+    after = files_below(place)
     left = spark.read.schema(df.schema).option("basePath", path).parquet(path)
     assert rows(left.select("id", "dag", "soort")) == rows(df.where("dag >= '2010-01-01' or dag is null").select("id", "dag", "soort"))
     clean = [f for f in before if all(not (os.path.basename(f) == os.path.basename(c) and r["n_expired"]) for c, r in counts.items())]
     assert clean and all(after[f] == before[f] for f in clean) and done.rewritten_files > 0
     assert done.deleted_rows == df.where("dag < '2010-01-01'").count()
     assert retention_files.retain_by_file(spark, path, "dag", 10, date(2020, 1, 1)) == retention_files.FileRetention(0, 0, 0)
-    assert files_below(path) == after and not os.path.exists(f"{path}/_retention")
+    assert files_below(place) == after and not os.path.exists(f"{place}/_retention")
 
 
 @pytest.mark.parametrize("step", [0, 1, 2])
