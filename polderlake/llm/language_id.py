@@ -32,6 +32,8 @@ BUCKETS = 1 << 15
 TRAIN_PER_LANGUAGE = 400
 #: Scores (texts times languages) that a task holds at a time.
 SCORES = 1_000_000
+#: Rows, of a tag and a number each, that are broadcast.
+SENT_ROWS = 100_000
 #: Letters that are looked up at a time.
 LETTERS = 1 << 15
 #: A language that a text makes e**-40 times as likely as another is no candidate for it, whatever else speaks for it.
@@ -105,6 +107,11 @@ def score_texts(texts: list[str | None], model: TextModel) -> Iterator[tuple[np.
         yield np.diff(first), model.scores(buckets, first)
 
 
+def _sent_if_small(table: DataFrame, rows: int) -> DataFrame:
+    """A table with a row for each language, as it is sent to the tasks: up to `SENT_ROWS`; a longer one is joined by a shuffle."""
+    return F.broadcast(table) if rows <= SENT_ROWS else table
+
+
 def train(docs: DataFrame, column: str, declared: str, id_column: str, per_language: int = TRAIN_PER_LANGUAGE) -> tuple[list[str], TextModel]:
     """Languages and their trigrams, from a bounded sample of documents that declare one.
 
@@ -118,7 +125,7 @@ def train(docs: DataFrame, column: str, declared: str, id_column: str, per_langu
         return [], TextModel.of(*[np.zeros(0, np.int64)] * 3, 0)
     share = docs.sparkSession.createDataFrame([(row["language"], float(row["count"])) for row in counts], "language string, declared double")
     # The smallest of uniform draws times a language's count: about as many documents of each, however common it is.
-    weighed = labelled.join(share, "language")
+    weighed = labelled.join(_sent_if_small(share, len(languages)), "language")
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)) * F.col("declared")
     sample = bounded_sample(weighed, draw, per_language * len(languages)).drop("declared")
 
@@ -134,7 +141,7 @@ def train(docs: DataFrame, column: str, declared: str, id_column: str, per_langu
 
     summed = sample.mapInArrow(count, "language string, bucket long, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
     place = docs.sparkSession.createDataFrame([(name, i) for i, name in enumerate(languages)], "language string, number int")
-    found = summed.join(place, "language").select("bucket", "number", "n").toArrow()
+    found = summed.join(_sent_if_small(place, len(languages)), "language").select("bucket", "number", "n").toArrow()
     return languages, TextModel.of(*(found.column(name).to_numpy().astype(np.int64) for name in ("bucket", "number", "n")), len(languages))
 
 
