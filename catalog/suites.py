@@ -24,9 +24,9 @@ _MARTS = {
     "satisfaction_monthly": (marts.satisfaction, "satisfaction_monthly"),
     "effect_panel": (marts.effect_panel, "effect_panel"),
     "dq_daily": (marts.dq_daily, "dq_daily"),
-    "spend_monthly": (lambda spark, sf: billing.spend_monthly(marts._billing(spark, sf)), "spend_monthly"),
+    "spend_monthly": (lambda spark, sf: billing.spend_monthly(marts.stored_billing(spark, sf)), "spend_monthly"),
     "top_resources": (
-        lambda spark, sf: billing.top_resources(marts._billing(spark, sf), at_most=row_count(spark, sf, "lineitem")),
+        lambda spark, sf: billing.top_resources(marts.stored_billing(spark, sf), at_most=row_count(spark, sf, "lineitem")),
         "top_resources",
     ),
     "projection": (marts.projection, "projection"),

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polderlake.functions.numbers import ratio
 from polderlake.operators.ranking import HEAVY_ROWS, number_rows
 
+#: The staged columns that the marts read.
+MART_COLUMNS = (
+    "billing_month", "provider", "service_category", "service_name", "region", "charge_category", "pricing_category",
+    "billing_currency", "billed_cost", "effective_cost", "list_cost", "savings_amount", "usage_quantity", "usage_unit",
+    "resource_id", "resource_name", "resource_type", "sub_account_id", "sub_account_name", "commitment_discount_id",
+    "tag_environment", "tag_application", "tag_cost_center",
+)
+
 
 def _list_cost() -> Column:
     return F.coalesce("list_cost", "effective_cost")
@@ -21,22 +33,27 @@ def _or_unknown(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("unknown"))
 
 
-def spend_monthly(billing: DataFrame) -> DataFrame:
-    """Sums per month, and how many resources and accounts they come from.
+def _with_counts(billing: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], counted: Mapping[str, str]) -> DataFrame:
+    """Sums and `n_charges` per key, and how many values (nulls apart) each column of `counted` has there.
 
-    Rows are summed per resource and account first, so the distinct counts see one row for each, not one per charge.
+    Sums are combined before they are sent, so they travel as few rows. Only the keys and one column are sent to be
+    counted, each pair once from a task, and none of the sums with them.
     """
+    result = billing.groupBy(*keys).agg(*[F.sum(value).alias(name) for name, value in sums.items()], F.count(F.lit(1)).alias("n_charges"))
+    for name, column in counted.items():
+        pairs = billing.where(F.col(column).isNotNull()).select(*keys, column).distinct()
+        counts = pairs.groupBy(*[F.col(key).alias(f"_key_{key}") for key in keys]).agg(F.count(F.lit(1)).alias(name))
+        same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_key_{key}")) for key in keys])
+        result = result.join(counts, same, "left").drop(*[f"_key_{key}" for key in keys]).withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
+    return result
+
+
+def spend_monthly(billing: DataFrame) -> DataFrame:
+    """Sums per month, and how many resources and accounts they come from."""
     keys = ["billing_month", "provider", "service_category", "charge_category", "billing_currency"]
     sums = {"billed_cost": F.col("billed_cost"), "effective_cost": F.col("effective_cost"), "list_cost": _list_cost(),
             "savings_amount": F.col("savings_amount"), "usage_quantity": F.col("usage_quantity")}
-    each = billing.groupBy(*keys, "resource_id", "sub_account_id").agg(
-        *[F.sum(value).alias(name) for name, value in sums.items()], F.count(F.lit(1)).alias("n_charges")
-    )
-    return each.groupBy(*keys).agg(
-        *[F.sum(name).alias(name) for name in [*sums, "n_charges"]],
-        F.count_distinct("resource_id").alias("n_resources"),
-        F.count_distinct("sub_account_id").alias("n_sub_accounts"),
-    )
+    return _with_counts(billing, keys, sums, {"n_resources": "resource_id", "n_sub_accounts": "sub_account_id"})
 
 
 def service_breakdown(billing: DataFrame) -> DataFrame:
@@ -91,15 +108,9 @@ def commitment_utilization(billing: DataFrame) -> DataFrame:
 
 
 def savings(billing: DataFrame) -> DataFrame:
-    sums = billing.groupBy(
-        "billing_month", "provider", "pricing_category", "service_category", "charge_category", "billing_currency"
-    ).agg(
-        F.sum(_list_cost()).alias("list_cost"),
-        F.sum("effective_cost").alias("effective_cost"),
-        F.sum("savings_amount").alias("savings_amount"),
-        F.count(F.lit(1)).alias("n_charges"),
-        F.count_distinct("resource_id").alias("n_resources"),
-    )
+    keys = ["billing_month", "provider", "pricing_category", "service_category", "charge_category", "billing_currency"]
+    costs = {"list_cost": _list_cost(), "effective_cost": F.col("effective_cost"), "savings_amount": F.col("savings_amount")}
+    sums = _with_counts(billing, keys, costs, {"n_resources": "resource_id"})
     share = F.when(F.col("list_cost") > 0, ratio(F.col("savings_amount"), F.col("list_cost"))).otherwise(F.lit(0.0))
     return sums.withColumn("savings_pct", share)
 

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import marts
 from polderlake.operators import checks, matching, profiling, regression
 from polderlake.operators.charts import Chart, Filter, Metric, chart_query
 from polderlake.plans import analyses, billing, clients, finance, quality, staging
@@ -342,3 +343,22 @@ def test_freshness(spark, rows):
     empty = df.filter("false")
     found = upkeep.bronze_freshness({"s": df, "r": df, "e": empty, "b": empty}, slas, now)
     assert rows(found, "source", "status", "lag_seconds") == [("b", "ok", None), ("e", "stale", None), ("r", "ok", 600), ("s", "late", 600)]
+
+
+def test_spend_and_savings_count_resources_apart_from_their_sums(spark, rows):
+    df = billing_rows(
+        spark, {"resource_id": "a"}, {"resource_id": "a"}, {"resource_id": None}, {"resource_id": "b", "provider": None},
+        {"resource_id": None, "provider": None, "billing_month": None},
+    )
+    for mart in (billing.spend_monthly(df), billing.savings(df)):
+        found = rows(mart, "billing_month", "provider", "effective_cost", "n_charges", "n_resources")
+        month = date(2024, 1, 1)
+        assert sorted(found, key=str) == sorted(
+            [(month, "oci", Decimal("30"), 3, 1), (month, None, Decimal("10"), 1, 1), (None, None, Decimal("10"), 1, 0)], key=str
+        )
+        plan = mart._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert not [line for line in plan if "resource_id" in line.split("],")[0] and "Aggregate" in line and "sum(" in line]
+
+
+def test_stored_billing_holds_what_the_marts_read(spark):
+    assert set(marts.stored_billing(spark, "/root/testdata/sf0.001").columns) == set(billing.MART_COLUMNS)
