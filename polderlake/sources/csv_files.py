@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
 from functools import reduce
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from polderlake.functions.streams import without_scheme
 from polderlake.plans.staging import BILLING_COLUMNS
+from polderlake.session import stored
 from polderlake.sources.tables import write_path
 
 # Texts read as null, timestamp patterns in the order they are tried, boolean texts.
@@ -82,13 +83,36 @@ def _text(column: CsvColumn, raw: Column | None = None) -> Column:
     return F.when(~raw.isin(*NULL_TEXTS), raw)
 
 
+def _may_fit(text: Column, pattern: str) -> Column:
+    """Whether the text has the letters and the fraction that the pattern asks for, in either case, as for the parser."""
+    wanted = F.lit(True)
+    if "'Z'" in pattern:
+        wanted &= text.endswith("Z") | text.endswith("z")
+    if "'T'" in pattern:
+        wanted &= text.contains("T") | text.contains("t")
+    return wanted & text.contains(".") if "." in pattern else wanted
+
+
+def _timestamp(text: Column) -> Column:
+    """The text by the one pattern that may fit: a try that fails is an exception, which takes longer than all else.
+
+    A pattern comes before those that ask for less, so the first whose signs are there is the only one that can fit.
+    """
+    return reduce(
+        lambda rest, pattern: F.when(_may_fit(text, pattern), F.try_to_timestamp(text, F.lit(pattern))).otherwise(rest),
+        reversed(TIMESTAMP_PATTERNS),
+        F.lit(None).cast("timestamp"),
+    )
+
+
 def _parsed(column: CsvColumn, raw: Column | None = None) -> Column:
     """The typed value, null when the text (by default that of the column's name) does not fit the type."""
     text, target = _text(column, raw), column.spark_type
     if column.type == "varchar":
         return text
     if column.type == "timestamp":
-        return F.coalesce(*[F.try_to_timestamp(text, F.lit(pattern)) for pattern in TIMESTAMP_PATTERNS])
+        raw = F.col(f"`{column.name}`") if raw is None else raw
+        return F.when(~raw.isin(*NULL_TEXTS), _timestamp(raw))
     if column.type == "date":
         return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
     if column.type == "boolean":
@@ -108,15 +132,31 @@ def typed_columns(raw: DataFrame, columns: Sequence[CsvColumn], strict: bool = T
     missing = [column.name for column in columns if column.name not in raw.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; present: {raw.columns}")
-    result = []
+    # Columns of one type are parsed as one array: written out for each column, the code of a wide upload is too long to be compiled.
+    alike: dict[str, list[CsvColumn]] = {}
     for column in columns:
-        value = _parsed(column)
-        if strict and column.type != "varchar":
-            message = F.concat(F.lit(f"column {column.name}: not a {column.type}: "), _text(column))
-            bad = _text(column).isNotNull() & value.isNull()
-            value = F.when(bad, F.raise_error(message).cast(column.spark_type)).otherwise(value)
-        result.append(value.alias(column.name))
-    return raw.select(*result)
+        alike.setdefault(column.spark_type, []).append(column)
+    arrays, result = {}, {}
+    for at, (spark_type, group) in enumerate(alike.items()):
+        texts = F.array(*[F.col(f"`{column.name}`").cast("string") for column in group])
+        arrays[f"_typed_{at}"] = F.transform(texts, _parser(group, strict))
+        result |= {column.name: F.get(f"_typed_{at}", F.lit(i)).alias(column.name) for i, column in enumerate(group)}
+    return raw.select(*[array.alias(name) for name, array in arrays.items()]).select(*[result[column.name] for column in columns])
+
+
+def _parser(group: Sequence[CsvColumn], strict: bool) -> Callable[[Column, Column], Column]:
+    """From a text and its place among the columns, which are of one type, to its value."""
+    column = group[0]
+
+    def parse(raw: Column, at: Column) -> Column:
+        value = _parsed(column, raw)
+        if not strict or column.type == "varchar":
+            return value
+        text = _text(column, raw)
+        message = F.concat(F.lit("column "), F.get(F.array(*[F.lit(one.name) for one in group]), at), F.lit(f": not a {column.type}: "), text)
+        return F.coalesce(value, F.when(text.isNotNull(), F.raise_error(message).cast(column.spark_type)))
+
+    return parse
 
 
 def files_by_header(spark: SparkSession, path: str | Sequence[str]) -> list[list[str]]:
@@ -329,10 +369,13 @@ def ingest_csv(
     partition_column: str = "event_date",
     load_date: date | None = None,
 ) -> None:
-    """One upload from file to bronze: guard, read, check, add audit columns, append."""
+    """One upload from file to bronze: guard, read, check, add audit columns, append.
+
+    The typed rows are stored before they are checked, so that texts are parsed once.
+    """
     if not within_prefix(path, prefix):
         raise ValueError(f"{path!r} is not below {prefix!r}")
-    rows = read_csv(spark, path, columns, form)
+    rows = stored(read_csv(spark, path, columns, form))
     assert_constraints(rows, columns)
     audited = add_audit_columns(rows, path, partition_column)
     if load_date is not None:

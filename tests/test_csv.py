@@ -4,6 +4,7 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from polderlake.sources import csv_files
 from polderlake.sources.csv_files import CsvColumn, CsvFormat
@@ -114,3 +115,11 @@ def test_ingest_appends_with_audit_columns(spark, upload, tmp_path):
     df = spark.read.parquet(bronze)
     assert df.count() == 2 and {r.event_date for r in df.collect()} == {date(2024, 3, 1)}
     assert {r.source_file.rsplit("/", 1)[-1] for r in df.collect()} == {"a.csv", "b.csv"}
+
+
+@pytest.mark.parametrize("at, text", list(enumerate(["2024-01-02T03:04:05.000006Z", "2024-01-02t03:04:05z", "2024-01-02T03:04:05.000006", "2024-01-02T03:04:05", "2024-01-02 03:04:05"])))
+def test_one_pattern_is_tried_on_a_timestamp(spark, at, text):
+    """A pattern that doesn't fit costs an exception for each text."""
+    tried = spark.range(1).select(*[csv_files._may_fit(F.lit(text), pattern) for pattern in csv_files.TIMESTAMP_PATTERNS]).first()
+    assert tried.index(True) == at
+    assert spark.range(1).select(csv_files._parsed(CsvColumn("at", "timestamp"), F.lit(text)).isNotNull()).first()[0]
