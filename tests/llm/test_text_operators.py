@@ -11,6 +11,7 @@ import time
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from collections import Counter
 
@@ -545,3 +546,11 @@ def test_pages_declare_their_language(spark):
     row = spark.createDataFrame([(1, "http://a.example/x", "<html lang='fr-CA'><script>var a</script><p>le chat</p>")], "page_id long, url string, html string")
     got = row.select(language_id.declared_in_page(row.html), language_id.text_of_page(row.html)).first()
     assert got[0] == "fr-CA" and got[1].split() == ["le", "chat"]
+
+
+def test_bpe_splits_with_written_out_classes_as_by_their_names():
+    """Every code point that isn't left to the library, alone and between others."""
+    by_name = regex.compile(bpe.SPLIT).findall
+    plain = [chr(point) for point in range(0x10000) if not 0xD800 <= point < 0xE000 and not regex.match(bpe.RARE, chr(point))]
+    for texts in (plain, [f"a{c}1{c}{c}'s" for c in plain], ["".join(plain)]):
+        assert [bpe.split_pattern().findall(text) for text in texts] == [by_name(text) for text in texts]
