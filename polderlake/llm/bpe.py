@@ -43,8 +43,8 @@ END = "\n"
 # The pre-split of the tokenizer file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 # Code points whose case or class depends on the Unicode version: such texts are normalised and split by the library.
-# A test compares all code points.
-RARE = "[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u1c80-\u1cff\u208f\u209d-\u209f\ua640-\uabff\U00010000-\U0010ffff]"
+# So are those above U+FFFF, and the seven that normalise to such. A test compares all code points.
+RARE = "[\ufa6c\ufacf-\ufad1\ufad5-\ufad7\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u1c80-\u1cff\u208f\u209d-\u209f\ua640-\uabff\U00010000-\U0010ffff]"
 #: Encoded words that a task keeps; when it is full it starts anew.
 KEPT_WORDS = 300_000
 #: Looked-up transitions that a task keeps.
