@@ -4,14 +4,19 @@ Events may come in any order within the watermark. A person's openings wait in s
 them; a timer at the earliest one wakes the person, and the openings that are final are folded in their order. State
 holds the waiting openings and the person's last phase, never the events of the past.
 
+Every call of state costs a round trip between Python and the store, however little it moves. Persons therefore share
+a state key in groups, by a hash of the citizen number: a group's openings are stored, woken and read together. Inside
+a group each person is folded alone.
+
 The result is a log: a phase is written when it opens and once more when it closes. `current_phases` reads the log as
 the table of phases.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-from datetime import datetime, timedelta, timezone
+import json
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import batched, groupby
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -20,30 +25,53 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from polderlake.plans.journey import EVENT_ORDER, PHASES, phase_of
 
-_PHASE_LOG = "bsn string, fase_volgnr bigint, fase string, trigger_event_type string, fase_start_ts timestamp, fase_eind_ts timestamp"
-_WAITING = "at bigint, domein string, event_type string, source_ref_id string, fase string"
-_LAST = "fase_volgnr bigint, fase string, trigger_event_type string, started bigint"
-_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+# Groups of persons in state, fixed for the life of a checkpoint: a few hundred persons each at some millions.
+GROUPS = 8192
+# Openings in one element of a group's waiting list.
+CHUNK = 1000
+
+# A fold's entries of the log, column by column; times in microseconds.
+_ENTRIES = (
+    "bsn array<string>, fase_volgnr array<bigint>, fase array<string>, trigger_event_type array<string>, "
+    "started array<bigint>, ended array<bigint>"
+)
+_ENTRY = ("bsn", "fase_volgnr", "fase", "trigger_event_type", "started", "ended")
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _time(micros: int | None) -> datetime | None:
-    return None if micros is None else _EPOCH + timedelta(microseconds=micros)
+def _chunks(openings: Iterable[str]) -> Iterator[tuple[str]]:
+    """Openings (a JSON text each) as elements of the waiting list."""
+    for some in batched(openings, CHUNK):
+        yield (f"[{','.join(some)}]",)
+
+
+def _order(opening: dict) -> tuple:
+    return (opening["bsn"], opening["at"], *[opening.get(name, "") for name in EVENT_ORDER[1:]])
 
 
 class PhaseFold(StatefulProcessor):
-    """One person's openings, folded as the watermark passes them."""
+    """The openings of a group of persons, folded person by person as the watermark passes them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _WAITING)
-        self.last = handle.getValueState("last", _LAST)
+        self.waiting = handle.getListState("waiting", "openings string")
+        self.last = handle.getValueState("last", "persons string")
+        self.folded: set[int] = set()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        arrived = [(r["at"], r["domein"], r["event_type"], r["source_ref_id"], r["fase"]) for r in rows]
-        if arrived:
-            self.waiting.appendList(arrived)
-            self._wake(min(row[0] for row in arrived))
+        first: int | None = None
+
+        def texts() -> Iterator[str]:
+            nonlocal first
+            for row in rows:
+                at = row["at"]
+                first = at if first is None or at < first else first
+                yield row["opening"]
+
+        for chunk in _chunks(texts()):
+            self.waiting.appendValue(chunk)
+        if first is not None:
+            self._wake(first)
         return iter(())
 
     def _wake(self, micros: int) -> None:
@@ -51,51 +79,71 @@ class PhaseFold(StatefulProcessor):
         self.handle.registerTimer(-(-micros // 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # The first of a group's timers folds all that is final; the others of the batch have nothing left.
+        if key[0] in self.folded:
+            return
+        self.folded.add(key[0])
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(row) for row in self.waiting.get()]
-        final = sorted((row for row in held if row[0] <= until), key=lambda r: (r[0], *["" if x is None else x for x in r[1:4]]))
+        held = [opening for (chunk,) in self.waiting.get() for opening in json.loads(chunk)]
+        final = sorted((o for o in held if o["at"] <= until), key=_order)
         if not final:
             return
-        later = [row for row in held if row[0] > until]
+        later = [o for o in held if o["at"] > until]
         if later:
-            self.waiting.put(later)
-            self._wake(min(row[0] for row in later))
+            self.waiting.put(list(_chunks(json.dumps(o) for o in later)))
+            self._wake(min(o["at"] for o in later))
         else:
             self.waiting.clear()
-        last = tuple(self.last.get()) if self.last.exists() else None
-        for at, _, event_type, _, phase in final:
+        stored = self.last.get()
+        persons = {} if stored is None else json.loads(stored[0])
+        entries: list[tuple] = []
+        for bsn, openings in groupby(final, key=lambda o: o["bsn"]):
+            persons[bsn] = self._fold(bsn, openings, persons.get(bsn), entries)
+        self.last.update((json.dumps(persons),))
+        if entries:
+            yield Row(**dict(zip(_ENTRY, map(list, zip(*entries, strict=True)), strict=True)))
+
+    def _fold(self, bsn: str, openings: Iterable[dict], last: list | None, entries: list[tuple]) -> list:
+        """Adds one person's entries; returns the person's last phase: number, phase, event type, start."""
+        for opening in openings:
+            at, phase = opening["at"], opening["fase"]
             if last is not None and last[1] == phase:
                 continue
             if last is not None:
-                yield self._row(key, last, at)
-            last = ((last[0] if last else 0) + 1, phase, event_type, at)
-            yield self._row(key, last, None)
-        self.last.update(last)
-
-    def _row(self, key, phase: tuple, until: int | None) -> Row:
-        return Row(
-            bsn=key[0], fase_volgnr=phase[0], fase=phase[1], trigger_event_type=phase[2],
-            fase_start_ts=_time(phase[3]), fase_eind_ts=_time(until),
-        )
+                entries.append((bsn, *last, at))
+            last = [(last[0] if last else 0) + 1, phase, opening["event_type"], at]
+            entries.append((bsn, *last, None))
+        return last
 
     def close(self) -> None:
         pass
 
 
-def phase_log(events: DataFrame, watermark: str, rules: Mapping[str, str] = PHASES) -> DataFrame:
+def phase_log(events: DataFrame, watermark: str, rules: Mapping[str, str] = PHASES, groups: int = GROUPS) -> DataFrame:
     """The log of opened and closed phases from a stream of journey events.
 
     Events that open no phase move the watermark and are not kept. Events older than the watermark are left out.
     """
     timed = events.withWatermark("event_ts", watermark)
     # A filter that doesn't name the time would be moved below the watermark, which then followed the openings alone.
-    phase = F.when(F.col("event_ts").isNotNull(), phase_of(F.col("event_type"), F.col("event_status"), rules))
-    openings = timed.select("bsn", *EVENT_ORDER, F.unix_micros("event_ts").alias("at"), phase.alias("fase")).where(F.col("fase").isNotNull() & F.col("bsn").isNotNull())
-    return openings.groupBy("bsn").transformWithState(PhaseFold(), _PHASE_LOG, "Append", "EventTime")
+    phase = F.when(F.col("event_ts").isNotNull() & F.col("bsn").isNotNull(), phase_of(F.col("event_type"), F.col("event_status"), rules))
+    at = F.unix_micros("event_ts").alias("at")
+    openings = timed.select("bsn", *EVENT_ORDER, at, phase.alias("fase")).where(F.col("fase").isNotNull())
+    grouped = openings.select(
+        F.pmod(F.xxhash64("bsn"), F.lit(groups)).cast("int").alias("persons"),
+        "event_ts",
+        "at",
+        F.to_json(F.struct("bsn", "at", *EVENT_ORDER[1:], "fase")).alias("opening"),
+    )
+    log = grouped.groupBy("persons").transformWithState(PhaseFold(), _ENTRIES, "Append", "EventTime")
+    return log.select(F.inline(F.arrays_zip(*_ENTRY))).select(
+        *_ENTRY[:4], F.timestamp_micros("started").alias("fase_start_ts"), F.timestamp_micros("ended").alias("fase_eind_ts")
+    )
 
 
 def phase_stream(
-    events: DataFrame, path: str, checkpoint: str, watermark: str = "30 days", rules: Mapping[str, str] = PHASES, trigger_seconds: int | None = 20
+    events: DataFrame, path: str, checkpoint: str, watermark: str = "30 days", rules: Mapping[str, str] = PHASES, trigger_seconds: int | None = 20,
+    groups: int = GROUPS,
 ) -> StreamingQuery:
     """Write the log of phases below `path`; without a trigger interval it drains the input and stops.
 
@@ -106,7 +154,7 @@ def phase_stream(
     before = conf.get(name)
     conf.set(name, STATE_STORE)
     try:
-        writer = phase_log(events, watermark, rules).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+        writer = phase_log(events, watermark, rules, groups).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
         if trigger_seconds is None:
             return writer.trigger(availableNow=True).start(path)
         return writer.trigger(processingTime=f"{trigger_seconds} seconds").start(path)

@@ -189,6 +189,39 @@ def test_stream_of_phases_equals_the_fold_and_survives_restarts(spark, tmp_path,
     assert rows(journey_stream.current_phases(spark.read.parquet(target))) == rows(journey.phases_of_events(events)), "later than the watermark"
 
 
+def test_persons_share_state_keys_and_are_folded_alone(spark, tmp_path, rows):
+    """Many persons and one with more openings than an element of state holds: keys grow with the groups, not the persons."""
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "log", "checkpoint"))
+    one = journey_events(spark, ["hot"], 2 * journey_stream.CHUNK + 500, 21, 10_000).withColumn("event_type", F.when(F.rand(3) < 0.5, "zw.melding").otherwise("polisadm.ikv.start"))
+    events = journey_events(spark, [f"p{i}" for i in range(150)], 900, 20).unionByName(one)
+    events = events.withColumn("source_ref_id", F.when(F.col("source_ref_id").endswith("7"), None).otherwise(F.col("source_ref_id"))).localCheckpoint()
+    early = F.col("event_ts") < "2020-06-01"
+    # The clock names no person and opens no phase; it still moves the watermark.
+    end = events.agg((F.max("event_ts") + F.expr("INTERVAL 40 DAYS")).alias("event_ts"))
+    clock = end.select(*[F.col(c) if c == "event_ts" else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+    keys = []
+    for part in (events.where(early), events.where(~early), clock):
+        part.write.mode("append").parquet(source)
+        query = journey_stream.phase_stream(spark.readStream.schema(events.schema).parquet(source), target, checkpoint, "10 days", trigger_seconds=None, groups=3)
+        query.awaitTermination()
+        keys.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert rows(journey_stream.current_phases(spark.read.parquet(target))) == rows(journey.phases_of_events(events))
+    assert max(keys) < 50, "fewer than the persons"
+
+
+def test_a_clock_without_a_person_closes_the_last_openings(spark, tmp_path, rows):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "log", "checkpoint"))
+    events = journey_events(spark, ["p1", "p2"], 60, 22).withColumn("event_type", F.lit("zw.melding"))
+    clock = events.agg((F.max("event_ts") + F.expr("INTERVAL 60 DAYS")).alias("event_ts"))
+    full = clock.select(*[F.col(c) if c == "event_ts" else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+    last = events.orderBy(F.desc("event_ts")).limit(1).withColumns({"bsn": F.lit("p3"), "source_ref_id": F.lit("last")})
+    whole = events.unionByName(last).localCheckpoint()
+    for part in (whole, full):
+        part.write.mode("append").parquet(source)
+        journey_stream.phase_stream(spark.readStream.schema(events.schema).parquet(source), target, checkpoint, trigger_seconds=None).awaitTermination()
+    assert rows(journey_stream.current_phases(spark.read.parquet(target))) == rows(journey.phases_of_events(whole))
+
+
 # ---- sketches ------------------------------------------------------------------------------------------
 
 
