@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator, Mapping
+from datetime import datetime, timedelta, timezone
 from itertools import batched, groupby
 
 from pyspark.sql import DataFrame, Row
@@ -36,6 +37,7 @@ _ENTRIES = (
     "started array<bigint>, ended array<bigint>"
 )
 _ENTRY = ("bsn", "fase_volgnr", "fase", "trigger_event_type", "started", "ended")
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,8 +47,14 @@ def _chunks(openings: Iterable[str]) -> Iterator[tuple[str]]:
         yield (f"[{','.join(some)}]",)
 
 
-def _order(opening: dict) -> tuple:
-    return (opening["bsn"], opening["at"], *[opening.get(name, "") for name in EVENT_ORDER[1:]])
+def _micros(at: datetime) -> int:
+    """The microseconds of a time; one without a zone is in the local zone, as Spark hands it out."""
+    return (at.astimezone(timezone.utc) - _EPOCH) // timedelta(microseconds=1)
+
+
+def _order(opening: tuple) -> tuple:
+    """Person, time, then the domain, type and source id, where null comes first."""
+    return (opening[0], opening[1], *[name or "" for name in opening[2:5]])
 
 
 class PhaseFold(StatefulProcessor):
@@ -59,19 +67,19 @@ class PhaseFold(StatefulProcessor):
         self.folded: set[int] = set()
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        first: int | None = None
+        first: datetime | None = None
 
         def texts() -> Iterator[str]:
             nonlocal first
             for row in rows:
-                at = row["at"]
+                _, at, opening = row
                 first = at if first is None or at < first else first
-                yield row["opening"]
+                yield opening
 
         for chunk in _chunks(texts()):
             self.waiting.appendValue(chunk)
         if first is not None:
-            self._wake(first)
+            self._wake(_micros(first))
         return iter(())
 
     def _wake(self, micros: int) -> None:
@@ -84,34 +92,33 @@ class PhaseFold(StatefulProcessor):
             return
         self.folded.add(key[0])
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [opening for (chunk,) in self.waiting.get() for opening in json.loads(chunk)]
-        final = sorted((o for o in held if o["at"] <= until), key=_order)
+        held = [(bsn, int(at), *rest) for (chunk,) in self.waiting.get() for bsn, at, *rest in json.loads(chunk)]
+        final = sorted((o for o in held if o[1] <= until), key=_order)
         if not final:
             return
-        later = [o for o in held if o["at"] > until]
+        later = [o for o in held if o[1] > until]
         if later:
             self.waiting.put(list(_chunks(json.dumps(o) for o in later)))
-            self._wake(min(o["at"] for o in later))
+            self._wake(min(o[1] for o in later))
         else:
             self.waiting.clear()
         stored = self.last.get()
         persons = {} if stored is None else json.loads(stored[0])
         entries: list[tuple] = []
-        for bsn, openings in groupby(final, key=lambda o: o["bsn"]):
+        for bsn, openings in groupby(final, key=lambda o: o[0]):
             persons[bsn] = self._fold(bsn, openings, persons.get(bsn), entries)
         self.last.update((json.dumps(persons),))
         if entries:
             yield Row(**dict(zip(_ENTRY, map(list, zip(*entries, strict=True)), strict=True)))
 
-    def _fold(self, bsn: str, openings: Iterable[dict], last: list | None, entries: list[tuple]) -> list:
+    def _fold(self, bsn: str, openings: Iterable[tuple], last: list | None, entries: list[tuple]) -> list:
         """Adds one person's entries; returns the person's last phase: number, phase, event type, start."""
-        for opening in openings:
-            at, phase = opening["at"], opening["fase"]
+        for _, at, _, event_type, _, phase in openings:
             if last is not None and last[1] == phase:
                 continue
             if last is not None:
                 entries.append((bsn, *last, at))
-            last = [(last[0] if last else 0) + 1, phase, opening["event_type"], at]
+            last = [(last[0] if last else 0) + 1, phase, event_type, at]
             entries.append((bsn, *last, None))
         return last
 
@@ -127,14 +134,10 @@ def phase_log(events: DataFrame, watermark: str, rules: Mapping[str, str] = PHAS
     timed = events.withWatermark("event_ts", watermark)
     # A filter that doesn't name the time would be moved below the watermark, which then followed the openings alone.
     phase = F.when(F.col("event_ts").isNotNull() & F.col("bsn").isNotNull(), phase_of(F.col("event_type"), F.col("event_status"), rules))
-    at = F.unix_micros("event_ts").alias("at")
-    openings = timed.select("bsn", *EVENT_ORDER, at, phase.alias("fase")).where(F.col("fase").isNotNull())
-    grouped = openings.select(
-        F.pmod(F.xxhash64("bsn"), F.lit(groups)).cast("int").alias("persons"),
-        "event_ts",
-        "at",
-        F.to_json(F.struct("bsn", "at", *EVENT_ORDER[1:], "fase")).alias("opening"),
-    )
+    openings = timed.select("bsn", *EVENT_ORDER, phase.alias("fase")).where(F.col("fase").isNotNull())
+    # Every column is decoded value by value in Python, so an opening travels as one text: the person, the time, the rest.
+    fields = F.array("bsn", F.unix_micros("event_ts").cast("string"), *EVENT_ORDER[1:], "fase")
+    grouped = openings.select(F.pmod(F.xxhash64("bsn"), F.lit(groups)).cast("int").alias("persons"), "event_ts", F.to_json(fields).alias("opening"))
     log = grouped.groupBy("persons").transformWithState(PhaseFold(), _ENTRIES, "Append", "EventTime")
     return log.select(F.inline(F.arrays_zip(*_ENTRY))).select(
         *_ENTRY[:4], F.timestamp_micros("started").alias("fase_start_ts"), F.timestamp_micros("ended").alias("fase_eind_ts")
