@@ -526,6 +526,10 @@ def retention_enforced(spark: SparkSession, sf: str) -> DataFrame:
     return report.join(left, "table_name").select("table_name", "action", "n_deleted", "n_left")
 
 
+# An upload holds a month of 10,000 to 1,000,000 rows, compressed: a compressed file is read by one task.
+UPLOAD = {"compression": "gzip", "maxRecordsPerFile": 250_000}
+
+
 @query(
     "billing_upload_to_spend",
     marts._money_sql("spend_monthly", *marts._MONEY),
@@ -538,7 +542,7 @@ def billing_upload_to_spend(spark: SparkSession, sf: str) -> DataFrame:
     ends = {"BillingPeriodEnd": F.add_months("BillingPeriodStart", 1).cast("timestamp"), "ChargePeriodEnd": F.date_add("ChargePeriodStart", 1).cast("timestamp")}
     columns = csv_files.BILLING_CSV
     text = rows.withColumns(ends).select(*[csv_files.as_text(c).alias(c.name) for c in columns])
-    text.write.option("header", True).option("emptyValue", "").option("escape", '"').csv(upload)
+    text.write.option("header", True).option("emptyValue", "").option("escape", '"').options(**UPLOAD).csv(upload)
     csv_files.ingest_csv(spark, f"{upload}/", upload, columns, bronze_path, load_date=date(2024, 1, 31))
     return marts._money(billing.spend_monthly(staging.stg_billing(spark.read.parquet(bronze_path))))
 

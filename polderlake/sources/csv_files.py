@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from polderlake.functions.streams import without_scheme
 from polderlake.plans.staging import BILLING_COLUMNS
-from polderlake.session import stored
-from polderlake.sources.tables import write_path
+from polderlake.sources.tables import adopt_path, drop_path, pending_path, write_path
 
 # Texts read as null, timestamp patterns in the order they are tried, boolean texts.
 NULL_TEXTS = ("", "NULL", "null", "NA")
@@ -159,14 +158,23 @@ def _parser(group: Sequence[CsvColumn], strict: bool) -> Callable[[Column, Colum
     return parse
 
 
+def _headers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file_path, header, header_2): 128 bits of hash of each file's first line.
+
+    Numbers are aggregated as they come. The line itself would be found by a sort of all lines that are in a file's first
+    block, which in a compressed file are all it has.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    hashes = {"header": F.xxhash64("value"), "header_2": F.xxhash64(F.lit(1), "value")}
+    return lines.where("file_block_start = 0").groupBy("file_path").agg(*[F.min_by(value, "at").alias(name) for name, value in hashes.items()])
+
+
 def files_by_header(spark: SparkSession, path: str | Sequence[str]) -> list[list[str]]:
     """The files of `path`, those with the same header line together. Files without a line are left out.
 
-    Only the header lines and the files' names reach the driver.
+    Only the files' names reach the driver.
     """
-    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
-    headers = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
-    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("files").collect()
+    groups = _headers(spark, path).groupBy("header", "header_2").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("files").collect()
     return [[unquote(file) for file in row.files] for row in groups]
 
 
@@ -371,13 +379,18 @@ def ingest_csv(
 ) -> None:
     """One upload from file to bronze: guard, read, check, add audit columns, append.
 
-    The typed rows are stored before they are checked, so that texts are parsed once.
+    The rows are written once, aside in bronze where readers pass them over, so that texts are parsed once. They are
+    checked there, and join the table if they keep all rules.
     """
     if not within_prefix(path, prefix):
         raise ValueError(f"{path!r} is not below {prefix!r}")
-    rows = stored(read_csv(spark, path, columns, form))
-    assert_constraints(rows, columns)
-    audited = add_audit_columns(rows, path, partition_column)
+    audited = add_audit_columns(read_csv(spark, path, columns, form), path, partition_column)
     if load_date is not None:
         audited = audited.withColumn(partition_column, F.lit(load_date))
-    append_bronze(audited, bronze_path, partition_column)
+    pending = pending_path(bronze_path)
+    try:
+        append_bronze(audited, pending, partition_column)
+        assert_constraints(spark.read.schema(audited.schema).parquet(pending), columns)
+        adopt_path(spark, pending, bronze_path)
+    finally:
+        drop_path(spark, pending)

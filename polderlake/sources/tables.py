@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,49 @@ def write_path(
     writer.save(path)
 
 
+def pending_path(path: str) -> str:
+    """A fresh folder inside the table at `path`, which its readers pass over, for rows that are to join it."""
+    return f"{path.rstrip('/')}/_pending-{uuid.uuid4().hex}"
+
+
+def adopt_path(spark: SparkSession, pending: str, path: str) -> None:
+    """Move the files of `pending`, partition folders kept, into the table at `path`: a rename each, as a write's commit does.
+
+    If a file can't be moved, those moved before are taken back. The driver holds the names of the new files.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder, table = hadoop.Path(pending), hadoop.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = f"{system.makeQualified(folder).toString()}/"
+    places, listed = [], system.listFiles(folder, True)
+    while listed.hasNext():
+        file = listed.next().getPath()
+        if not file.toString().startswith(root):
+            raise OSError(f"{file.toString()!r} is not below {root!r}")
+        if not file.getName().startswith(("_", ".")):
+            places.append((file, hadoop.Path(table, file.toString().removeprefix(root))))
+    moved = []
+    try:
+        for parent in {new.getParent().toString() for _, new in places}:
+            system.mkdirs(hadoop.Path(parent))
+        for old, new in places:
+            if not system.rename(old, new):
+                raise OSError(f"{old.toString()!r} was not moved to {new.toString()!r}")
+            moved.append(new)
+        system.create(hadoop.Path(table, "_SUCCESS"), True).close()
+    except Exception:
+        for new in moved:
+            system.delete(new, False)
+        raise
+    spark.catalog.refreshByPath(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete the folder at `path`, if there is one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def ensure_database(spark: SparkSession, database: str, location: str | None = None) -> None:
     where = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{where}")

@@ -1,12 +1,17 @@
 from __future__ import annotations
 
+import gzip
 from datetime import date, datetime
 from decimal import Decimal
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from polderlake.sources import csv_files
+from catalog import ingest
+from polderlake import session
+from polderlake.sources import csv_files, tables
 from polderlake.sources.csv_files import CsvColumn, CsvFormat
 
 COLUMNS = (
@@ -123,3 +128,73 @@ def test_one_pattern_is_tried_on_a_timestamp(spark, at, text):
     tried = spark.range(1).select(*[csv_files._may_fit(F.lit(text), pattern) for pattern in csv_files.TIMESTAMP_PATTERNS]).first()
     assert tried.index(True) == at
     assert spark.range(1).select(csv_files._parsed(CsvColumn("at", "timestamp"), F.lit(text)).isNotNull()).first()[0]
+
+
+def test_headers_are_found_without_a_sort_of_the_lines(spark, upload):
+    """A compressed file is one block: all its lines were sorted, and spilled, to find the first."""
+    path = upload(HEADER + "1,2024-01-01,,2,\n")
+    plan = csv_files._headers(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+
+
+def test_compressed_uploads_with_other_headers(spark, tmp_path):
+    texts = {"a": HEADER + "1,2024-01-01,,2,x\n", "b": "note,cost,at,day,id\ny,3,,2024-01-02,2\n", "c": HEADER + "3,2024-01-03,,4,z\n", "d": ""}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv.gz").write_bytes(gzip.compress(text.encode()))
+    groups = csv_files.files_by_header(spark, str(tmp_path))
+    assert [[file.rsplit("/", 1)[-1] for file in group] for group in groups] == [["a.csv.gz", "c.csv.gz"], ["b.csv.gz"]]
+    rows = csv_files.read_csv(spark, str(tmp_path), COLUMNS).collect()
+    assert sorted((r.id, r.day.day, r.cost, r.note) for r in rows) == [(1, 1, 2, "x"), (2, 2, 3, "y"), (3, 3, 4, "z")]
+
+
+def _files(folder):
+    return sorted(str(file.relative_to(folder)) for file in folder.rglob("*.parquet"))
+
+
+def test_an_upload_is_written_once(spark, upload, tmp_path):
+    """The typed rows were stored beside bronze, and then written again."""
+    bronze, scratch = tmp_path / "bronze", list(session._SCRATCH)
+    csv_files.ingest_csv(spark, upload(HEADER + "1,2024-01-01,,2,\n"), str(tmp_path), COLUMNS, str(bronze), load_date=date(2024, 3, 1))
+    assert session._SCRATCH == scratch
+    assert [file.split("/")[0] for file in _files(bronze)] == ["event_date=2024-03-01"]
+    assert (bronze / "_SUCCESS").exists() and not list(bronze.glob("_pending*"))
+
+
+@pytest.mark.parametrize(("text", "error"), [("1,2024-01-01,,-2,\n,2024-01-01,,3,\n", "required:id: 1; min:cost: 1"), ("", "non_empty: 1"), ("x,2024-01-01,,-2,\n", "not a integer")])
+def test_a_refused_upload_leaves_bronze_as_it_was(spark, upload, tmp_path, text, error):
+    bronze = tmp_path / "bronze"
+    csv_files.ingest_csv(spark, upload(HEADER + "1,2024-01-01,,2,\n"), str(tmp_path), COLUMNS, str(bronze), load_date=date(2024, 3, 1))
+    before = _files(bronze)
+    with pytest.raises(Exception, match=error):
+        csv_files.ingest_csv(spark, upload(HEADER + text, "v.csv"), str(tmp_path), COLUMNS, str(bronze), load_date=date(2024, 3, 1))
+    assert _files(bronze) == before and not list(bronze.glob("_pending*"))
+
+
+def test_files_that_cannot_all_be_moved_are_taken_back(spark, tmp_path):
+    path = tmp_path / "table"
+    tables.write_path(spark.range(1).withColumn("day", F.lit("a")), str(path), partition_by=["day"])
+    (path / "day=c").write_text("no folder")
+    before, pending = _files(path), tables.pending_path(str(path))
+    tables.write_path(spark.range(3).withColumn("day", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") + 1).cast("int"))), pending, partition_by=["day"])
+    with pytest.raises(Exception):
+        tables.adopt_path(spark, pending, str(path))
+    tables.drop_path(spark, pending)
+    assert _files(path) == before
+
+
+def test_the_billing_upload_is_compressed(spark, tmp_path):
+    """As plain text the upload took most of the query's disk."""
+    line = {"l_orderkey": [2, 3, 2], "l_partkey": [1, 1, 2], "l_suppkey": [1, 1, 1], "l_linenumber": [1, 2, 3], "l_quantity": [1.0, 2.0, 3.0], "l_extendedprice": [10.0, 20.0, 30.0],
+            "l_discount": [0.0, 0.5, 0.0], "l_returnflag": ["A", "N", "R"], "l_shipdate": [datetime(1996, 1, 2), datetime(1996, 1, 3), datetime(1996, 2, 3)]}
+    made = {
+        "lineitem": line, "supplier": {"s_suppkey": [1], "s_name": ["s"], "s_nationkey": [7]},
+        "part": {"p_partkey": [1, 2], "p_name": ["a, \"b\"", ""], "p_brand": ["x", "y"], "p_type": ["t", "t"]}, "nation": {"n_nationkey": [7], "n_name": ["N"]},
+    }
+    for name, columns in made.items():
+        pq.write_table(pa.table(columns), tmp_path / f"{name}.parquet")
+    known = len(session._SCRATCH)
+    rows = ingest.billing_upload_to_spend(spark, str(tmp_path)).collect()
+    assert sorted((r.billing_month.isoformat(), r.n_charges, float(r.billed_cost)) for r in rows) == [("1996-01-01", 1, 10.0), ("1996-01-01", 1, 10.0), ("1996-02-01", 1, 30.0)]
+    upload = next(path for path in session._SCRATCH[known:] if "/billing-csv-" in path)
+    files = spark.read.format("binaryFile").load(upload).select("path").collect()
+    assert files and all(file.path.endswith(".csv.gz") for file in files)
